@@ -12,12 +12,17 @@ from dataclasses import dataclass
 
 from . import fixed_values as fixed
 from .replies import FIELD
+from .text import fold_text, is_plain, needed_terms
 
 
 def _reply(label):
     return json.dumps({FIELD: int(label)})
 
 
+def _any_of(terms):
+    return lambda text: any(term in text for term in terms)
+
+
 def _user_text(messages):
     return messages[-1]["content"]
 
@@ -46,22 +51,22 @@ class RuleClient:
     keywords: tuple = fixed.JOB_KEYWORDS
 
     def __call__(self):
-        def search(patterns):
-            return re.compile("|".join(patterns), re.IGNORECASE).search
-
-        keyword = search(self.keywords)
-        indicators = [
-            search(fixed.REQUIREMENT_WORDS),
-            search(fixed.EXPERIENCE_PATTERNS),
-            search(fixed.ACTION_WORDS),
-        ]
+        if all(map(is_plain, self.keywords)):
+            has_keyword = _any_of(needed_terms(k.lower() for k in self.keywords))
+        else:
+            has_keyword = re.compile("|".join(self.keywords), re.IGNORECASE).search
+        has_requirement = _any_of(fixed.REQUIREMENT_WORDS)
+        has_experience = re.compile("|".join(fixed.EXPERIENCE_PATTERNS)).search
+        has_action = _any_of(fixed.ACTION_WORDS)
         words = (fixed.RESUME_WORD, fixed.CV_WORD, fixed.POSITION_WORD, fixed.ROLE_WORD)
 
         def is_job_post(text):
-            if not keyword(text):
+            folded, lowered = fold_text(text), text.lower()
+            if not has_keyword(folded):
                 return False
-            lower = text.lower()
-            count = sum(bool(test(text)) for test in indicators) + sum(w in lower for w in words)
+            count = sum(word in lowered for word in words)
+            count += has_requirement(folded) + has_action(folded)
+            count += fixed.EXPERIENCE_WORD in folded and has_experience(folded) is not None
             return count >= fixed.MIN_INDICATORS
 
         def answer(requests, schema):

@@ -26,8 +26,10 @@ JOB_KEYWORDS = (
     "job description",
 )
 
-# Indicators of a job post; two of the seven must hold.
+# Indicators of a job post; two of the seven must hold.  The words and patterns
+# are searched for, so a plural "s" or a further digit in front changes nothing.
 REQUIREMENT_WORDS = ("requirement", "qualification")
+EXPERIENCE_WORD = "year"
 EXPERIENCE_PATTERNS = (r"\d\+?\s*year", r"years? of experience")
 ACTION_WORDS = ("apply", "send", "email", "dm", "interested", "opportunity")
 RESUME_WORD = "resume"

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .fixed_values import HIRING_PROMPT
 
@@ -107,13 +108,18 @@ def _as_integer(value):
     return None
 
 
-@F.pandas_udf("classification bigint, error string")
+_PARSED = T.StructType(
+    [T.StructField(FIELD, T.LongType()), T.StructField("error", T.StringType())]
+)
+
+
+@F.pandas_udf(_PARSED)
 def parse_classification(replies: pd.Series) -> pd.DataFrame:
     """Column function over replies; the labelling operator reads them in place."""
     read = [read_reply(reply) for reply in replies]
     return pd.DataFrame(
         {
-            "classification": pd.array([label for label, _ in read], dtype="Int64"),
+            FIELD: pd.array([label for label, _ in read], dtype="Int64"),
             "error": [error for _, error in read],
         }
     )

@@ -21,10 +21,11 @@ PY_WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Letters outside ASCII that match an ASCII letter when case is ignored and that
-# lower() leaves alone or takes apart.  The Kelvin sign is left out: its lower
-# case is "k" already.
-_FOLDED_LETTERS = (("\u017f", "s"), ("\u0131", "i"), ("\u0130", "i"))
+# Letters outside ASCII that match an ASCII letter when case is ignored, but do
+# not turn into it in lower case: the dotless i, the long s, and the dotted capital
+# I, whose lower case is an i and a separate dot.  (The Kelvin sign turns into k.)
+_DOTTED_I = "\u0130"
+_FOLDED_LETTERS = (("\u0131", "i"), ("\u017f", "s"))
 
 _PLAIN_WORDS = re.compile(r"[A-Za-z0-9 ]+")
 
@@ -53,22 +54,63 @@ def post_url(data_urn, base_url=fixed.POST_BASE_URL):
     return F.when(urn != "", F.concat(F.lit(base_url), urn))
 
 
-def fold_case(text):
-    """Text in which ASCII words can be looked up with case ignored."""
-    folded = _column(text)
+def _let(value, use):
+    """``use(value)`` with the value worked out once per row.
+
+    Spark shares common expressions in a projection but not in a filter, where
+    a dozen tests on ``lower(content)`` would lower it a dozen times.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
+def _with_forms(content, use):
+    """``use(content, lowered, folded)``.
+
+    In the folded content ASCII words can be looked up the way a regex search
+    with case ignored finds them.  It is the lower-cased one for nearly every
+    text, so that is lowered once.
+    """
+
+    def folded(content, lowered):
+        dotted = content.contains(_DOTTED_I)
+        form = F.when(dotted, F.lower(F.replace(content, F.lit(_DOTTED_I), F.lit("i"))))
+        form = form.otherwise(lowered)
+        for letter, ascii_letter in _FOLDED_LETTERS:
+            form = F.replace(form, F.lit(letter), F.lit(ascii_letter))
+        return form
+
+    def with_lowered(content, lowered):
+        return _let(folded(content, lowered), lambda form: use(content, lowered, form))
+
+    return _let(
+        _column(content),
+        lambda text: _let(F.lower(text), lambda lowered: with_lowered(text, lowered)),
+    )
+
+
+def fold_text(text):
+    """The folded form of one Python string."""
+    text = text.replace(_DOTTED_I, "i").lower()
     for letter, ascii_letter in _FOLDED_LETTERS:
-        folded = F.replace(folded, F.lit(letter), F.lit(ascii_letter))
-    return F.lower(folded)
+        text = text.replace(letter, ascii_letter)
+    return text
+
+
+def is_plain(pattern):
+    """The pattern is made of ASCII words only, so a search is a substring test."""
+    return _PLAIN_WORDS.fullmatch(pattern) is not None
+
+
+def needed_terms(terms):
+    """The terms without repeats and without those that contain another one."""
+    terms = list(dict.fromkeys(terms))
+    return [t for t in terms if not any(other != t and other in t for other in terms)]
 
 
 def contains_any(text, terms):
     """Any of the terms occurs in ``text``, as it stands."""
-    terms = list(dict.fromkeys(terms))
-    # A term that contains another one adds nothing.
-    needed = [t for t in terms if not any(other != t and other in t for other in terms)]
-    if not needed:
-        return F.lit(False)
-    return reduce(operator.or_, (text.contains(term) for term in needed))
+    tests = [text.contains(term) for term in needed_terms(terms)]
+    return reduce(operator.or_, tests) if tests else F.lit(False)
 
 
 def java_pattern(patterns):
@@ -81,37 +123,68 @@ def java_pattern(patterns):
     return "(?iU)(?:" + "|".join(spelled) + ")"
 
 
-def matches_any(text, patterns):
-    """Search for any of the patterns, case ignored.
+def _has_keyword(content, folded, keywords):
+    """Plain words by substring search, some three times as fast as one regex."""
+    if all(map(is_plain, keywords)):
+        return contains_any(folded, (k.lower() for k in keywords))
+    return content.rlike(java_pattern(keywords))
 
-    Plain words go through substring search, about three times as fast as the
-    alternation regex; anything else is a regex.
-    """
-    if all(_PLAIN_WORDS.fullmatch(p) for p in patterns):
-        return contains_any(fold_case(text), (p.lower() for p in patterns))
-    return _column(text).rlike(java_pattern(patterns))
+
+# The indicators, given the lower-cased and the folded content.
+
+
+def _requirements(lowered, folded):
+    return contains_any(folded, fixed.REQUIREMENT_WORDS)
+
+
+def _experience(lowered, folded):
+    """The substring test spares most posts the regex."""
+    pattern = java_pattern(fixed.EXPERIENCE_PATTERNS)
+    return folded.contains(fixed.EXPERIENCE_WORD) & folded.rlike(pattern)
+
+
+def _apply_action(lowered, folded):
+    return contains_any(folded, fixed.ACTION_WORDS)
+
+
+def _word(word):
+    return lambda lowered, folded: lowered.contains(word)
+
+
+_INDICATORS = (
+    _requirements,
+    _experience,
+    _apply_action,
+    _word(fixed.RESUME_WORD),
+    _word(fixed.CV_WORD),
+    _word(fixed.POSITION_WORD),
+    _word(fixed.ROLE_WORD),
+)
+
+
+def _count(lowered, folded):
+    return reduce(operator.add, (test(lowered, folded).cast("int") for test in _INDICATORS))
+
+
+# The predicates, each over a content column; null for a null content.
 
 
 def matches_job_keyword(content, keywords=fixed.JOB_KEYWORDS):
-    return matches_any(content, keywords)
+    return _with_forms(
+        content, lambda content, lowered, folded: _has_keyword(content, folded, keywords)
+    )
 
 
 def has_requirements(content):
-    return matches_any(content, fixed.REQUIREMENT_WORDS)
+    return _with_forms(content, lambda content, *forms: _requirements(*forms))
 
 
 def has_experience(content):
-    """A number of years, or "years of experience".
-
-    The patterns begin at the last digit: a search finds the same posts as with
-    all digits, without trying every start in a long number.  The substring
-    test spares most posts the regex.
-    """
-    return fold_case(content).contains("year") & matches_any(content, fixed.EXPERIENCE_PATTERNS)
+    return _with_forms(content, lambda content, *forms: _experience(*forms))
 
 
 def has_apply_action(content):
-    return matches_any(content, fixed.ACTION_WORDS)
+    return _with_forms(content, lambda content, *forms: _apply_action(*forms))
 
 
 def mentions(content, word):
@@ -135,26 +208,19 @@ def mentions_role(content):
     return mentions(content, fixed.ROLE_WORD)
 
 
-INDICATORS = (
-    has_requirements,
-    has_experience,
-    has_apply_action,
-    mentions_resume,
-    mentions_cv,
-    mentions_position,
-    mentions_role,
-)
-
-
 def indicator_count(content):
     """How many of the seven indicators hold."""
-    return reduce(operator.add, (test(content).cast("int") for test in INDICATORS))
+    return _with_forms(content, lambda content, *forms: _count(*forms))
 
 
 def is_job_post(content, keywords=fixed.JOB_KEYWORDS):
     """A job keyword and at least two indicators; false for null and empty."""
-    enough = indicator_count(content) >= fixed.MIN_INDICATORS
-    return F.coalesce(matches_job_keyword(content, keywords) & enough, F.lit(False))
+
+    def test(content, lowered, folded):
+        enough = _count(lowered, folded) >= fixed.MIN_INDICATORS
+        return _has_keyword(content, folded, keywords) & enough
+
+    return F.coalesce(_with_forms(content, test), F.lit(False))
 
 
 def is_relevant_post(content, keywords=fixed.JOB_KEYWORDS):
@@ -164,4 +230,16 @@ def is_relevant_post(content, keywords=fixed.JOB_KEYWORDS):
 
 def mentions_any(content, terms=fixed.CITY_TERMS):
     """Any of the terms occurs in the lower-cased content."""
-    return contains_any(F.lower(_column(content)), terms)
+    return _let(F.lower(_column(content)), lambda lowered: contains_any(lowered, terms))
+
+
+def mentions_all(content, terms):
+    """All of the terms occur in the lower-cased content."""
+    terms = list(dict.fromkeys(terms))
+    if not terms:
+        return F.lit(True)
+
+    def test(lowered):
+        return reduce(operator.and_, (lowered.contains(term) for term in terms))
+
+    return _let(F.lower(_column(content)), test)

@@ -1,8 +1,5 @@
 """Operators on posts: search, order, limit, de-duplicate, unite, filter."""
 
-import operator
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,9 +13,7 @@ def search_posts(posts, search_text):
 
     An empty search keeps all posts.
     """
-    content = F.lower("content")
-    terms = dict.fromkeys(search_text.lower().split())
-    return posts.where(reduce(operator.and_, (content.contains(t) for t in terms), F.lit(True)))
+    return posts.where(text.mentions_all("content", search_text.lower().split()))
 
 
 def latest_first(posts, ts_col):

@@ -256,13 +256,18 @@ def extract_posts(spark, sf_dir):
     return extract_post_details(find_posts(fixtures.pages(spark, sf_dir)))
 
 
+def _html_text_sql(source):
+    """Text of a snippet without tags; ``&amp`` counts without its semicolon too."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
+        source = f"replace({source}, '{entity}', '{char}')"
+    return f"regexp_replace({source}, '&amp;?', '&', 'g')"
+
+
 @query(
-    "select page_id, 0 as pos,"
-    " replace(replace(replace(regexp_extract(html, '<article><h1>([^<]*)', 1),"
-    " '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as content,"
-    " replace(replace(replace(regexp_extract(html, '<a href=\"/[^\"]*\">([^<]*)', 1),"
-    " '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as actor_title,"
-    " regexp_extract(html, '<html lang=\"([^\"]*)', 1) as data_urn from pages"
+    f"""select page_id, 0 as pos,
+{_html_text_sql("regexp_extract(html, '<article><h1>([^<]*)', 1)")} as content,
+{_html_text_sql("regexp_extract(html, '<a href=./[^>]*>([^<]*)', 1)")} as actor_title,
+regexp_extract(html, '<html lang="([^"]*)', 1) as data_urn from pages"""
 )
 def extract_custom_selectors(spark, sf_dir):
     """The given web pages, with selectors that fit them."""

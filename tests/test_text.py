@@ -1,0 +1,171 @@
+"""Predicates and clean-up against Python's own re and str."""
+
+import random
+import re
+import sys
+
+import pytest
+from pyspark.sql import functions as F
+
+from feedsieve.functions import fixed_values as fixed
+from feedsieve.functions import text
+
+# The rules as Python states them.
+KEYWORD = re.compile("|".join(fixed.JOB_KEYWORDS), re.IGNORECASE)
+REQUIREMENTS = re.compile(r"requirements?|qualifications?", re.IGNORECASE)
+EXPERIENCE = re.compile(r"\d+\+?\s*years?|years? of experience", re.IGNORECASE)
+ACTION = re.compile(r"apply|send|email|dm|interested|opportunity", re.IGNORECASE)
+
+
+def expected_count(content):
+    lower = content.lower()
+    return sum(
+        [
+            bool(REQUIREMENTS.search(content)),
+            bool(EXPERIENCE.search(content)),
+            bool(ACTION.search(content)),
+            "resume" in lower,
+            "cv" in lower,
+            "position" in lower,
+            "role" in lower,
+        ]
+    )
+
+
+def expected_job_post(content):
+    return bool(content) and bool(KEYWORD.search(content)) and expected_count(content) >= 2
+
+
+GOLDEN = [
+    "", "5+ years", "٥ years", "5\xa0years", "5\x1fyears", "5 \x1c year", "year of experience",
+    "yearss of experience", "ſend", "İnterested", "ınterested", "Kills", "sKills required",
+    "sKills required", "parole", "admin", "cvs", "posİtion", "posi̇tion", "reſume", "hi̇ring",
+    "HİRING. ſend your CV", "Job requirements: email your CV", "admin position", "123456 years",
+    "We are HIRING. Send your RESUME.", "opportunity position", "years", "5years", "5 + years",
+]
+
+
+def random_texts(n):
+    rng = random.Random(11)
+    pieces = [
+        *fixed.JOB_KEYWORDS, *fixed.ACTION_WORDS, "requirements", "qualification", "resume", "cv",
+        "years of experience", "years", "year", "5", "12+", "٣", " ", "\n", "\xa0", "\x1e", " ",
+        "x", "é", "ß", "̇", "Σ",
+    ]
+    swaps = {"i": "iIİı", "s": "sSſ", "k": "kKK"}
+    out = []
+    for _ in range(n):
+        words = "".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randint(1, 6)))
+        out.append(
+            "".join(
+                rng.choice(swaps.get(c, c + c.upper()[:1])) if rng.random() < 0.15 else c
+                for c in words
+            )
+        )
+    return out
+
+
+@pytest.fixture(scope="module")
+def scored(spark):
+    texts = GOLDEN + random_texts(3000)
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, content string")
+    rows = df.select(
+        "n",
+        text.matches_job_keyword("content").alias("keyword"),
+        text.has_requirements("content").alias("requirements"),
+        text.has_experience("content").alias("experience"),
+        text.has_apply_action("content").alias("action"),
+        text.indicator_count("content").alias("count"),
+        text.is_job_post("content").alias("job"),
+        text.is_relevant_post("content").alias("relevant"),
+        text.matches_job_keyword("content", (*fixed.JOB_KEYWORDS, "(?:x)y*z")).alias("by_regex"),
+        text._with_forms("content", lambda content, lowered, folded: folded).alias("folded"),
+    ).collect()
+    return [(texts[r.n], r) for r in rows]
+
+
+@pytest.mark.parametrize(
+    "column, rule",
+    [
+        ("keyword", lambda t: bool(KEYWORD.search(t))),
+        ("requirements", lambda t: bool(REQUIREMENTS.search(t))),
+        ("experience", lambda t: bool(EXPERIENCE.search(t))),
+        ("action", lambda t: bool(ACTION.search(t))),
+        ("count", expected_count),
+        ("job", expected_job_post),
+        ("relevant", lambda t: expected_job_post(t.lower())),
+        ("by_regex", lambda t: bool(re.search("|".join(fixed.JOB_KEYWORDS + ("(?:x)y*z",)), t, re.I))),
+        ("folded", text.fold_text),
+    ],
+)
+def test_rule_equals_python(scored, column, rule):
+    wrong = [(t, r[column], rule(t)) for t, r in scored if r[column] != rule(t)]
+    assert not wrong[:5]
+    assert len({repr(r[column]) for _, r in scored}) > 1
+
+
+def test_letters_that_fold_to_ascii():
+    letters = re.compile("[a-z]", re.IGNORECASE)
+    found = {chr(c) for c in range(128, sys.maxunicode + 1) if letters.match(chr(c))}
+    assert found == {"İ", "ı", "ſ", "K"}
+    assert [text.fold_text(c) for c in sorted(found)] == ["i", "i", "s", "k"]
+
+
+def test_null_content(spark):
+    row = (
+        spark.createDataFrame([(None,)], "content string")
+        .select(
+            text.is_job_post("content").alias("job"),
+            text.is_relevant_post("content").alias("relevant"),
+            text.matches_job_keyword("content").alias("keyword"),
+        )
+        .first()
+    )
+    assert (row.job, row.relevant, row.keyword) == (False, False, None)
+
+
+def test_whitespace_is_the_one_of_python():
+    assert set(text.PY_WHITESPACE) == {chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace()}
+
+
+def test_parts_of_a_post(spark):
+    rows = [
+        " a ", "\na\n", "\xa0a\xa0", "\x1fa", "​a", "", "\t \n", "\nJane", "Jane \n2nd", "a b",
+        *(f"{c}a{c}b{c}" for c in text.PY_WHITESPACE),
+    ]
+    df = spark.createDataFrame([(r,) for r in rows], "v string")
+    got = df.select("v", text.clean_content("v").alias("c"), text.profile_name("v").alias("p"))
+    for v, c, p in got.collect():
+        assert c == v.strip()
+        assert p == v.split("\n")[0].strip()
+
+
+def test_post_url(spark):
+    df = spark.createDataFrame([("urn:x",), ("",), (None,)], "u string")
+    got = [r[0] for r in df.select(text.post_url("u", "http://h/")).collect()]
+    assert got == ["http://h/urn:x", None, None]
+
+
+def test_mentions_any_and_all(spark):
+    df = spark.createDataFrame([("Work in PUNE, noida",), ("London",), (None,)], "c string")
+    got = df.select(
+        text.mentions_any("c"),
+        text.mentions_any("c", ()),
+        text.mentions_all("c", ("pune", "noida")),
+        text.mentions_all("c", ()),
+    ).collect()
+    assert [tuple(r) for r in got] == [
+        (True, False, True, True),
+        (False, False, False, True),
+        (None, False, None, True),
+    ]
+
+
+def test_java_pattern_spells_out_blanks():
+    assert text.java_pattern([r"a\s", r"\\s"]) == r"(?iU)(?:a[\s\x1c-\x1f]|\\s)"
+
+
+def test_long_number_takes_no_quadratic_time(spark):
+    df = spark.range(1).select((F.repeat(F.lit("1"), 200_000)).alias("c"))
+    flag = text.has_experience(F.concat("c", F.lit(" yes year")))
+    assert df.select(flag).first()[0] is False
