@@ -22,10 +22,9 @@ PY_WHITESPACE = (
 )
 
 # Letters outside ASCII that match an ASCII letter when case is ignored, but do
-# not turn into it in lower case: the dotless i, the long s, and the dotted capital
-# I, whose lower case is an i and a separate dot.  (The Kelvin sign turns into k.)
-_DOTTED_I = "\u0130"
-_FOLDED_LETTERS = (("\u0131", "i"), ("\u017f", "s"))
+# not turn into it in lower case: the dotted capital I (whose lower case is an i
+# and a separate dot), the dotless i, the long s.  (The Kelvin sign turns into k.)
+_FOLDED_LETTERS = (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"))
 
 _PLAIN_WORDS = re.compile(r"[A-Za-z0-9 ]+")
 
@@ -63,24 +62,23 @@ def _let(value, use):
     return F.transform(F.array(value), use)[0]
 
 
-def _with_forms(content, use):
-    """``use(content, lowered, folded)``.
+def _fold(content, lowered):
+    """Form in which ASCII words are found as by a regex with case ignored.
 
-    In the folded content ASCII words can be looked up the way a regex search
-    with case ignored finds them.  It is the lower-cased one for nearly every
-    text, so that is lowered once.
+    It is the lower-cased content for nearly every text.
     """
+    special = reduce(operator.or_, (content.contains(letter) for letter, _ in _FOLDED_LETTERS))
+    plain = content
+    for letter, ascii_letter in _FOLDED_LETTERS:
+        plain = F.replace(plain, F.lit(letter), F.lit(ascii_letter))
+    return F.when(special, F.lower(plain)).otherwise(lowered)
 
-    def folded(content, lowered):
-        dotted = content.contains(_DOTTED_I)
-        form = F.when(dotted, F.lower(F.replace(content, F.lit(_DOTTED_I), F.lit("i"))))
-        form = form.otherwise(lowered)
-        for letter, ascii_letter in _FOLDED_LETTERS:
-            form = F.replace(form, F.lit(letter), F.lit(ascii_letter))
-        return form
 
-    def with_lowered(content, lowered):
-        return _let(folded(content, lowered), lambda form: use(content, lowered, form))
+def _with_forms(content, use):
+    """``use(content, lowered content, folded content)``."""
+
+    def with_lowered(text, lowered):
+        return _let(_fold(text, lowered), lambda folded: use(text, lowered, folded))
 
     return _let(
         _column(content),
@@ -90,10 +88,9 @@ def _with_forms(content, use):
 
 def fold_text(text):
     """The folded form of one Python string."""
-    text = text.replace(_DOTTED_I, "i").lower()
     for letter, ascii_letter in _FOLDED_LETTERS:
         text = text.replace(letter, ascii_letter)
-    return text
+    return text.lower()
 
 
 def is_plain(pattern):
@@ -213,19 +210,29 @@ def indicator_count(content):
     return _with_forms(content, lambda content, *forms: _count(*forms))
 
 
-def is_job_post(content, keywords=fixed.JOB_KEYWORDS):
-    """A job keyword and at least two indicators; false for null and empty."""
-
+def _job_post_test(keywords):
     def test(content, lowered, folded):
         enough = _count(lowered, folded) >= fixed.MIN_INDICATORS
         return _has_keyword(content, folded, keywords) & enough
 
-    return F.coalesce(_with_forms(content, test), F.lit(False))
+    return test
+
+
+def is_job_post(content, keywords=fixed.JOB_KEYWORDS):
+    """A job keyword and at least two indicators; false for null and empty."""
+    return F.coalesce(_with_forms(content, _job_post_test(keywords)), F.lit(False))
 
 
 def is_relevant_post(content, keywords=fixed.JOB_KEYWORDS):
-    """The job-post test on the lower-cased content; a missing one is empty."""
-    return is_job_post(F.lower(F.coalesce(_column(content), F.lit(""))), keywords)
+    """The job-post test on the lower-cased content; a missing one is empty.
+
+    Lower case stays as it is when lowered again, so that is done once.
+    """
+    test = _job_post_test(keywords)
+    return _let(
+        F.lower(F.coalesce(_column(content), F.lit(""))),
+        lambda text: _let(_fold(text, text), lambda folded: test(text, text, folded)),
+    )
 
 
 def mentions_any(content, terms=fixed.CITY_TERMS):
