@@ -12,18 +12,22 @@ from html.entities import html5
 
 from ..functions import fixed_values as fixed
 
+# Each alternative may also run into the end of the page.  What is left open
+# there is no tag, and trying again from every later "<" would take forever.
 _NAME = r"[a-zA-Z][^\s/>]*+"
-_ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)?+)?+"""
+_QUOTED = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))"""
+_ATTRIBUTE = rf"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{_QUOTED}|[^\s>"'][^\s>]*+)?+)?+"""
 # End tag | start tag | comment | anything else that is not shown.
 _TAG = re.compile(
-    rf"<(?:/({_NAME})[^>]*+>"
-    rf"|({_NAME})((?:[\s/]++|{_ATTRIBUTE})*+)>"
+    rf"<(?:/({_NAME})[^>]*+(>|\Z)"
+    rf"|({_NAME})((?:[\s/]++|{_ATTRIBUTE})*+)(>|\Z)"
     rf"|!--(?:-?>|.*?(?:--!?>|\Z))"
-    rf"|(?:[!?]|/(?![a-zA-Z]))[^>]*+>)",
-    re.DOTALL,
+    rf"|(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z))",
+    re.DOTALL | re.ASCII,
 )
 _ATTRIBUTE_PARTS = re.compile(
-    r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+"""
+    r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""",
+    re.ASCII,
 )
 _ATTRIBUTE_ENTITY = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|([a-zA-Z][a-zA-Z0-9]*)(;|(?!=)))")
 
@@ -38,7 +42,7 @@ _BLOCK = frozenset(
 _CLOSES_PARAGRAPH = _BLOCK - frozenset("body html tbody td tfoot th thead tr".split())
 _TABLE_PARTS = frozenset("caption table tbody td tfoot th thead tr".split())
 _SCOPE_EDGE = frozenset("caption html table td th".split())
-_RAW_TEXT_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in _RAW_TEXT}
+_RAW_TEXT_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE | re.ASCII) for name in _RAW_TEXT}
 
 _SELECTOR_STEP = re.compile(
     r"""(?P<tag>^[a-zA-Z][\w-]*|^\*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)"""
@@ -190,6 +194,7 @@ class PostFinder:
         self._posts = []
         self._best = len(self._containers)
         self._stack = stack = []  # names of the open elements
+        self._open = opened = {}  # how many elements of a name are open
         self._marked = []  # (depth, post or None, texts) of those that matched
         self._open_posts = []
         self._open_texts = open_texts = []
@@ -205,7 +210,9 @@ class PostFinder:
             if tag is None:
                 break
             at = tag.end()
-            ended, started, source = tag.groups()
+            ended, end_close, started, source, start_close = tag.groups()
+            if end_close == "" or start_close == "":
+                break
             name = (ended or started or "").lower()
 
             if name == "br":
@@ -223,11 +230,12 @@ class PostFinder:
                 if name == "template":
                     templates += 1
                 if name in _BLOCK:
-                    if name in _CLOSES_PARAGRAPH and "p" in stack:
+                    if name in _CLOSES_PARAGRAPH:
                         self._close("p")
                     for text in open_texts:
                         text.start_line()
                 stack.append(name)
+                opened[name] = opened.get(name, 0) + 1
                 if not templates and self._may_match(name, source):
                     self._enter(name, _attributes(source))
                 if name in _VOID:
@@ -265,6 +273,8 @@ class PostFinder:
             self._marked.append((len(self._stack) - 1, post, texts))
 
     def _close(self, name):
+        if not self._open.get(name):
+            return
         stack = self._stack
         depth = len(stack) - 1
         if depth < 0 or stack[depth] != name:
@@ -277,6 +287,8 @@ class PostFinder:
                 text.start_line()
 
     def _close_to(self, depth):
+        for name in self._stack[depth:]:
+            self._open[name] -= 1
         del self._stack[depth:]
         while self._marked and self._marked[-1][0] >= depth:
             _, post, texts = self._marked.pop()

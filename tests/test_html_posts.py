@@ -142,3 +142,16 @@ def test_unsupported_selector(selector):
 @pytest.mark.parametrize("html", ["", "plain", "<", "<div", "</", "<!--", '<div class="', "<div class='feed-shared-update-v2"])
 def test_broken_pages(html):
     assert find(html) == []
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<a ", '<a x="', "<", "<!--", "<!", "</a", "<div>", "<p>", "<script>", "</b>", "<a b=c ", "&"],
+)
+def test_hostile_pages_take_linear_time(piece):
+    assert find(piece * 50_000) == []
+
+
+def test_names_are_ascii():
+    assert find("<\u017fcript></script>" + post()) == [("text", "Jane", "urn:li:activity:1")]
+    assert find("<script></\u017fcript>" + post() + "</script>") == []
