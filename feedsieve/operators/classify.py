@@ -14,9 +14,6 @@ from ..functions.replies import (
 
 ERROR = "error"
 
-# Copies of a text are spread over this many join groups.
-_SALTS = 32
-
 
 class LabelError(RuntimeError):
     """A row could not be labelled."""
@@ -113,9 +110,9 @@ def classify(
     """Label ``input_col``; ``reuse_answers`` asks once per distinct text.
 
     Asking once pays where copies are common and a call is dear.  The answers
-    travel by digest, not by text, and both sides are salted, so a text that
-    makes up a third of the rows is spread over many tasks.  (Rows alike in
-    every column share a salt; splitting those is left to the adaptive join.)
+    travel by digest, not by text.  The rows of a text that makes up a third of
+    the table meet in one join partition, which the adaptive skew join splits;
+    there is just one answer to repeat for each split.
     """
     options = dict(on_error=on_error, batch_size=batch_size, partitions=partitions)
     if not reuse_answers:
@@ -124,14 +121,8 @@ def classify(
     added = [spec.name] + ([ERROR] if on_error == "quarantine" else [])
     digest = F.coalesce(F.sha2(F.col(input_col), 256), F.lit("")).alias("_digest")
     texts = df.select(input_col).distinct()
-    answers = (
-        infer(texts, input_col, spec, client_factory, **options)
-        .select(digest, *added)
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    )
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)).cast("int").alias("_salt")
-    keyed = df.select("*", digest, salt)
-    return keyed.join(answers, ["_digest", "_salt"]).select(*df.columns, *added)
+    answers = infer(texts, input_col, spec, client_factory, **options).select(digest, *added)
+    return df.select("*", digest).join(answers, "_digest").select(*df.columns, *added)
 
 
 def classify_jobs(posts, client_factory, spec=HIRING_POST, **options):

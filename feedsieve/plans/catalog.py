@@ -15,7 +15,7 @@ from ..operators.extract import extract_post_details, find_posts
 from ..operators.html_posts import SelectorSpec
 from ..schema import LABELLED_POST, POST
 from ..session import new_table_path
-from ..sources.pages import read_pages
+from ..sources.pages import read_pages, stream_pages
 from ..sources.post_tables import (
     PostSink,
     append_core_csv,
@@ -37,12 +37,12 @@ QUERIES = {}
 ORACLES = {}
 
 
-def query(sql):
-    """Register the function under its name, together with its SQL."""
+def query(sql, name=None):
+    """Register the function under its name, or another, together with its SQL."""
 
     def register(function):
-        QUERIES[function.__name__] = function
-        ORACLES[function.__name__] = sql
+        QUERIES[name or function.__name__] = function
+        ORACLES[name or function.__name__] = sql
         return function
 
     return register
@@ -244,13 +244,14 @@ def post_url(spark, sf_dir):
     )
 
 
-@query(f"select page_id, pos, content, actor_title, data_urn from ({fixtures.FOUND_SQL}) f")
+@query(f"select page_id, pos, content, actor_title, data_urn from ({fixtures.FOUND_SQL}) f", name="find_posts")
 def find_posts_on_pages(spark, sf_dir):
     return find_posts(fixtures.pages(spark, sf_dir))
 
 
 @query(
-    f"select page_id, pos, content, url, profile_name from ({_parts_sql(fixtures.FOUND_SQL)}) p"
+    f"select page_id, pos, content, url, profile_name from ({_parts_sql(fixtures.FOUND_SQL)}) p",
+    name="extract_post_details",
 )
 def extract_posts(spark, sf_dir):
     return extract_post_details(find_posts(fixtures.pages(spark, sf_dir)))
@@ -280,6 +281,22 @@ def extract_custom_selectors(spark, sf_dir):
     return find_posts(read_pages(spark, f"{sf_dir}/pages.parquet"), spec)
 
 
+@query("select page_id, url, html from pages", name="read_pages")
+def pages_table(spark, sf_dir):
+    return read_pages(spark, f"{sf_dir}/pages.parquet")
+
+
+@query("select page_id, url, html from pages", name="stream_pages")
+def pages_as_stream(spark, sf_dir):
+    """The pages as a stream of files, two per batch, copied to a table."""
+    arriving, copied = new_table_path(spark, "arriving"), new_table_path(spark, "copied")
+    read_pages(spark, f"{sf_dir}/pages.parquet").repartition(4).write.parquet(arriving)
+    writer = stream_pages(spark, arriving, max_files=2).writeStream.format("parquet")
+    writer = writer.option("checkpointLocation", new_table_path(spark, "copied_state"))
+    writer.trigger(availableNow=True).start(copied).awaitTermination()
+    return read_pages(spark, copied)
+
+
 # --- Search, order, limit, de-duplication, union -----------------------------
 
 
@@ -306,7 +323,7 @@ def latest_first(spark, sf_dir):
 
 
 @query(
-    "select page_id, url, length(html) as html_length from pages"
+    "select page_id, url, cast(length(html) as int) as html_length from pages"
     f" order by page_id limit {LIMITED_PAGES}"
 )
 def limit_pages(spark, sf_dir):
@@ -361,7 +378,8 @@ _PROMPT_SQL = HIRING_PROMPT.replace("'", "''")
 
 @query(
     f"select page_id, pos, 2 as messages, 'system' as first_role, '{_PROMPT_SQL}' as first_content,"
-    f" 'user' as second_role, content as second_content from {_RAW}"
+    f" 'user' as second_role, content as second_content from {_RAW}",
+    name="build_messages",
 )
 def messages(spark, sf_dir):
     built = _raw_contents(spark, sf_dir).select(
@@ -413,7 +431,8 @@ def _by_form(index):
 
 @query(
     "select doc_id, label as classification, label is null as refused from"
-    f" (select doc_id, cast({_by_form(1)} as bigint) as label from documents) l"
+    f" (select doc_id, cast({_by_form(1)} as bigint) as label from documents) l",
+    name="parse_classification",
 )
 def parse_replies(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -426,7 +445,7 @@ def parse_replies(spark, sf_dir):
     )
 
 
-@query(_labelled_sql(_first_sql(_POSTS_SQL)))
+@query(_labelled_sql(_first_sql(_POSTS_SQL)), name="classify_jobs")
 def classify_hiring(spark, sf_dir):
     posts = ops.first_per_url(_posts(spark, sf_dir)).select(*POST.names)
     return classify_jobs(posts, RuleClient())
@@ -475,7 +494,8 @@ def csv_roundtrip(spark, sf_dir):
 
 @query(
     f"select content, url, profile_name from ({_POSTS_SQL}) p"
-    f" union all select content, url, profile_name from ({_POSTS_SQL}) q"
+    f" union all select content, url, profile_name from ({_POSTS_SQL}) q",
+    name="append_core_csv",
 )
 def append_core(spark, sf_dir):
     path = new_table_path(spark, "append_core")
@@ -487,7 +507,8 @@ def append_core(spark, sf_dir):
 
 @query(
     f"select content, url, profile_name, null as hiring_post from ({_POSTS_SQL}) p"
-    f" union all select * from ({_labelled_sql(_POSTS_SQL)}) q"
+    f" union all select * from ({_labelled_sql(_POSTS_SQL)}) q",
+    name="append_posts_csv",
 )
 def append_posts(spark, sf_dir):
     """Unlabelled rows first, then labelled ones: the columns differ."""
@@ -498,7 +519,7 @@ def append_posts(spark, sf_dir):
     return append_posts_csv(labelled, first, new_table_path(spark, "append_posts_union"))
 
 
-@query(_labelled_sql(_SCRAPED_SQL))
+@query(_labelled_sql(_SCRAPED_SQL), name="run_once")
 def run_pages_once(spark, sf_dir):
     sink = PostSink(new_table_path(spark, "run_once"))
     run_once(fixtures.pages(spark, sf_dir), RuleClient(), sink)
@@ -513,7 +534,7 @@ def run_relevant_only(spark, sf_dir):
     return sink.read(spark)
 
 
-@query(_labelled_sql(_SCRAPED_SQL))
+@query(_labelled_sql(_SCRAPED_SQL), name="run_stream")
 def run_pages_stream(spark, sf_dir):
     """The pages as files of a stream; copies of a url share a page, so a batch."""
     arriving = new_table_path(spark, "arriving_pages")

@@ -107,7 +107,7 @@ def pages(spark, sf_dir):
 # What the extraction has to find on those pages.
 FOUND_SQL = f"""
 select doc_id, page_id,
-  row_number() over (partition by page_id order by doc_id) - 1 as pos,
+  cast(row_number() over (partition by page_id order by doc_id) - 1 as int) as pos,
   case when page_id % 5 = 4 then null else content end as content,
   actor_title,
   case when page_id % 5 = 4 then null else data_urn end as data_urn
