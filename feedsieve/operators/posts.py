@@ -48,8 +48,14 @@ def with_position(ordered, name="position"):
 
 
 def limit_pages(pages, n=MAX_PAGES):
-    """The first ``n`` pages; ``n`` is meant to be small (a top-n per task)."""
-    return pages.orderBy("page_id").limit(n)
+    """The first ``n`` pages.
+
+    The ids alone decide where to stop, and the scan skips what lies behind:
+    the HTML of the other pages is not read where the table is sorted by id.
+    """
+    first_ids = pages.select("page_id").orderBy("page_id").limit(n)
+    last_id = first_ids.agg(F.max("page_id")).scalar()
+    return pages.where(F.col("page_id") <= last_id).orderBy("page_id").limit(n)
 
 
 def limit_posts(posts, n=MAX_POSTS):

@@ -25,7 +25,7 @@ from ..sources.post_tables import (
 )
 from ..streaming.repeated_run import run_stream
 from . import fixtures
-from .run import RunOptions, StageCounts, plan_posts, run_once
+from .run import RunOptions, run_once
 
 SOURCE_LABEL = LabelSpec("source_label", "Answer 1 if the text names one of the sources.")
 SOURCE_TERMS = ("src1", "src7")
@@ -359,16 +359,16 @@ def union_posts(spark, sf_dir):
 @query(
     f"select (select count(*) from ({fixtures.FOUND_SQL}) f) as found,"
     f" (select count(*) from ({_parts_sql(fixtures.FOUND_SQL)}) p) as extracted,"
-    f" (select count(*) from ({_SCRAPED_SQL}) s) as scraped"
+    f" n as scraped, n as classified, n as appended, n as total"
+    f" from (select count(*) as n from ({_SCRAPED_SQL}) s) t"
 )
 def stage_counts(spark, sf_dir):
-    """Rows per stage, observed while the plan runs once."""
-    counts = StageCounts()
-    posts = plan_posts(fixtures.pages(spark, sf_dir), watch=counts.watch)
-    posts.write.format("noop").mode("overwrite").save()
-    seen = counts.get()
-    schema = ", ".join(f"{stage} bigint" for stage in seen)
-    return spark.createDataFrame([tuple(seen.values())], schema)
+    """Rows per stage, observed while one run executes, and rows stored."""
+    sink = PostSink(new_table_path(spark, "stage_counts"))
+    counts = run_once(fixtures.pages(spark, sf_dir), RuleClient(), sink)
+    counts["total"] = sink.total(spark)
+    schema = ", ".join(f"{stage} bigint" for stage in counts)
+    return spark.createDataFrame([tuple(counts.values())], schema)
 
 
 # --- Labelling ---------------------------------------------------------------

@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from ..operators.classify import classify_jobs, split_quarantine
 from ..operators.extract import extract_post_details, find_posts
 from ..operators.html_posts import SelectorSpec
-from ..operators.posts import filter_relevant, first_per_url, limit_posts, search_posts
+from ..operators.posts import (
+    filter_relevant,
+    first_per_url,
+    limit_pages,
+    limit_posts,
+    search_posts,
+)
 from ..session import shared_dir
 
 
@@ -16,11 +22,12 @@ from ..session import shared_dir
 class RunOptions:
     """What a run reads from the pages and how it labels the posts.
 
-    ``search_text``, ``max_posts`` and ``only_relevant`` are off by default: a
-    plain run labels every post it finds.
+    The limits and filters are off by default: a plain run labels every post it
+    finds.
     """
 
     selectors: SelectorSpec = SelectorSpec()
+    max_pages: int | None = None
     search_text: str | None = None
     max_posts: int | None = None
     only_relevant: bool = False
@@ -60,6 +67,8 @@ def plan_posts(pages, options=RunOptions(), watch=_unwatched):
 
     Everything that drops rows comes before the model is asked.
     """
+    if options.max_pages is not None:
+        pages = limit_pages(pages, options.max_pages)
     raw_posts = watch("found", find_posts(pages, options.selectors))
     posts = watch("extracted", extract_post_details(raw_posts))
     if options.search_text:
@@ -92,11 +101,11 @@ def run_once(
     )
     labelled = counts.watch("classified", labelled)
     if options.on_error == "fail":
-        sink.write(labelled, batch_id)
+        sink.write(counts.watch("appended", labelled), batch_id)
     else:
         shared_dir(posts.sparkSession)
         good, failed = split_quarantine(labelled.checkpoint())
-        sink.write(good, batch_id)
+        sink.write(counts.watch("appended", good), batch_id)
         quarantine_sink.write(failed, batch_id)
     return counts.get()
 

@@ -135,3 +135,7 @@ class PostSink:
         if self.format == "csv":
             return read_posts_csv(spark, self.path, schema)
         return spark.read.schema(schema).parquet(self.path).select(*schema.names)
+
+    def total(self, spark):
+        """Rows stored so far; a look at the footers for Parquet."""
+        return self.read(spark).count()

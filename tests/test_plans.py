@@ -61,8 +61,34 @@ def test_scores_read_one_text_column(spark, sf_dir):
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
 
 
-def test_limit_is_a_top_n(pages):
-    assert "TakeOrderedAndProject" in plan_of(ops.limit_pages(pages, 3))
+def test_limited_pages_skip_the_rest_of_a_sorted_table(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    html = F.repeat(F.lit("x"), 1000).alias("html")
+    pages = spark.range(0, 4000, 1, 8).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), html)
+    pages.write.parquet(path)
+    limited = ops.limit_pages(read_pages(spark, path), 20)
+    assert [r.page_id for r in limited.collect()] == list(range(20))
+    plan = plan_of(limited)
+    assert "TakeOrderedAndProject" in plan and "ReadSchema: struct<page_id:bigint>" in plan
+    assert rows_read(limited) == 500
+
+
+def rows_read(df):
+    """Rows that came out of the scan of all columns."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif node.nodeName().startswith("Scan parquet") and "html" in node.toString():
+            found.append(node.metrics().apply("numOutputRows").value())
+        else:
+            children = node.children()
+            todo += [children.apply(n) for n in range(children.size())]
+            if hasattr(node, "plan") and "QueryStage" in node.getClass().getSimpleName():
+                todo.append(node.plan())
+    (count,) = found
+    return count
 
 
 @pytest.fixture

@@ -92,6 +92,10 @@ def test_latest_first_and_position(spark):
 def test_limits(spark):
     pages = spark.createDataFrame([(n, None, "h") for n in (5, 3, 9, 1)], PAGE).repartition(3)
     assert [r.page_id for r in ops.limit_pages(pages, 2).collect()] == [1, 3]
+    assert ops.limit_pages(pages, 9).count() == 4
+    assert ops.limit_pages(pages.where("page_id < 0"), 2).count() == 0
+    copies = pages.union(pages)
+    assert [r.page_id for r in ops.limit_pages(copies, 3).collect()] == [1, 1, 3]
     posts = placed_posts(spark, [(n // 2, n % 2, "c", f"u{n}", "") for n in range(30)]).repartition(3)
     assert [r.url for r in ops.limit_posts(posts, 3).collect()] == ["u0", "u1", "u2"]
     assert ops.limit_posts(posts).count() == 10

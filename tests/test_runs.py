@@ -10,6 +10,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql.types import StringType, StructField, StructType
 
 from feedsieve.functions.clients import RuleClient
+from feedsieve.functions.fixed_values import POST_BASE_URL
 from feedsieve.operators.classify import ERROR
 from feedsieve.plans import fixtures
 from feedsieve.plans.run import RunOptions, plan_posts, run_once
@@ -38,7 +39,6 @@ PAGES = [
     page(1, ("u:3", "BAD reply"), ("u:4", "a job, email your resume")),
     page(2, ("u:2", "copy in another batch"), ("u:5", "world")),
 ]
-BASE = "https://www.linkedin.com/feed/update/"
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ class MoodyClient:
 
 
 def labels(df):
-    return sorted((r.url.removeprefix(BASE), r.hiring_post) for r in df.collect())
+    return sorted((r.url.removeprefix(POST_BASE_URL), r.hiring_post) for r in df.collect())
 
 
 @pytest.fixture
@@ -77,16 +77,17 @@ def arriving(spark, tmp_path):
 def test_run_once(spark, tmp_path, format):
     sink = PostSink(str(tmp_path / "out"), format)
     counts = run_once(spark.createDataFrame(PAGES, PAGE), RuleClient(), sink)
-    assert counts == {"found": 7, "extracted": 7, "scraped": 5, "classified": 5}
+    assert counts == {"found": 7, "extracted": 7, "scraped": 5, "classified": 5, "appended": 5}
     assert labels(sink.read(spark)) == [("u:1", 1), ("u:2", 0), ("u:3", 0), ("u:4", 1), ("u:5", 0)]
     run_once(spark.createDataFrame(PAGES, PAGE), RuleClient(), sink)
-    assert sink.read(spark).count() == 10
+    assert sink.total(spark) == 10
 
 
 def test_run_of_no_posts(spark, tmp_path):
     sink = PostSink(str(tmp_path / "out"))
     counts = run_once(spark.createDataFrame([page(0)], PAGE), RuleClient(), sink)
-    assert counts == {"found": 0, "extracted": 0, "scraped": 0, "classified": 0}
+    assert set(counts) == {"found", "extracted", "scraped", "classified", "appended"}
+    assert set(counts.values()) == {0}
     assert sink.read(spark).count() == 0
 
 
@@ -94,12 +95,13 @@ def test_options(spark):
     pages = spark.createDataFrame(PAGES, PAGE)
 
     def urls(**options):
-        return sorted(r.url.removeprefix(BASE) for r in plan_posts(pages, RunOptions(**options)).collect())
+        return sorted(r.url.removeprefix(POST_BASE_URL) for r in plan_posts(pages, RunOptions(**options)).collect())
 
     assert urls(only_relevant=True) == ["u:1", "u:4"]
     assert urls(search_text="your") == ["u:1", "u:4"]
     assert urls(search_text="copy") == ["u:1", "u:2"]
     assert urls(max_posts=2) == ["u:1", "u:2"]
+    assert urls(max_pages=2) == ["u:1", "u:2", "u:3", "u:4"]
 
 
 def test_failed_run_writes_nothing(spark, tmp_path):
@@ -116,7 +118,7 @@ def test_quarantine_run(spark, tmp_path):
     sink, rest = PostSink(str(tmp_path / "out")), PostSink(str(tmp_path / "rest"))
     options = RunOptions(on_error="quarantine", reuse_answers=True, partitions=2)
     counts = run_once(spark.createDataFrame(PAGES, PAGE), MoodyClient(), sink, options, rest)
-    assert counts["classified"] == 5
+    assert (counts["scraped"], counts["classified"], counts["appended"]) == (5, 5, 4)
     assert labels(sink.read(spark)) == [("u:1", 1), ("u:2", 0), ("u:4", 1), ("u:5", 0)]
     with_error = StructType([*LABELLED_POST.fields, StructField(ERROR, StringType())])
     (failed,) = rest.read(spark, with_error).collect()
