@@ -185,10 +185,20 @@ class PostFinder:
         tags = {tag for tag, _ in compiled}
         self._tags = None if None in tags else frozenset(tags)
         # Words one of which a matching tag must hold, unless written as entities.
-        words = {max((v for *_, v in parse_selector(s)[1]), key=len, default="") for s in selectors}
-        self._words = None if "" in words else tuple(words)
+        self._words = _selector_words(selectors)
+        self._container_words = _selector_words(spec.containers)
+        self._spelled = _spelled_pattern(self._container_words or ())
 
     def find(self, html):
+        return self._find(html) if self._may_hold_posts(html) else []
+
+    def _may_hold_posts(self, html):
+        """A look at the whole page that spares pages without posts the parsing."""
+        if self._container_words is None or any(w in html for w in self._container_words):
+            return True
+        return self._spelled.search(html) is not None
+
+    def _find(self, html):
         if "\r" in html:
             html = html.replace("\r\n", "\n").replace("\r", "\n")
         self._posts = []
@@ -221,7 +231,7 @@ class PostFinder:
             elif ended:
                 if name == "template" and templates:
                     templates -= 1
-                if name not in ("body", "html"):
+                if opened.get(name) and name not in ("body", "html"):
                     self._close(name)
             elif name in _RAW_TEXT:
                 end = _RAW_TEXT_END[name].search(html, at)
@@ -230,10 +240,12 @@ class PostFinder:
                 if name == "template":
                     templates += 1
                 if name in _BLOCK:
-                    if name in _CLOSES_PARAGRAPH:
+                    if opened.get("p") and name in _CLOSES_PARAGRAPH:
                         self._close("p")
                     for text in open_texts:
                         text.start_line()
+                if name in _VOID and not self._may_match(name, source):
+                    continue
                 stack.append(name)
                 opened[name] = opened.get(name, 0) + 1
                 if not templates and self._may_match(name, source):
@@ -273,8 +285,7 @@ class PostFinder:
             self._marked.append((len(self._stack) - 1, post, texts))
 
     def _close(self, name):
-        if not self._open.get(name):
-            return
+        """End the innermost open element of that name, if it can be ended here."""
         stack = self._stack
         depth = len(stack) - 1
         if depth < 0 or stack[depth] != name:
@@ -287,9 +298,9 @@ class PostFinder:
                 text.start_line()
 
     def _close_to(self, depth):
-        for name in self._stack[depth:]:
-            self._open[name] -= 1
-        del self._stack[depth:]
+        stack = self._stack
+        while len(stack) > depth:
+            self._open[stack.pop()] -= 1
         while self._marked and self._marked[-1][0] >= depth:
             _, post, texts = self._marked.pop()
             if post is not None:
@@ -298,6 +309,19 @@ class PostFinder:
                 self._open_texts.remove(text)
 
 
+def _selector_words(selectors):
+    """The longest value in each selector, or None if one has no value."""
+    words = {max((v for *_, v in parse_selector(s)[1]), key=len, default="") for s in selectors}
+    return None if "" in words else tuple(words)
+
+
+def _spelled_pattern(words):
+    """Entities that may stand for a character of the words."""
+    chars = frozenset("".join(words))
+    names = {name.rstrip(";") for name, value in html5.items() if chars.intersection(value)}
+    return re.compile("&(?:" + "|".join(["#", *sorted(names)]) + ")")
+
+
 def _matching_depth(stack, name):
     """Stack depth an end tag closes to, or None where it closes nothing."""
     if name in _TABLE_PARTS:

@@ -155,3 +155,16 @@ def test_hostile_pages_take_linear_time(piece):
 def test_names_are_ascii():
     assert find("<\u017fcript></script>" + post()) == [("text", "Jane", "urn:li:activity:1")]
     assert find("<script></\u017fcript>" + post() + "</script>") == []
+
+
+def test_entities_may_spell_a_class():
+    for name in ("feed&#45;shared-update-v2", "f&#101;ed-shared-update-v2"):
+        assert find(f'<div class="{name}" data-urn=u></div>') == [(None, None, "u")]
+    urn = "<div data-urn='urn&colon;li&colon;activity'></div>"
+    assert find(urn) == [(None, None, "urn:li:activity")]
+    assert find("<p>a &amp; b &lt; c</p>" * 3) == []
+
+
+def test_selectors_without_a_value():
+    assert find("<article><p>a</p></article>", containers=("article",), content="p") == [("a", None, None)]
+    assert find("<p id=x>a</p>", containers=("p[id]",), id_attribute="id") == [(None, None, "x")]
