@@ -133,8 +133,8 @@ def classify_jobs(posts, client_factory, spec=HIRING_POST, **options):
 def split_quarantine(labelled):
     """``(labelled rows, failed rows)`` of a quarantining run.
 
-    Both parts read the same table: pass one that has been written or
-    checkpointed, else the model is asked twice.
+    Both parts read the same table: pass one that has been written, else the
+    model is asked twice.
     """
     failed = F.col(ERROR).isNotNull()
     return labelled.where(~failed).drop(ERROR), labelled.where(failed)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.fixed_values import JOB_KEYWORDS, MAX_PAGES, MAX_POSTS
-from ..session import shared_dir
+from ..session import write_shared
 
 
 def search_posts(posts, search_text):
@@ -24,13 +24,12 @@ def latest_first(posts, ts_col):
 def with_position(ordered, name="position"):
     """Number the rows of an ordered DataFrame from 1, without a one-task window.
 
-    The ordered rows are checkpointed with ids that rise along the partitions;
-    the size of each partition then turns them into positions.  Only one number
-    per partition is gathered, so the second window is as small as the plan.
+    The ordered rows are written with ids that rise along the partitions; the
+    size of each partition then turns them into positions.  Only one number per
+    partition is gathered, so the second window is as small as the plan.
     """
-    shared_dir(ordered.sparkSession)
     row_bits = 33  # monotonically_increasing_id: partition number, then row number
-    numbered = ordered.withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    numbered = write_shared(ordered.withColumn("_id", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_id", row_bits)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -15,7 +15,7 @@ from ..operators.posts import (
     limit_posts,
     search_posts,
 )
-from ..session import shared_dir
+from ..session import write_shared
 
 
 @dataclass(frozen=True)
@@ -84,9 +84,10 @@ def run_once(
 ):
     """Extract, label and store the posts of ``pages``; returns the stage counts.
 
-    Under ``on_error="quarantine"`` the labelled rows are checkpointed before
+    Under ``on_error="quarantine"`` the labelled rows are written once before
     they are split over the two sinks, so no row is asked for twice and none
-    can land in both.
+    can land in both.  With a ``batch_id`` a repeated run replaces what it wrote
+    before; without one it appends.
     """
     if options.on_error == "quarantine" and quarantine_sink is None:
         raise ValueError("a quarantining run needs a quarantine_sink")
@@ -103,8 +104,7 @@ def run_once(
     if options.on_error == "fail":
         sink.write(counts.watch("appended", labelled), batch_id)
     else:
-        shared_dir(posts.sparkSession)
-        good, failed = split_quarantine(labelled.checkpoint())
+        good, failed = split_quarantine(write_shared(labelled, "labelled"))
         sink.write(counts.watch("appended", good), batch_id)
         quarantine_sink.write(failed, batch_id)
     return counts.get()

@@ -49,3 +49,15 @@ def shared_dir(spark):
 def new_table_path(spark, name):
     """Unused path for an intermediate table in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/feedsieve/{name}-{uuid.uuid4().hex}"
+
+
+def write_shared(df, name):
+    """Write ``df`` to the shared folder and read it back.
+
+    Cuts the lineage: what has been written is neither computed again nor
+    different on a second look, whichever executors are lost.
+    """
+    spark = df.sparkSession
+    path = new_table_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

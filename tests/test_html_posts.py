@@ -1,5 +1,8 @@
 """The page helper on hand-made pages."""
 
+import random
+from html import escape
+
 import pytest
 
 from feedsieve.operators.html_posts import PostFinder, SelectorSpec, parse_selector
@@ -168,3 +171,88 @@ def test_entities_may_spell_a_class():
 def test_selectors_without_a_value():
     assert find("<article><p>a</p></article>", containers=("article",), content="p") == [("a", None, None)]
     assert find("<p id=x>a</p>", containers=("p[id]",), id_attribute="id") == [(None, None, "x")]
+
+
+class Node:
+    """An element of a random tree, which says by itself what is to be found."""
+
+    def __init__(self, rng, depth=0):
+        self.name = rng.choice(["div", "div", "span", "span", "b", "section"])
+        self.css = rng.sample(
+            ["feed-shared-update-v2", "update-components-actor", "break-words", "update-components-actor__title", "x"],
+            rng.choice([0, 0, 1, 1, 2]),
+        )
+        self.urn = rng.choice([None, None, "urn:li:activity:1", "u&2"])
+        self.children = []
+        for _ in range(rng.randint(0, 4) if depth < 5 else 0):
+            kind = rng.random()
+            if kind < 0.35:
+                self.children.append(rng.choice(["a", "b & c", "1 < 2", "é", " "]))
+            elif kind < 0.45:
+                self.children.append("\n")
+            else:
+                self.children.append(Node(rng, depth + 1))
+
+    def html(self):
+        css = f' class="{" ".join(self.css)}"' if self.css else ""
+        urn = f' data-urn="{escape(self.urn)}"' if self.urn else ""
+        parts = [
+            c.html() if isinstance(c, Node) else "<br>" if c == "\n" else escape(c)
+            for c in self.children
+        ]
+        return f"<{self.name}{css}{urn}>{''.join(parts)}</{self.name}>"
+
+    def elements(self):
+        for child in self.children:
+            if isinstance(child, Node):
+                yield child
+                yield from child.elements()
+
+    def pieces(self):
+        """Text with a mark at the borders of blocks inside."""
+        for child in self.children:
+            if not isinstance(child, Node):
+                yield child
+            elif child.name in ("div", "section"):
+                yield None
+                yield from child.pieces()
+                yield None
+            else:
+                yield from child.pieces()
+
+    def text(self):
+        out = ""
+        for piece in self.pieces():
+            out += piece if piece is not None else "\n" if out and not out.endswith("\n") else ""
+        return out
+
+    def part(self, css):
+        found = (e for e in self.elements() if e.name == "span" and css in e.css)
+        return next((e.text() for e in found), None)
+
+
+def expected_posts(root):
+    tests = (
+        lambda e: e.name == "div" and "feed-shared-update-v2" in e.css,
+        lambda e: e.name == "div" and "update-components-actor" in e.css,
+        lambda e: e.name == "div" and (e.urn or "").startswith("urn:li:activity"),
+    )
+    for test in tests:
+        posts = [e for e in root.elements() if test(e)]
+        if posts:
+            return [
+                (p.part("break-words"), p.part("update-components-actor__title"), p.urn) for p in posts
+            ]
+    return []
+
+
+def test_random_trees():
+    rng = random.Random(9)
+    finder, found = PostFinder(SelectorSpec()), 0
+    for _ in range(6000):
+        root = Node(rng)
+        root.name = "main"
+        expected = expected_posts(root)
+        assert finder.find(root.html()) == expected, root.html()
+        found += len(expected)
+    assert found > 3000
