@@ -4,11 +4,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.fixed_values import JOB_KEYWORDS, MAX_PAGES, MAX_POSTS
+from ..functions.fixed_values import JOB_KEYWORDS, MAX_PAGES, MAX_POSTS, SEARCH_TEXT
 from ..session import write_shared
 
 
-def search_posts(posts, search_text):
+def search_posts(posts, search_text=SEARCH_TEXT):
     """Posts whose content holds every blank-separated term, case ignored.
 
     An empty search keeps all posts.

@@ -38,12 +38,3 @@ PLACED_POST = T.StructType(
 )
 
 LABELLED_POST = T.StructType([*POST.fields, T.StructField("hiring_post", T.LongType())])
-
-MESSAGES = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("role", T.StringType()),
-            T.StructField("content", T.StringType()),
-        ]
-    )
-)

@@ -87,7 +87,8 @@ def test_quarantine_keeps_the_rest(spark, batch_size):
 
 
 def test_batches_and_partitions(spark, tmp_path):
-    df = infer(table(spark, [str(n) for n in range(100)]), "t", SPEC, ScriptedClient(str(tmp_path)), batch_size=8, partitions=5)
+    texts, client = [str(n) for n in range(100)], ScriptedClient(str(tmp_path))
+    df = infer(table(spark, texts), "t", SPEC, client, batch_size=8, partitions=5)
     assert len(labels(df)) == 100
     sizes = [len(texts) for texts in calls(tmp_path)]
     assert sum(sizes) == 100 and max(sizes) == 8

@@ -49,7 +49,8 @@ def test_nested_containers_are_both_found():
 def test_first_matching_descendant_counts():
     html = post(content='a<span class="break-words">b</span>c') + post("u:2", "z")
     assert [row[0] for row in find(html)] == ["abc", "z"]
-    two = '<div class="feed-shared-update-v2"><span class="break-words">1</span><span class="break-words">2</span></div>'
+    spans = "".join(f'<span class="break-words">{n}</span>' for n in (1, 2))
+    two = f'<div class="feed-shared-update-v2">{spans}</div>'
     assert find(two) == [("1", None, None)]
 
 
@@ -130,7 +131,11 @@ def test_cells_of_a_table():
 
 def test_other_selectors():
     html = '<ul><li id=p1 class="a b" lang="en-GB"><h2>t</h2><p>c</p></li></ul>'
-    for selector in ("li", "*.b.a", "#p1", "li[id]", "[lang|=en]", '[id^="p"]', "[id$='1']", "[class*=' ']", ".b[id=p1]"):
+    selectors = (
+        "li", "*.b.a", "#p1", "li[id]", "[lang|=en]", '[id^="p"]', "[id$='1']", "[class*=' ']",
+        ".b[id=p1]",
+    )
+    for selector in selectors:
         found = find(html, containers=(selector,), content="p", actor_title="h2", id_attribute="id")
         assert found == [("c", "t", "p1")], selector
     assert find(html, containers=("li[id^='']", "ol", ".c"), content="p", actor_title="h2") == []
@@ -142,7 +147,10 @@ def test_unsupported_selector(selector):
         parse_selector(selector)
 
 
-@pytest.mark.parametrize("html", ["", "plain", "<", "<div", "</", "<!--", '<div class="', "<div class='feed-shared-update-v2"])
+@pytest.mark.parametrize(
+    "html",
+    ["", "plain", "<", "<div", "</", "<!--", '<div class="', "<div class='feed-shared-update-v2"],
+)
 def test_broken_pages(html):
     assert find(html) == []
 

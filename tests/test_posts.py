@@ -107,10 +107,11 @@ def test_union_keeps_copies_and_fills_missing_columns(spark):
     new = spark.createDataFrame([(0, "a")], "hiring_post bigint, url string")
     got = ops.union_posts(old, new)
     assert got.columns == ["url", "x", "hiring_post"]
-    assert sorted(map(str, got.collect())) == sorted(
-        map(str, [*ops.union_posts(old, new.limit(0)).collect(), *new.selectExpr("url", "cast(null as int) x", "hiring_post").collect()])
-    )
-    assert got.count() == 3
+    assert sorted(map(tuple, got.collect()), key=repr) == [
+        ("a", 1, None),
+        ("a", 1, None),
+        ("a", None, 0),
+    ]
 
 
 def test_filter_relevant(spark):
