@@ -82,6 +82,9 @@ def read_reply(reply):
     """
     try:
         value = json.loads((reply or "").strip(_JSON_BLANKS))
+        if "\\u" in reply:
+            # Half a surrogate pair is no text; json lets it through.
+            json.dumps(value, ensure_ascii=False).encode()
     except (ValueError, RecursionError):
         return None, BAD_JSON
     if not isinstance(value, dict):

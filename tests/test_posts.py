@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from feedsieve.operators import extract
 from feedsieve.operators import posts as ops
 from feedsieve.operators.extract import extract_post_details, find_posts
 from feedsieve.schema import PAGE, PLACED_POST, RAW_POST
@@ -45,6 +46,13 @@ def test_find_posts_over_batches(spark):
     assert find_posts(pages.where("page_id < 0")).schema == RAW_POST
 
 
+def test_find_posts_hands_on_what_it_has(spark, monkeypatch):
+    monkeypatch.setattr(extract, "_FLUSH_CHARS", 10)
+    post = '<div class="feed-shared-update-v2"><span class="break-words">12345678</span></div>'
+    pages = spark.createDataFrame([(n, None, post * 2) for n in range(50)], PAGE).coalesce(1)
+    assert find_posts(pages).count() == 100
+
+
 def placed_posts(spark, rows):
     return spark.createDataFrame(rows, PLACED_POST)
 

@@ -28,6 +28,7 @@ WHOLE = [
     ('```json\n{"classification": 1}\n```', replies.BAD_JSON),
     ('{"classification": 1,}', replies.BAD_JSON),
     ("[" * 100_000, replies.BAD_JSON),
+    (r'{"classification": 1, "x": "\ud800"}', replies.BAD_JSON),
     ("[1]", replies.NOT_AN_OBJECT),
     ("1", replies.NOT_AN_OBJECT),
     ("{}", replies.MISSING_FIELD),
@@ -43,6 +44,10 @@ def test_accepted(value, label):
     assert read_reply(f' {{"x": [1], "classification": 5, "classification": {value}}}\n') == (label, None)
 
 
+def test_escapes():
+    assert read_reply(r'{"\u0063lassification": "\u0031", "x": "\ud83d\ude00"}') == (1, None)
+
+
 @pytest.mark.parametrize("value", REFUSED)
 def test_refused(value):
     label, error = read_reply(f'{{"classification": {value}}}')
