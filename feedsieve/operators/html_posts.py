@@ -49,6 +49,9 @@ _SELECTOR_STEP = re.compile(
     r"""|\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[~^$*|]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[\w-]+))\s*)?\]"""
 )
 
+# How many start tags a finder remembers, and how long they may be.
+_KEPT_ROLES, _KEPT_LENGTH = 4096, 500
+
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
 
 _ATTRIBUTE_TESTS = {
@@ -182,6 +185,7 @@ class PostFinder:
         self._containers = [matches for _, matches in compiled[:-2]]
         self._content, self._title = compiled[-2][1], compiled[-1][1]
         self._id_attribute = spec.id_attribute
+        self._roles = {}
         tags = {tag for tag, _ in compiled}
         self._tags = None if None in tags else frozenset(tags)
         # Words one of which a matching tag must hold, unless written as entities.
@@ -249,7 +253,7 @@ class PostFinder:
                 stack.append(name)
                 opened[name] = opened.get(name, 0) + 1
                 if not templates and self._may_match(name, source):
-                    self._enter(name, _attributes(source))
+                    self._enter(*self._role(name, source))
                 if name in _VOID:
                     self._close_to(len(stack) - 1)
         return [post.row() for post in self._posts]
@@ -259,28 +263,47 @@ class PostFinder:
             return False
         return self._words is None or "&" in source or any(w in source for w in self._words)
 
-    def _enter(self, name, attributes):
+    def _role(self, name, source):
+        """``(is content, is title, rank as container or None, id)`` of a start tag.
+
+        Most tags come back over and over again, so what they are is kept.
+        """
+        role = self._roles.get((name, source))
+        if role is None:
+            attributes = _attributes(source)
+            ranks = (n for n, matches in enumerate(self._containers) if matches(name, attributes))
+            role = (
+                self._content(name, attributes),
+                self._title(name, attributes),
+                next(ranks, None),
+                attributes.get(self._id_attribute),
+            )
+            if len(source) <= _KEPT_LENGTH:
+                if len(self._roles) >= _KEPT_ROLES:
+                    self._roles.clear()
+                self._roles[name, source] = role
+        return role
+
+    def _enter(self, is_content, is_title, rank, urn):
         texts = []
-        for part, matches in (("content", self._content), ("title", self._title)):
-            waiting = [post for post in self._open_posts if getattr(post, part) is None]
-            if waiting and matches(name, attributes):
+        for part, wanted in (("content", is_content), ("title", is_title)):
+            waiting = wanted and [p for p in self._open_posts if getattr(p, part) is None]
+            if waiting:
                 texts.append(_Text())
                 for post in waiting:
                     setattr(post, part, texts[-1])
         self._open_texts.extend(texts)
 
         post = None
-        for rank, matches in enumerate(self._containers[: self._best + 1]):
-            if matches(name, attributes):
-                if rank < self._best:
-                    self._best = rank
-                    self._posts.clear()
-                    self._open_posts.clear()
-                    self._marked = [(depth, None, texts) for depth, _, texts in self._marked]
-                post = _Post(attributes.get(self._id_attribute))
-                self._posts.append(post)
-                self._open_posts.append(post)
-                break
+        if rank is not None and rank <= self._best:
+            if rank < self._best:
+                self._best = rank
+                self._posts.clear()
+                self._open_posts.clear()
+                self._marked = [(depth, None, texts) for depth, _, texts in self._marked]
+            post = _Post(urn)
+            self._posts.append(post)
+            self._open_posts.append(post)
         if post is not None or texts:
             self._marked.append((len(self._stack) - 1, post, texts))
 
