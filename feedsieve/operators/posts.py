@@ -67,9 +67,13 @@ def first_per_url(posts):
 
     One shuffle.  Spark puts a group limit of one below it, so a task sends at
     most one row per url: a url that holds a third of all rows arrives as one
-    row per task.  The last two sort columns only settle equal places.
+    row per task.  The hash in front of the url is for the sort: urls have long
+    common beginnings, hashes are told apart by their first bytes.  The last two
+    sort columns only settle equal places.
     """
-    order = Window.partitionBy("url").orderBy("page_id", "pos", "profile_name", "content")
+    order = Window.partitionBy(F.xxhash64("url"), "url").orderBy(
+        "page_id", "pos", "profile_name", "content"
+    )
     return (
         posts.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") == 1).drop("_rank")
     )

@@ -36,7 +36,7 @@ def test_first_per_url_limits_groups_on_both_sides_of_one_shuffle(spark, sf_dir)
     found = lines(ops.first_per_url(extract_post_details(fixtures.raw_posts(spark, sf_dir))))
     assert sum(line.startswith("Exchange") for line in found) == 1
     limits = [n for n, line in enumerate(found) if line.startswith("WindowGroupLimit")]
-    exchange = index(found, "Exchange hashpartitioning(url")
+    exchange = index(found, "Exchange hashpartitioning(_w0")
     assert len(limits) == 2 and limits[0] < exchange < limits[1]
 
 
