@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..session import new_table_path
-from . import mixing, packing, quality, secrets, toxicity, warc
+from . import binary_codes, hnsw, mixing, packing, quality, secrets, toxicity, warc
 from .labelled import is_held_out
 
 QUERIES = {}
@@ -76,6 +76,16 @@ def op2_warc(spark, sf_dir):
     )
 
 
+@query()
+def op3_hnsw(spark, sf_dir):
+    return hnsw.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op5_rotated_codes(spark, sf_dir):
+    return binary_codes.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op6_toxicity_subwords(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
