@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..session import new_table_path
-from . import binary_codes, hnsw, mixing, packing, quality, secrets, toxicity, warc
+from . import binary_codes, hnsw, mixing, packing, parity_join, quality, secrets, toxicity, warc
 from .labelled import is_held_out
 
 QUERIES = {}
@@ -93,6 +93,11 @@ def op6_toxicity_subwords(spark, sf_dir):
     return _predictions(toxicity.score_toxicity(docs, model), TOXIC_LEAST)
 
 
+@query()
+def op7_parity_join(spark, sf_dir):
+    return parity_join.join_documents(_table(spark, sf_dir, "documents"))
+
+
 @query()
 def op8_pattern_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
