@@ -6,7 +6,7 @@ and reads it again for the next.
 """
 
 import feedsieve
-from feedsieve.llm import mixing, packing, secrets, toxicity
+from feedsieve.llm import mixing, packing, parity_join, secrets, toxicity
 from feedsieve.session import write_shared
 from pyspark import cloudpickle
 
@@ -19,6 +19,11 @@ def drop_toxic(spark, docs, sf_dir):
     return toxicity.drop_toxic(docs, labels)
 
 
+def drop_near_copies(spark, docs, sf_dir):
+    """One document of each group of near copies, the one with the smallest id."""
+    return parity_join.keep_one_of_each(docs)
+
+
 def mask_secrets(spark, docs, sf_dir):
     """All documents, their secrets masked."""
     return secrets.mask_secrets(docs)
@@ -36,6 +41,7 @@ def pack(spark, docs, sf_dir):
 
 STAGES = [
     ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
     ("secret_scan", mask_secrets),
     ("source_mixing", mix_sources),
     ("packing", pack),

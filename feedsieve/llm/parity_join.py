@@ -11,12 +11,17 @@ Sketch widths go by bands of sizes, and documents at the lower edge of a band ar
 named in the band below as well.  Blocks are kept sparse: a block is known by the
 hash of the bits that are set in it.
 
-The order decides how many documents meet in vain.  Blocks that more than
-``CROWD`` documents name (passages that many share) are moved to its end, and the
-documents that named one of them name their blocks anew, until no crowd is left or
-the rounds are over.  What still crowds then are families of near copies: their
-members are compared with one of them, and only members that are not connected
-after that with each other.  Every candidate is verified on the whole sets.
+The order decides how many documents meet in vain, not what is found.  Blocks that
+more than ``CROWD`` documents name (passages that many share) are moved to its end,
+and the documents that named one of them name their blocks anew, until no crowd is
+left or the rounds are over.  A part of the documents goes ahead to find most of
+those blocks; all documents then name theirs.  What still crowds in the end are
+families of near copies: their members are compared with one of them, and only
+members that are not connected after that with each other.
+
+Candidates must pass the Hamming distance of dense sketches, and are then verified
+on the whole sets; each document first with the smallest of its candidates, and
+other pairs only if they are not connected by then.
 
 Copies are one node; the join's nodes are distinct sets, known by a 64-bit hash.
 """
@@ -32,9 +37,15 @@ from .components import connected_components
 from .text_blocks import batches_of, lower_ascii, mix, powers, to_bytes, word_bounds
 
 SHINGLE_WORDS = 5
-CROWD = 32
+CROWD = 48
+SCOUT_PART = 8  # one document in so many goes ahead
+SCOUT_CROWD = 6
+SCOUT_ROUNDS = 3
 ROUNDS = 3
+CROWD_ROUNDS = 2
 HOT_TOKENS = 2_000_000  # 16 MB; with more of them the last step comes at once
+BROADCAST_IDS = 1_000_000  # 8 MB; more ids are joined by a shuffle
+DENSE_BITS = (64, 1 << 14)
 FLUSH_PAIRS = 200_000
 BAND = 16
 
@@ -75,9 +86,14 @@ def shingle_sets(texts):
         for k in range(SHINGLE_WORDS):
             rolled += hashes[k : k + n] * _STEPS[k]
         rolled = mix(rolled)
-        for a, b in zip(cuts[:-1], cuts[1:]):
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if b - a >= SHINGLE_WORDS:
-                yield np.unique(rolled[a : b - SHINGLE_WORDS + 1])
+                own = rolled[a : b - SHINGLE_WORDS + 1]
+                own.sort()
+                fresh = np.empty(len(own), bool)
+                fresh[0] = True
+                np.not_equal(own[1:], own[:-1], out=fresh[1:])
+                yield own[fresh]
             elif b > a:
                 few = (hashes[a:b] * _STEPS[: b - a]).sum(dtype=np.uint64, keepdims=True)
                 yield mix(few + _STEPS[-1:] * np.uint64(b - a))
@@ -115,11 +131,10 @@ def sketch_blocks(shingles, band):
 
 
 def named_blocks(shingles, band, hot):
-    """The tokens a set names: a third of its size and one, hot ones last."""
+    """The tokens a set names: a third of its size and one, hot ones last, by their crowds."""
     tokens, at, blocks = sketch_blocks(shingles, band)
     need = len(shingles) // 3 + 1
-    crowded = is_in(tokens, hot)
-    order = np.lexsort((tokens, crowded))
+    order = np.lexsort((tokens, crowd_sizes(tokens, hot)))
     named = tokens[order[:need]]
     if len(named) < need:
         # Blocks without set bits end the order; hardly ever are they needed.
@@ -128,22 +143,53 @@ def named_blocks(shingles, band, hot):
     return named
 
 
-def is_in(tokens, some):
+def crowd_sizes(tokens, hot):
+    """Size of each token's crowd, 0 where it is not hot; ``hot``: sorted tokens, sizes."""
+    some, sizes = hot
     if not len(some):
-        return np.zeros(len(tokens), bool)
-    return some[np.minimum(np.searchsorted(some, tokens), len(some) - 1)] == tokens
+        return np.zeros(len(tokens), np.int64)
+    at = np.minimum(np.searchsorted(some, tokens), len(some) - 1)
+    return np.where(some[at] == tokens, sizes[at], 0)
+
+
+def with_more(hot, more):
+    """Both tables of hot tokens as one, with the larger size of each."""
+    tokens, sizes = (np.concatenate(x) for x in zip(hot, more))
+    order = np.lexsort((-sizes, tokens))
+    tokens, sizes = tokens[order], sizes[order]
+    fresh = np.ones(len(tokens), bool)
+    fresh[1:] = tokens[1:] != tokens[:-1]
+    return tokens[fresh], sizes[fresh]
+
+
+NO_TOKENS = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def _signed(tokens):
     return tokens.view(np.int64)
 
 
+def dense_sketch(shingles):
+    """Packed parity sketch of about two bits per shingle, a power of two of them."""
+    low, high = DENSE_BITS
+    bits = min(max(low, 1 << (2 * len(shingles)).bit_length()), high)
+    flips = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def hamming(a, b):
+    """Distance of two packed sketches; the longer one is folded to the shorter."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 # --- tasks ---------------------------------------------------------------------------
 
-SETS = "doc_id long, copy long, node long, n long"
+SETS = "doc_id long, copy long, node long, n long, sketch binary"
 NAMES = "token long, node long, n int"
 FOUND = "kind int, token long, u long, v long, n int"
-PAIR, HOT, MEMBER = 0, 1, 2
+PAIR, MEMBER = 0, 1
 
 
 def _sets_of(column):
@@ -152,17 +198,22 @@ def _sets_of(column):
 
 
 def document_nodes(docs):
-    """``doc_id, copy, node, n``: hash of the text, set and its size (no words: null, 0)."""
+    """``doc_id, copy, node, n, sketch``: hash of the text, set, its size, dense sketch.
+
+    Without words node and sketch are null.
+    """
 
     def run(batches):
         for batch in batches:
-            nodes, sizes = [], []
+            nodes, sizes, sketches = [], [], []
             for shingles in _sets_of(batch.column(2)):
                 nodes.append(node_of(shingles) if len(shingles) else None)
                 sizes.append(len(shingles))
+                sketches.append(dense_sketch(shingles) if len(shingles) else None)
+            added = [(nodes, pa.int64()), (sizes, pa.int64()), (sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())],
-                names=["doc_id", "copy", "node", "n"],
+                [*batch.columns[:2], *(pa.array(c, t) for c, t in added)],
+                names=["doc_id", "copy", "node", "n", "sketch"],
             )
 
     return docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(run, SETS)
@@ -171,7 +222,7 @@ def document_nodes(docs):
 def name_blocks(docs, hots):
     """``token, node, n`` of the documents that take part in a round.
 
-    ``hots`` has the hot tokens known before each round so far; the first is empty.
+    ``hots`` has the hot tokens known before each round so far.
     From the second round on, only documents that named a token which proved hot
     take part.  A set is named once per task.
     """
@@ -188,7 +239,7 @@ def name_blocks(docs, hots):
                 seen.add(node)
                 for band in bands_of(len(shingles)):
                     if any(
-                        not is_in(named_blocks(shingles, band, old), new).any()
+                        not crowd_sizes(named_blocks(shingles, band, old), new).any()
                         for old, new in zip(hots[:-1], hots[1:])
                     ):
                         continue
@@ -208,104 +259,99 @@ def name_blocks(docs, hots):
 class Groups:
     """Reads names sorted by token, size and node, and gathers what the groups give.
 
-    A group's rows are held only until they are too many for a small one.
+    Small groups give all pairs that sizes allow.  Of a crowd, its members; in the
+    last round a star of pairs as well.  The rows of a group are
+    held back until it is over, or known to be a crowd.
     """
 
-    def __init__(self, last):
-        self.last = last
-        self.token, self.rows, self.count, self.leader = None, [], 0, None
-        self.pairs, self.others = [], []
-
-    def add(self, token, node, n):
-        """Rows of one group; more of the same group may follow."""
-        if token != self.token:
-            self.close()
-            self.token, self.rows, self.count, self.leader = token, [], 0, None
-        self.count += len(node)
-        if self.count <= CROWD:
-            self.rows.append((node, n))
-            return
-        if self.last:
-            for old in [*self.rows, (node, n)]:
-                self._star(*old)
-        self.rows = []
+    def __init__(self, last, crowd):
+        self.last, self.crowd = last, crowd
+        self.held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        self.crowded, self.leader = None, None  # the crowd that is being read
+        self.pairs, self.others, self.waiting = [], [], 0
 
-    def _star(self, node, n):
-        """Pairs with the leader; a member too large for it leads the next ones."""
+    def add(self, token, node, n, over=False):
+        """The next rows; ``over``: they are the last."""
+        token, node, n = (np.concatenate(x) for x in zip(self.held, (token, node, n)))
+        if not len(token):
+            return
+        fresh = np.ones(len(token), bool)
+        fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+        token, node, n = token[fresh], node[fresh], n[fresh]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        sizes = np.diff(np.append(first, len(token)))
+        # The last group may go on; it is held back as long as it may be a small one.
+        whole = len(token)
+        if not over and sizes[-1] <= self.crowd and token[-1] != self.crowded:
+            whole = first[-1]
+        self.held = [token[whole:], node[whole:], n[whole:]]
+        big = (sizes > self.crowd) | (token[first] == self.crowded)
+        for start, size in zip(first[big].tolist(), sizes[big].tolist()):
+            self._crowd(token[start], node[start : start + size], n[start : start + size])
+        small = np.repeat(~big, sizes)[:whole]
+        for k in range(1, int(min(sizes.max(), self.crowd))):
+            i = np.flatnonzero((token[k:whole] == token[: max(whole - k, 0)]) & small[k:])
+            if not len(i):
+                break
+            i = i[3 * n[i + k].astype(np.int64) <= 4 * n[i].astype(np.int64)]
+            self._pair(node[i], node[i + k])
+
+    def _pair(self, u, v):
+        self.pairs.append((np.minimum(u, v), np.maximum(u, v)))
+        self.waiting += len(u)
+
+    def _crowd(self, token, node, n):
+        if token != self.crowded:
+            self.crowded, self.leader = token, None
+        for x, size in zip(node.tolist(), n.tolist()):
+            self.others.append((MEMBER, token, x, None, size))
+        self.waiting += len(node)
         start = 0
-        while start < len(node):
+        while self.last and start < len(node):
+            # A member too large for the leader leads the next ones.
             if self.leader is None or 3 * int(n[start]) > 4 * self.leader[1]:
                 self.leader = (node[start], int(n[start]))
             stop = int(np.searchsorted(n, self.leader[1] * 4 // 3, "right"))
-            rest = node[start:stop]
+            rest = node[start : max(stop, start + 1)]
             rest = rest[rest != self.leader[0]]
-            self.pairs.append((np.full(len(rest), self.leader[0]), rest))
+            self._pair(np.full(len(rest), self.leader[0]), rest)
             start = max(stop, start + 1)
-        for x, size in zip(node.tolist(), n.tolist()):
-            self.others.append((MEMBER, self.token, x, None, size))
-
-    def close(self):
-        if self.token is None:
-            return
-        if self.count > CROWD:
-            if not self.last:
-                self.others.append((HOT, self.token, self.count, None, None))
-        elif self.count > 1:
-            node, n = (np.concatenate(x) for x in zip(*self.rows))
-            i, j = np.triu_indices(len(node), 1)
-            fit = 3 * n[j].astype(np.int64) <= 4 * n[i].astype(np.int64)
-            self.pairs.append((node[i[fit]], node[j[fit]]))
-        self.token = None
 
     def take(self, least):
         """What has been gathered, once there is enough of it."""
-        if sum(len(p[0]) for p in self.pairs) + len(self.others) < least:
+        if self.waiting < least:
             return None
-        rows = self.others
-        columns = [list(c) for c in zip(*rows)] or [[], [], [], [], []]
+        columns = [list(c) for c in zip(*self.others)] or [[], [], [], [], []]
         if self.pairs:
             u, v = (np.concatenate(x) for x in zip(*self.pairs))
-            both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-            columns[0] += [PAIR] * len(both)
-            columns[1] += [None] * len(both)
-            columns[2] += both[:, 0].tolist()
-            columns[3] += both[:, 1].tolist()
-            columns[4] += [None] * len(both)
-        self.pairs, self.others = [], []
+            order = np.lexsort((v, u))
+            u, v = u[order], v[order]
+            fresh = np.ones(len(u), bool)
+            fresh[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+            none = [None] * int(fresh.sum())
+            columns[0] += [PAIR] * len(none)
+            columns[1] += none
+            columns[2] += u[fresh].tolist()
+            columns[3] += v[fresh].tolist()
+            columns[4] += none
+        self.pairs, self.others, self.waiting = [], [], 0
         types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "token", "u", "v", "n"]
         )
 
 
-def gather_groups(names, last):
-    """Candidate pairs of small groups; of crowds the token or, in the last round, a star."""
+def gather_groups(names, last, crowd=CROWD):
+    """Candidate pairs and the members of crowds, from the names of all documents."""
 
     def run(batches):
-        groups = Groups(last)
-        end = None  # token and node of the row before, to drop repeated rows
+        groups = Groups(last, crowd)
         for batch in batches:
-            token, node, n = (batch.column(i).to_numpy() for i in range(3))
-            fresh = np.ones(len(token), bool)
-            fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            if end is not None and len(token):
-                fresh[0] = (token[0], node[0]) != end
-            if len(token):
-                end = (token[-1], node[-1])
-            token, node, n = token[fresh], node[fresh], n[fresh]
-            if not len(token):
-                continue
-            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            ends = np.append(starts[1:], len(token))
-            # Groups of one row that are over within the batch give nothing.
-            useful = ends - starts > 1
-            useful[0] = useful[-1] = True
-            for a, b in zip(starts[useful], ends[useful]):
-                groups.add(token[a], node[a:b], n[a:b])
+            groups.add(*(batch.column(i).to_numpy() for i in range(3)))
             out = groups.take(FLUSH_PAIRS)
             if out is not None:
                 yield out
-        groups.close()
+        groups.add(*(x[:0] for x in groups.held), over=True)
         out = groups.take(1)
         if out is not None:
             yield out
@@ -318,113 +364,186 @@ def gather_groups(names, last):
 # --- verification ----------------------------------------------------------------------
 
 
-def _shingles_of(docs, nodes, wanted):
-    """``node, shingles`` of the wanted nodes, from a document of each."""
-    chosen = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(
-        F.min("doc_id").alias("_id")
+def _texts_of(docs, nodes, wanted):
+    """``node, text`` of the wanted nodes, the text of one document of each."""
+    ids = (
+        nodes.join(wanted, "node", "left_semi")
+        .groupBy("node")
+        .agg(F.min("doc_id").alias("_wanted"))
+        .select("_wanted")
+        .distinct()
     )
-    ids = chosen.select(F.col("_id").alias("_wanted")).distinct()
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi").select("text")
 
     def run(batches):
         for batch in batches:
-            sets = list(_sets_of(batch.column(0)))
+            found = [node_of(s) if len(s) else None for s in _sets_of(batch.column(0))]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
-                ],
-                names=["node", "shingles"],
+                [pa.array(found, pa.int64()), batch.column(0)], names=["node", "text"]
             )
 
-    found = rows.mapInArrow(run, "node long, shingles binary")
-    return found.join(wanted, "node", "left_semi").groupBy("node").agg(
-        F.min("shingles").alias("shingles")
+    found = rows.mapInArrow(run, "node long, text string").where(F.col("node").isNotNull())
+    return found.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+
+
+def near_sketches(pairs, nodes):
+    """The pairs whose sketches do not rule out a similarity of 3/4."""
+    known = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(
+        F.min("n").alias("n"), F.min("sketch").alias("sketch")
     )
 
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)))
+            keep = [7 * hamming(a, b) <= n + m for n, a, m, b in rows]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+
+    first = known.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("a"))
+    second = known.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("b"))
+    joined = pairs.join(first, "u").join(second, "v").where("4 * nu >= 3 * nv and 4 * nv >= 3 * nu")
+    return joined.select("u", "v", "nu", "a", "nv", "b").mapInArrow(run, "u long, v long")
+
 
-def verify(pairs, docs, nodes):
+def verify(pairs, texts):
     """The pairs ``(u, v)`` whose sets have a Jaccard similarity of at least 3/4."""
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    sets = write_shared(_shingles_of(docs, nodes, wanted), "shingles")
 
     def run(batches):
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("a"), batch.column("b")):
-                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (a, b))
+            for x, y in zip(_sets_of(batch.column(2)), _sets_of(batch.column(3))):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= 75 * (len(x) + len(y) - both))
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield kept.select(["u", "v"])
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
     return (
-        pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-        .join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+        pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+        .join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
         .select("u", "v", "a", "b")
         .mapInArrow(run, "u long, v long")
     )
 
 
-def _hot_tokens(found):
-    rows = found.where(F.col("kind") == HOT).select("token")
-    if rows.limit(HOT_TOKENS + 1).count() > HOT_TOKENS:
+def _apart(pairs, parts):
+    """The pairs whose ends are not of one component."""
+    first = parts.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+    second = parts.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+    joined = pairs.join(first, "u", "left").join(second, "v", "left")
+    return joined.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+
+
+def linked(pairs, docs, nodes, before=None):
+    """Links among candidate pairs that decide the components, those of ``before`` included."""
+    near = write_shared(near_sketches(pairs, nodes), "near")
+    wanted = near.select(F.col("u").alias("node")).union(near.select("v")).distinct()
+    texts = write_shared(_texts_of(docs, nodes, wanted), "texts")
+    first = near.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    links = verify(first, texts)
+    if before is not None:
+        links = links.union(before)
+    links = write_shared(links, "links")
+    rest = _apart(near, connected_components(links, "u", "v"))
+    return write_shared(links.union(verify(rest, texts)), "links")
+
+
+def _hot_tokens(found, weight=1):
+    """Tokens of the crowds and their sizes, None if they are too many to send round."""
+    crowds = found.where(F.col("kind") == MEMBER).groupBy("token").count()
+    if crowds.limit(HOT_TOKENS + 1).count() > HOT_TOKENS:
         return None
-    tokens = np.array([r[0] for r in rows.collect()], np.int64).view(np.uint64)
-    return np.sort(tokens)
+    rows = sorted((r["token"] % (1 << 64), r["count"] * weight) for r in crowds.collect())
+    return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
+
+
+def scout_tokens(docs):
+    """Blocks that crowd in a part of the documents, whatever their number."""
+    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(SCOUT_PART)) == 0)
+    hots = [NO_TOKENS]
+    for _ in range(SCOUT_ROUNDS):
+        groups = gather_groups(name_blocks(part, hots), False, SCOUT_CROWD)
+        crowds = write_shared(groups.where(F.col("kind") == MEMBER), "scouts")
+        hot = _hot_tokens(crowds, SCOUT_PART)
+        if hot is None or not len(hot[0]):
+            break
+        hots.append(with_more(hots[-1], hot))
+    return hots[-1]
+
+
+def _of_nodes(docs, nodes, wanted):
+    """The documents whose id belongs to a wanted node, or all if those are very many."""
+    ids = nodes.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
+    if ids.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
+        return docs
+    return docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def similar_sets(docs, nodes):
     """``node, component`` of the sets that are linked to a smaller one."""
-    hots, found, last = [np.zeros(0, np.uint64)], [], False
+    hots, found, last, some = [scout_tokens(docs)], [], False, docs
     while True:
         last = last or len(hots) == ROUNDS
-        found.append(write_shared(gather_groups(name_blocks(docs, hots), last), "groups"))
-        if last:
-            break
-        hot = _hot_tokens(found[-1])
+        found.append(write_shared(gather_groups(name_blocks(some, hots), last), "groups"))
+        hot = NO_TOKENS if last else _hot_tokens(found[-1])
         if hot is None:
-            last = True
-        elif not len(hot):
+            # Too many to send round: all documents take part in the last round.
+            hots, last, some = hots[-1:], True, docs
+        elif not len(hot[0]):
             break
         else:
-            hots.append(np.union1d(hots[-1], hot))
+            hots.append(with_more(hots[-1], hot))
+            last = len(hots[-1][0]) == len(hots[-2][0])
+            crowds = found[-1].where(F.col("kind") == MEMBER).select(F.col("u").alias("node"))
+            some = _of_nodes(docs, nodes, crowds)
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
     pairs = pairs.where(F.col("kind") == PAIR).select("u", "v").distinct()
-    links = write_shared(verify(write_shared(pairs, "candidates"), docs, nodes), "links")
+    links = linked(pairs, docs, nodes)
     parts = connected_components(links, "u", "v")
     if not last:
         return parts
-    return _join_crowds(found[-1], links, parts, docs, nodes)
+    members = found[-1].where(F.col("kind") == MEMBER)
+    return _join_crowds(members.select("token", F.col("u").alias("node"), "n"), links, parts, docs, nodes)
 
 
-def _join_crowds(found, links, parts, docs, nodes):
-    """Components after comparing the members of crowds that are not connected yet."""
-    members = found.where(F.col("kind") == MEMBER).select("token", F.col("u").alias("node"), "n")
-    members = members.join(parts, "node", "left").select(
-        "token", "node", "n", F.coalesce("component", "node").alias("part")
-    )
-    apart = (
-        members.groupBy("token")
-        .agg(F.min("part").alias("_least"), F.max("part").alias("_most"))
-        .where("_least < _most")
-        .select("token")
-    )
-    members = write_shared(members.join(apart, "token", "left_semi"), "crowds")
-    a, b = members.alias("a"), members.alias("b")
-    pairs = a.join(
-        b,
-        (F.col("a.token") == F.col("b.token"))
-        & (F.col("a.part") < F.col("b.part"))
-        & (3 * F.greatest("a.n", "b.n") <= 4 * F.least("a.n", "b.n")),
-    ).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    pairs = write_shared(pairs.distinct(), "candidates")
-    if pairs.isEmpty():
-        return parts
-    more = write_shared(verify(pairs, docs, nodes), "links")
-    return connected_components(links.union(more), "u", "v")
+def _join_crowds(members, links, parts, docs, nodes):
+    """Components after comparing those members of crowds that are not connected yet.
+
+    In some rounds all members of a crowd are compared with one of its largest part.
+    What is still apart then is compared pair by pair.
+    """
+    for turn in range(CROWD_ROUNDS + 1):
+        members = members.select("token", "node", "n").join(parts, "node", "left")
+        members = members.select("token", "node", "n", F.coalesce("component", "node").alias("part"))
+        sizes = members.groupBy("token", "part").agg(
+            F.count(F.lit(1)).alias("_k"),
+            F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("_lead"),
+        )
+        crowds = sizes.groupBy("token").agg(
+            F.count(F.lit(1)).alias("_parts"),
+            F.max_by(F.struct("_lead.*", "part"), F.struct("_k", "part")).alias("_lead"),
+        )
+        crowds = crowds.where("_parts > 1")
+        members = write_shared(members.join(crowds, "token"), "crowds")
+        if members.isEmpty():
+            return parts
+        alone = turn == CROWD_ROUNDS
+        if alone:
+            a, b = members.alias("a"), members.alias("b")
+            fit = 3 * F.greatest("a.n", "b.n") <= 4 * F.least("a.n", "b.n")
+            same = F.col("a.token") == F.col("b.token")
+            pairs = a.join(b, same & (F.col("a.part") < F.col("b.part")) & fit)
+            u, v = F.col("a.node"), F.col("b.node")
+        else:
+            fit = 3 * F.greatest("n", "_lead.n") <= 4 * F.least("n", "_lead.n")
+            pairs = members.where((F.col("part") != F.col("_lead.part")) & fit)
+            u, v = F.col("node"), F.col("_lead.node")
+        pairs = pairs.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct()
+        links = linked(write_shared(pairs, "candidates"), docs, nodes, links)
+        parts = connected_components(links, "u", "v")
+        if alone:
+            return parts
 
 
 def document_parts(docs):
