@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..session import new_table_path
-from . import binary_codes, hnsw, mixing, packing, parity_join, quality, secrets, toxicity, warc
+from . import binary_codes, hnsw, mixing, packing, parity_join, quality, secrets, suffix_dedup, toxicity, warc
 from .labelled import is_held_out
 
 QUERIES = {}
@@ -81,6 +81,11 @@ def op3_hnsw(spark, sf_dir):
     return hnsw.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
 
 
+@query()
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 @query()
 def op5_rotated_codes(spark, sf_dir):
     return binary_codes.near_duplicates(_table(spark, sf_dir, "embeddings"))

@@ -221,9 +221,15 @@ def score_toxicity(docs, model, text="text", score="score"):
 
 
 def drop_toxic(docs, labels, threshold=0.5):
-    """The documents whose score stays below the threshold, with their own columns."""
+    """The documents whose score stays below the threshold, with their own columns.
+
+    Without labelled rows of both classes there is nothing to go by, and all stay.
+    """
     name = "_toxicity"
     while name in docs.columns:
         name = f"_{name}"
-    scored = score_toxicity(docs, fit_toxicity(docs, labels), score=name)
+    model = fit_toxicity(docs, labels)
+    if model is None:
+        return docs
+    scored = score_toxicity(docs, model, score=name)
     return scored.where(F.col(name) < threshold).select(*docs.columns)
