@@ -200,7 +200,8 @@ def sort_out(phrases):
 def window_hashes(texts, unsure):
     """``w, text_id, lo``: hash and start of each window of the unsure phrases."""
     lists = unsure.groupBy("text_id").agg(F.collect_set(F.struct("lo", "hi")).alias("places"))
-    rows = texts.join(lists, "text_id").select("text", "text_id", "places")
+    # All columns of the texts: the exchange is then the one ``remove_repeats`` uses again.
+    rows = texts.join(lists, "text_id").select("text", "text_id", "places", "doc_id")
 
     def run(batches):
         seen = set()
@@ -304,7 +305,7 @@ def remove_repeats(docs):
     lists = repeated_ranges(texts).groupBy("text_id").agg(
         F.collect_set(F.struct("lo", "hi")).alias("places")
     )
-    rows = texts.join(write_shared(lists, "repeats"), "text_id", "left")
+    rows = texts.join(lists, "text_id", "left")
 
     def run(batches):
         for batch in batches:
