@@ -27,6 +27,7 @@ Copies are one node; the join's nodes are distinct sets, known by a 64-bit hash.
 """
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Window
@@ -43,6 +44,7 @@ SCOUT_CROWD = 6
 SCOUT_ROUNDS = 3
 ROUNDS = 3
 CROWD_ROUNDS = 2
+TILE = 1024  # members of a crowd in each half of a comparison
 HOT_TOKENS = 2_000_000  # 16 MB; with more of them the last step comes at once
 BROADCAST_IDS = 1_000_000  # 8 MB; more ids are joined by a shuffle
 DENSE_BITS = (64, 1 << 14)
@@ -507,11 +509,67 @@ def similar_sets(docs, nodes):
     return _join_crowds(members.select("token", F.col("u").alias("node"), "n"), links, parts, docs, nodes)
 
 
+def close_sketches(group):
+    """Pairs of a tile of a crowd that sizes and sketches allow, of different parts.
+
+    Each member is compared with the next larger ones by the width of its own sketch,
+    to which the wider ones are folded.
+    """
+    group = group.sort_values(["n", "node"])
+    node, n, part, tile = (group[c].to_numpy() for c in ("node", "n", "part", "tile"))
+    one_tile = group["i"].iloc[0] == group["j"].iloc[0]
+    sketches = [np.frombuffer(s, np.uint64) for s in group["sketch"]]
+    widths = np.array([len(s) for s in sketches])
+    last = np.searchsorted(n, n * 4 // 3, "right")
+    us, vs = [], []
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == width)
+        base, stop = int(own[0]), int(last[own[-1]])
+        folded = np.stack(
+            [np.bitwise_xor.reduce(s.reshape(-1, width), axis=0) for s in sketches[base:stop]]
+        )
+        for x in own.tolist():
+            ys = np.arange(x + 1, last[x])
+            fits = part[ys] != part[x]
+            if not one_tile:
+                fits &= tile[ys] != tile[x]
+            ys = ys[fits]
+            far = np.bitwise_count(folded[ys - base] ^ folded[x - base]).sum(axis=1, dtype=np.int64)
+            ys = ys[7 * far <= n[x] + n[ys]]
+            us.append(np.full(len(ys), node[x]))
+            vs.append(node[ys])
+    return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+
+def compare_crowds(members, nodes):
+    """Pairs of unconnected members of a crowd whose sketches are near enough.
+
+    A member stands in very many crowds with the same others, so pairs are compared
+    by their sketches in place and only near ones become rows.  A crowd is cut into
+    tiles by hash, and each two tiles are a group of their own: no task holds more
+    than two of them, however large the crowd.
+    """
+    sketches = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(
+        F.min("sketch").alias("sketch")
+    )
+    tiles = F.ceil(F.col("_members") / F.lit(TILE))
+    tile = F.pmod(F.xxhash64("node", F.lit("tile")), tiles)
+    rows = members.select("token", "node", "n", "part", tile.alias("tile"), tiles.alias("tiles"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.join(sketches, "node").select(
+        "token",
+        F.least("tile", "other").alias("i"),
+        F.greatest("tile", "other").alias("j"),
+        "tile", "node", F.col("n").cast("long").alias("n"), "part", "sketch",
+    )
+    return rows.groupBy("token", "i", "j").applyInPandas(close_sketches, "u long, v long")
+
+
 def _join_crowds(members, links, parts, docs, nodes):
     """Components after comparing those members of crowds that are not connected yet.
 
     In some rounds all members of a crowd are compared with one of its largest part.
-    What is still apart then is compared pair by pair.
+    Of what is still apart then, the sketches are compared with each other.
     """
     for turn in range(CROWD_ROUNDS + 1):
         members = members.select("token", "node", "n").join(parts, "node", "left")
@@ -522,6 +580,7 @@ def _join_crowds(members, links, parts, docs, nodes):
         )
         crowds = sizes.groupBy("token").agg(
             F.count(F.lit(1)).alias("_parts"),
+            F.sum("_k").alias("_members"),
             F.max_by(F.struct("_lead.*", "part"), F.struct("_k", "part")).alias("_lead"),
         )
         crowds = crowds.where("_parts > 1")
@@ -530,15 +589,12 @@ def _join_crowds(members, links, parts, docs, nodes):
             return parts
         alone = turn == CROWD_ROUNDS
         if alone:
-            a, b = members.alias("a"), members.alias("b")
-            fit = 3 * F.greatest("a.n", "b.n") <= 4 * F.least("a.n", "b.n")
-            same = F.col("a.token") == F.col("b.token")
-            pairs = a.join(b, same & (F.col("a.part") < F.col("b.part")) & fit)
-            u, v = F.col("a.node"), F.col("b.node")
+            pairs = compare_crowds(members, nodes)
         else:
             fit = 3 * F.greatest("n", "_lead.n") <= 4 * F.least("n", "_lead.n")
             pairs = members.where((F.col("part") != F.col("_lead.part")) & fit)
-            u, v = F.col("node"), F.col("_lead.node")
+            pairs = pairs.select(F.col("node").alias("u"), F.col("_lead.node").alias("v"))
+        u, v = F.col("u"), F.col("v")
         pairs = pairs.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct()
         links = linked(write_shared(pairs, "candidates"), docs, nodes, links)
         parts = connected_components(links, "u", "v")
