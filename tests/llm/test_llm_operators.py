@@ -65,6 +65,30 @@ def test_join_finds_all_links(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_parts(texts)
 
 
+def test_crowds_lose_no_near_pair(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "TILE", 7)
+    rng = np.random.default_rng(3)
+    base, sets = rng.integers(0, 2**64, 900, dtype=np.uint64), {}
+    for node in range(60):
+        own = rng.integers(0, 2**64, int(rng.integers(0, 200)), dtype=np.uint64)
+        sets[node] = np.unique(np.concatenate([base[: rng.integers(30, 900)], own]))
+    rows = [(k, len(v), bytearray(parity_join.dense_sketch(v))) for k, v in sets.items()]
+    nodes = spark.createDataFrame(rows, "node long, n long, sketch binary")
+    crowd = [(t, k, len(v), k % 9, 60) for t in (1, 2) for k, v in sets.items()]
+    members = spark.createDataFrame(crowd, "token long, node long, n int, part long, _members long")
+    got = parity_join.compare_crowds(members, nodes).distinct().collect()
+    sketch = {k: parity_join.dense_sketch(v) for k, v in sets.items()}
+    wanted = {
+        (a, b)
+        for a in sets
+        for b in sets
+        if a < b and a % 9 != b % 9
+        and 3 * max(len(sets[a]), len(sets[b])) <= 4 * min(len(sets[a]), len(sets[b]))
+        and 7 * parity_join.hamming(sketch[a], sketch[b]) <= len(sets[a]) + len(sets[b])
+    }
+    assert {(min(r.u, r.v), max(r.u, r.v)) for r in got} == wanted and wanted
+
+
 def test_one_of_each_group_stays(spark):
     texts = near_texts()
     parts = brute_parts(texts)
