@@ -22,11 +22,11 @@ NOT_AN_INTEGER = "not_an_integer"
 OUT_OF_RANGE = "out_of_range"
 CLIENT_ERROR = "client_error"
 
-_INTEGER_TEXT = re.compile(r"[+-]?[0-9]+(?:_[0-9]+)*(?:\.0+)?")
+# A lax field skips leading zeros and takes what follows, even with a sign, as the number.
+_INTEGER_TEXT = re.compile(r"[+-]?[0-9]+(?:_[0-9]+)*(?:\.0+)?|\+?0+-_?[0-9]+(?:_[0-9]+)*")
 _JSON_BLANKS = " \t\n\r"
 _LONG_MIN, _LONG_MAX = -(1 << 63), (1 << 63) - 1
-# Digits of an integer reply; a BIGINT has 19, leading zeros need some more.
-_MAX_DIGITS = 4000
+_LONG_DIGITS = 19
 
 
 @dataclass(frozen=True)
@@ -106,8 +106,11 @@ def _as_integer(value):
         return int(value) if math.isfinite(value) and value.is_integer() else None
     if isinstance(value, str):
         value = value.strip()
-        if len(value) <= _MAX_DIGITS and _INTEGER_TEXT.fullmatch(value):
-            return int(value.partition(".")[0])
+        if _INTEGER_TEXT.fullmatch(value):
+            digits = re.sub("[+_-]", "", value.partition(".")[0]).lstrip("0") or "0"
+            # More digits than a BIGINT has are out of range, whatever they are.
+            number = int(digits[: _LONG_DIGITS + 1])
+            return -number if "-" in value else number
     return None
 
 

@@ -141,19 +141,37 @@ def _attributes(source):
 
 
 class _Text:
-    """Text of one element as it is collected."""
+    """Text of one element as it is shown: a run of blanks is one, none at line ends."""
 
-    __slots__ = ("pieces",)
+    __slots__ = ("pieces", "written")
 
     def __init__(self):
         self.pieces = []
+        self.written = False  # whether the last piece keeps its blanks
+
+    def add(self, run, as_written):
+        if not as_written:
+            run = _BLANKS.sub(" ", run)
+            if not self.pieces or (not self.written and self.pieces[-1][-1] in " \n"):
+                run = run.removeprefix(" ")
+        if run:
+            self.pieces.append(run)
+            self.written = as_written
+
+    def end_line(self):
+        if self.pieces and not self.written and self.pieces[-1].endswith(" "):
+            self.pieces[-1] = self.pieces[-1][:-1]
+            if not self.pieces[-1]:
+                self.pieces.pop()
+        self.pieces.append("\n")
+        self.written = False
 
     def start_line(self):
         if self.pieces and not self.pieces[-1].endswith("\n"):
-            self.pieces.append("\n")
+            self.end_line()
 
     def value(self):
-        return "".join(self.pieces)
+        return "".join(self.pieces).strip(" \t\n\f\r")
 
 
 class _Post:
@@ -216,11 +234,11 @@ class PostFinder:
         at = 0
         while True:
             tag = _TAG.search(html, at)
-            if open_texts:
+            if open_texts and not templates:
                 run = unescape(html[at : tag.start() if tag else len(html)])
                 if run:
                     for text in open_texts:
-                        text.pieces.append(run)
+                        text.add(run, bool(opened.get("pre")))
             if tag is None:
                 break
             at = tag.end()
@@ -230,13 +248,13 @@ class PostFinder:
             name = (ended or started or "").lower()
 
             if name == "br":
-                for text in open_texts:
-                    text.pieces.append("\n")
+                for text in () if templates else open_texts:
+                    text.end_line()
             elif ended:
                 if name == "template" and templates:
                     templates -= 1
                 if opened.get(name) and name not in ("body", "html"):
-                    self._close(name)
+                    self._close(name, not templates)
             elif name in _RAW_TEXT:
                 end = _RAW_TEXT_END[name].search(html, at)
                 at = end.start() if end else len(html)
@@ -245,8 +263,8 @@ class PostFinder:
                     templates += 1
                 if name in _BLOCK:
                     if opened.get("p") and name in _CLOSES_PARAGRAPH:
-                        self._close("p")
-                    for text in open_texts:
+                        self._close("p", not templates)
+                    for text in () if templates else open_texts:
                         text.start_line()
                 if name in _VOID and not self._may_match(name, source):
                     continue
@@ -307,7 +325,7 @@ class PostFinder:
         if post is not None or texts:
             self._marked.append((len(self._stack) - 1, post, texts))
 
-    def _close(self, name):
+    def _close(self, name, shown):
         """End the innermost open element of that name, if it can be ended here."""
         stack = self._stack
         depth = len(stack) - 1
@@ -316,7 +334,7 @@ class PostFinder:
             if depth is None:
                 return
         self._close_to(depth)
-        if name in _BLOCK:
+        if shown and name in _BLOCK:
             for text in self._open_texts:
                 text.start_line()
 

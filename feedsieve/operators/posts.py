@@ -4,11 +4,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.fixed_values import JOB_KEYWORDS, MAX_PAGES, MAX_POSTS, SEARCH_TEXT
+from ..functions.fixed_values import JOB_KEYWORDS
 from ..session import write_shared
 
 
-def search_posts(posts, search_text=SEARCH_TEXT):
+def search_posts(posts, search_text):
     """Posts whose content holds every blank-separated term, case ignored.
 
     An empty search keeps all posts.
@@ -46,18 +46,21 @@ def with_position(ordered, name="position"):
     )
 
 
-def limit_pages(pages, n=MAX_PAGES):
+def limit_pages(pages, n):
     """The first ``n`` pages.
 
     The ids alone decide where to stop, and the scan skips what lies behind:
     the HTML of the other pages is not read where the table is sorted by id.
+    Pages without an id come last, and fill up what is missing to ``n``.
     """
-    first_ids = pages.select("page_id").orderBy("page_id").limit(n)
+    numbered = F.col("page_id").isNotNull()
+    first_ids = pages.select("page_id").where(numbered).orderBy("page_id").limit(n)
     last_id = first_ids.agg(F.max("page_id")).scalar()
-    return pages.where(F.col("page_id") <= last_id).orderBy("page_id").limit(n)
+    first = pages.where(F.col("page_id") <= last_id).union(pages.where(~numbered).limit(n))
+    return first.orderBy(F.col("page_id").asc_nulls_last()).limit(n)
 
 
-def limit_posts(posts, n=MAX_POSTS):
+def limit_posts(posts, n=None):
     """The first ``n`` posts in document order; ``None`` keeps all."""
     return posts if n is None else posts.orderBy("page_id", "pos").limit(n)
 

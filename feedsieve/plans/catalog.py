@@ -543,3 +543,47 @@ def run_pages_stream(spark, sf_dir):
     state = new_table_path(spark, "run_stream_state")
     run_stream(spark, arriving, RuleClient(), sink, state, max_files=1).awaitTermination()
     return sink.read(spark, LABELLED_POST)
+
+
+def _backfill_then_stream(spark, sf_dir, format):
+    """One run over the pages, then a stream of the same pages into the same sink."""
+    arriving = new_table_path(spark, "arriving_pages")
+    fixtures.pages(spark, sf_dir).repartitionByRange(2, "page_id").write.parquet(arriving)
+    sink = PostSink(new_table_path(spark, "backfill"), format)
+    run_once(read_pages(spark, arriving), RuleClient(), sink)
+    state = new_table_path(spark, "backfill_state")
+    run_stream(spark, arriving, RuleClient(), sink, state, max_files=1).awaitTermination()
+    return sink.read(spark)
+
+
+_TWICE_SQL = f"{_labelled_sql(_SCRAPED_SQL)} union all {_labelled_sql(_SCRAPED_SQL)}"
+
+
+@query(_TWICE_SQL)
+def run_backfill_then_stream(spark, sf_dir):
+    return _backfill_then_stream(spark, sf_dir, "parquet")
+
+
+@query(_TWICE_SQL)
+def run_backfill_then_stream_csv(spark, sf_dir):
+    return _backfill_then_stream(spark, sf_dir, "csv")
+
+
+@query(_TWICE_SQL)
+def run_two_streams(spark, sf_dir):
+    """Two streams, each with its own checkpoint, into one sink."""
+    arriving = new_table_path(spark, "arriving_pages")
+    fixtures.pages(spark, sf_dir).repartitionByRange(2, "page_id").write.parquet(arriving)
+    sink = PostSink(new_table_path(spark, "two_streams"))
+    for _ in range(2):
+        state = new_table_path(spark, "two_streams_state")
+        run_stream(spark, arriving, RuleClient(), sink, state, max_files=1).awaitTermination()
+    return sink.read(spark)
+
+
+@query(f"select content, url, profile_name, null as hiring_post from ({_POSTS_SQL}) p where false")
+def run_without_posts(spark, sf_dir):
+    """A run over the given pages, which hold no posts: an empty table, no failure."""
+    sink = PostSink(new_table_path(spark, "no_posts"))
+    run_once(read_pages(spark, f"{sf_dir}/pages.parquet"), RuleClient(), sink)
+    return sink.read(spark)

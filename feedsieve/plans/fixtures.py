@@ -35,6 +35,7 @@ from documents"""
 # Page layouts, by page_id % 5.  The first container selector that matches
 # anything on a page is the only one that counts there.
 _LAYOUTS = {
+    1: "as 0, with indented markup and spans inside the parts",
     2: "third selector only",
     3: "first selector for even documents, third for odd ones, which are not found",
     4: "second selector only: elements without content and id",
@@ -69,10 +70,19 @@ def pages(spark, sf_dir):
         )
         .otherwise(F.concat(F.lit('class="feed-shared-update-v2 x"'), id_attribute))
     )
-    title = F.replace(_escaped(F.col("actor_title")), F.lit("\n"), F.lit("<br>"))
+
+    def indented(column):
+        around = (F.lit("\n    <span>\n\t  "), column, F.lit("\r\n    </span>\n"))
+        return F.when(layout == 1, F.concat(*around)).otherwise(column)
+
+    title = indented(F.replace(_escaped(F.col("actor_title")), F.lit("\n"), F.lit("<br>")))
     body = F.when(
         layout != 4,
-        F.concat(F.lit('<span class="break-words">'), _escaped(F.col("content")), F.lit("</span>")),
+        F.concat(
+            F.lit('<span class="break-words">'),
+            indented(_escaped(F.col("content"))),
+            F.lit("</span>"),
+        ),
     ).otherwise(F.lit(""))
     element = F.concat(
         F.lit("<div "),
@@ -104,12 +114,13 @@ def pages(spark, sf_dir):
     )
 
 
-# What the extraction has to find on those pages.
-FOUND_SQL = f"""
+# What the extraction has to find on those pages: text as it is shown.
+FOUND_SQL = rf"""
 select doc_id, page_id,
   cast(row_number() over (partition by page_id order by doc_id) - 1 as int) as pos,
-  case when page_id % 5 = 4 then null else content end as content,
-  actor_title,
+  case when page_id % 5 = 4 then null
+    else trim(regexp_replace(content, '[ \t\n\f\r]+', ' ', 'g'), ' ') end as content,
+  trim(actor_title, ' ') as actor_title,
   case when page_id % 5 = 4 then null else data_urn end as data_urn
 from ({RAW_POSTS_SQL}) r
 where case page_id % 5

@@ -15,7 +15,7 @@ from ..operators.posts import (
     limit_posts,
     search_posts,
 )
-from ..session import write_shared
+from ..session import drop_shared, write_shared
 
 
 @dataclass(frozen=True)
@@ -80,14 +80,20 @@ def plan_posts(pages, options=RunOptions(), watch=_unwatched):
 
 
 def run_once(
-    pages, client_factory, sink, options=RunOptions(), quarantine_sink=None, batch_id=None
+    pages,
+    client_factory,
+    sink,
+    options=RunOptions(),
+    quarantine_sink=None,
+    batch_id=None,
+    run_id=None,
 ):
     """Extract, label and store the posts of ``pages``; returns the stage counts.
 
     Under ``on_error="quarantine"`` the labelled rows are written once before
     they are split over the two sinks, so no row is asked for twice and none
-    can land in both.  With a ``batch_id`` a repeated run replaces what it wrote
-    before; without one it appends.
+    can land in both.  With a ``batch_id`` a repeated run replaces what that batch
+    of ``run_id`` wrote before; without one it appends.
     """
     if options.on_error == "quarantine" and quarantine_sink is None:
         raise ValueError("a quarantining run needs a quarantine_sink")
@@ -102,10 +108,14 @@ def run_once(
     )
     labelled = counts.watch("classified", labelled)
     if options.on_error == "fail":
-        sink.write(counts.watch("appended", labelled), batch_id)
+        sink.write(counts.watch("appended", labelled), batch_id, run_id)
     else:
-        good, failed = split_quarantine(write_shared(labelled, "labelled"))
-        sink.write(counts.watch("appended", good), batch_id)
-        quarantine_sink.write(failed, batch_id)
+        answered = write_shared(labelled, "labelled")
+        try:
+            good, failed = split_quarantine(answered)
+            sink.write(counts.watch("appended", good), batch_id, run_id)
+            quarantine_sink.write(failed, batch_id, run_id)
+        finally:
+            drop_shared(answered)
     return counts.get()
 

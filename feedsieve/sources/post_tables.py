@@ -1,5 +1,6 @@
 """Tables of posts: CSV that survives any text, and Parquet."""
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -22,9 +23,14 @@ CSV_OPTIONS = {
 }
 
 # A file with line breaks inside values cannot be split when it is read.
-MAX_RECORDS_PER_FILE = 100_000
+MAX_RECORDS_PER_FILE = 10_000
 
-BATCH_COLUMN = "batch_id"
+# Folders of a sink: one per run or query, and one per batch in it.
+RUN_COLUMN, BATCH_COLUMN = "run", "batch_id"
+# Numbered batches that do not say whose they are.
+UNNAMED_RUN = "unnamed"
+# Files count at whatever depth they are, and folder names are no columns.
+ALL_FILES = {"recursiveFileLookup": True}
 
 
 def read_posts_csv(spark, path, schema=LABELLED_POST):
@@ -36,7 +42,7 @@ def read_posts_csv(spark, path, schema=LABELLED_POST):
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     rows = (
         spark.read.schema(as_text)
-        .options(**CSV_OPTIONS)
+        .options(**CSV_OPTIONS, **ALL_FILES)
         .option("mode", "FAILFAST")
         .option("enforceSchema", False)
         .csv(path)
@@ -63,26 +69,28 @@ def csv_columns(spark, path):
     if not path_exists(spark, path):
         return None
     try:
-        found = spark.read.options(**CSV_OPTIONS).csv(path).columns
+        found = spark.read.options(**CSV_OPTIONS, **ALL_FILES).csv(path).columns
     except AnalysisException as problem:
         if problem.getCondition() == "UNABLE_TO_INFER_SCHEMA":
             return None
         raise
-    return [name for name in found if name != BATCH_COLUMN] or None
+    return found or None
 
 
-def write_posts_csv(posts, path, mode="append"):
+def write_posts_csv(posts, path, mode="append", max_records=MAX_RECORDS_PER_FILE):
+    """Write a CSV folder; ``max_records`` bounds what one task has to read of it."""
     writer = posts.write.mode(mode).options(**CSV_OPTIONS)
-    writer.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).csv(path)
+    writer.option("maxRecordsPerFile", max_records).csv(path)
 
 
 def append_posts_csv(posts, path, union_path=None):
     """Append to a CSV folder, made if missing; returns the old and new rows.
 
     Only new files are added.  CSV is read by column position, so where the
-    columns differ the union of both is written to ``union_path`` instead.
+    columns differ the union of both is written to ``union_path`` instead.  That
+    must be new, and is the table from then on: append to it, not to ``path``.
     """
-    spark = posts.sparkSession
+    spark, mode = posts.sparkSession, "append"
     header = csv_columns(spark, path)
     if header is not None and sorted(header) != sorted(posts.columns):
         if union_path is None:
@@ -96,10 +104,10 @@ def append_posts_csv(posts, path, union_path=None):
             ]
         )
         posts = union_posts(read_posts_csv(spark, path, old_schema), posts)
-        path = union_path
+        path, mode = union_path, "errorifexists"
     elif header is not None:
         posts = posts.select(*header)
-    write_posts_csv(posts, path)
+    write_posts_csv(posts, path, mode)
     return read_posts_csv(spark, path, posts.schema)
 
 
@@ -108,33 +116,53 @@ def append_core_csv(posts, path):
     write_posts_csv(posts.select(*CORE_COLUMNS), path)
 
 
+def batch_path(path, run_id, batch_id):
+    """Folder of one batch of a run or query."""
+    return f"{path}/{RUN_COLUMN}={run_id}/{BATCH_COLUMN}={batch_id}"
+
+
 @dataclass(frozen=True)
 class PostSink:
-    """Folder that a run writes to, as ``csv`` or ``parquet``."""
+    """Folder that runs and streams write to, as ``csv`` or ``parquet``.
+
+    Every write has a folder of its own, ``run=<id>/batch_id=<n>``, so none can
+    hide or replace the rows of another.  ``max_records`` bounds the CSV files.
+    A column that is new is null in the older rows of a Parquet sink, without a
+    rewrite; a CSV sink refuses other columns (see ``append_posts_csv``).
+    """
 
     path: str
     format: str = "parquet"
+    max_records: int = MAX_RECORDS_PER_FILE
 
     def __post_init__(self):
         if self.format not in ("csv", "parquet"):
             raise ValueError(f"unknown format: {self.format!r}")
 
-    def write(self, posts, batch_id=None):
-        """Append the posts; a numbered batch replaces its own earlier attempt."""
-        path, mode = self.path, "append"
-        if batch_id is not None:
-            path, mode = f"{self.path}/{BATCH_COLUMN}={batch_id}", "overwrite"
+    def write(self, posts, batch_id=None, run_id=None):
+        """Append the posts; a numbered batch replaces its own earlier attempt.
+
+        A batch is known by its number and the run or query it belongs to.
+        """
+        if batch_id is None:
+            run_id, batch_id, mode = run_id or uuid.uuid4().hex, 0, "errorifexists"
+        else:
+            run_id, mode = run_id or UNNAMED_RUN, "overwrite"
+        path = batch_path(self.path, run_id, batch_id)
         if self.format == "parquet":
             posts.write.mode(mode).parquet(path)
-        elif batch_id is not None:
-            write_posts_csv(posts, path, mode)
-        else:
-            append_posts_csv(posts, path)
+            return
+        header = csv_columns(posts.sparkSession, self.path)
+        if header is not None:
+            if sorted(header) != sorted(posts.columns):
+                raise ValueError(f"columns differ from {header}")
+            posts = posts.select(*header)
+        write_posts_csv(posts, path, mode, self.max_records)
 
     def read(self, spark, schema=LABELLED_POST):
         if self.format == "csv":
             return read_posts_csv(spark, self.path, schema)
-        return spark.read.schema(schema).parquet(self.path).select(*schema.names)
+        return spark.read.schema(schema).options(**ALL_FILES).parquet(self.path)
 
     def total(self, spark):
         """Rows stored so far; a look at the footers for Parquet."""

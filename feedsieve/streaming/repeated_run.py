@@ -4,10 +4,16 @@ import logging
 
 from ..plans.run import RunOptions, run_once
 from ..sources.pages import stream_pages
+from ..sources.post_tables import batch_path
 
 logger = logging.getLogger(__name__)
 
 
+def query_id(spark, checkpoint_path):
+    """Id of the query, the same at every start from the checkpoint."""
+    return spark.read.json(f"{checkpoint_path}/metadata").first()["id"]
+
+
 def run_stream(
     spark,
     pages_path,
@@ -31,8 +37,9 @@ def run_stream(
     ``dead_letter_path`` and the query goes on (``"dead_letter"``).  It is never
     just skipped: Spark would count a swallowed error as done.
 
-    A batch writes to its own ``batch_id=`` folder and replaces what an earlier
-    attempt left there, so a replay doubles nothing.
+    A batch writes to its own folder, named by the query's id and its number, and
+    replaces what an earlier attempt left there: a replay doubles nothing, and
+    other streams and runs can share the sink.  The id lives in the checkpoint.
     """
     if on_batch_error not in ("raise", "dead_letter"):
         raise ValueError(f"unknown on_batch_error: {on_batch_error!r}")
@@ -40,14 +47,18 @@ def run_stream(
         raise ValueError("dead letters need a dead_letter_path")
 
     def run_batch(pages, batch_id):
+        run_id = query_id(spark, checkpoint_path)
         try:
-            counts = run_once(pages, client_factory, sink, options, quarantine_sink, batch_id)
+            counts = run_once(
+                pages, client_factory, sink, options, quarantine_sink, batch_id, run_id
+            )
             logger.info("batch %s: %s", batch_id, counts)
         except Exception:
             if on_batch_error == "raise":
                 raise
             logger.exception("batch %s failed; its pages go to the dead letters", batch_id)
-            pages.write.mode("overwrite").parquet(f"{dead_letter_path}/batch_id={batch_id}")
+            path = batch_path(dead_letter_path, run_id, batch_id)
+            pages.write.mode("overwrite").parquet(path)
 
     writer = stream_pages(spark, pages_path, max_files).writeStream.foreachBatch(run_batch)
     writer = writer.option("checkpointLocation", checkpoint_path)

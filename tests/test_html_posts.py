@@ -1,6 +1,7 @@
 """The page helper on hand-made pages."""
 
 import random
+import re
 from html import escape
 
 import pytest
@@ -79,16 +80,34 @@ def test_missing_and_empty_parts(html, row):
         ("a<script>var x = '</span>';</script>b<style>p{}</style>c", "abc"),
         ("a<!-- </span> -->b<!-->c<!doctype x>d<?pi?>e</ x>f", "abcdef"),
         ("a<p>b<p>c</p><ul><li>d<li>e</ul>f", "a\nb\nc\nd\ne\nf"),
-        ("a\r\nb\rc", "a\nb\nc"),
+        ("a\r\nb\rc", "a b c"),
         ("a<b>b</i>c</b>d", "abcd"),
         ('a<img alt="</span>" src=x>b<a title=\'>\' href=/x?a=b/>c</a>', "abc"),
-        ("<noscript><b>n</b></noscript>a<template><i>t</i></template>", "at"),
+        ("<noscript><b>n</b></noscript>a<template><i>t</i></template>", "a"),
     ],
 )
 def test_text_of_an_element(content, expected):
     assert find(post(content=content)) == [(expected, "Jane", "urn:li:activity:1")]
 
 
+@pytest.mark.parametrize(
+    "html, expected",
+    [
+        ("\n    <span>Jane</span>\n    <br>  2nd  ", "Jane\n2nd"),
+        ("\n  <i> a </i> <b> b </b>\n", "a b"),
+        ("a<div>\n  <p> b </p>\n  </div> c", "a\nb\nc"),
+        ("a <br> <br> b", "a\n\nb"),
+        ("a\xa0 b", "a\xa0 b"),
+        ("x<pre>  a\n   b </pre>y", "x\n  a\n   b \ny"),
+        ("a<template> <br>t<div>u</div></template> b", "a b"),
+        (" \n\t ", ""),
+    ],
+)
+def test_blanks_as_shown(html, expected):
+    assert find(post(content=html)) == [(expected, "Jane", "urn:li:activity:1")]
+    assert find(post(title=html)) == [("text", expected, "urn:li:activity:1")]
+
+
 def test_markup_that_is_not_an_element():
     hidden = (
         "<!-- " + post("c:1") + " --><script>'" + post("c:2") + "'</script>"
@@ -111,7 +130,7 @@ def test_forms_of_a_tag():
 
 def test_unclosed_elements_end_with_their_parent():
     html = '<div class="feed-shared-update-v2" data-urn="u:1"><span class="break-words">a<div>b</div></div>c'
-    assert find(html) == [("a\nb\n", None, "u:1")]
+    assert find(html) == [("a\nb", None, "u:1")]
     assert find(html + post("u:2"))[1] == ("text", "Jane", "u:2")
     assert find('<div class="feed-shared-update-v2"><span class="break-words">to the end') == [
         ("to the end", None, None)
@@ -229,10 +248,15 @@ class Node:
                 yield from child.pieces()
 
     def text(self):
+        shown = "".join("\v" if piece is None else piece for piece in self.pieces())
+        shown = re.sub(r" ?([\n\v]) ?", r"\1", re.sub(" +", " ", shown))
         out = ""
-        for piece in self.pieces():
-            out += piece if piece is not None else "\n" if out and not out.endswith("\n") else ""
-        return out
+        for char in shown:
+            if char != "\v":
+                out += char
+            elif out and not out.endswith("\n"):
+                out += "\n"
+        return out.strip(" \n")
 
     def part(self, css):
         found = (e for e in self.elements() if e.name == "span" and css in e.css)

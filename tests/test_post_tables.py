@@ -4,6 +4,7 @@ import glob
 
 import pandas as pd
 import pytest
+from pyspark.errors import AnalysisException
 
 from feedsieve.schema import LABELLED_POST, POST
 from feedsieve.sources.post_tables import (
@@ -97,6 +98,9 @@ def test_append_with_other_columns(spark, tmp_path):
     assert both.where("name is null").count() == both.where("hiring_post is null").count() == len(TEXTS)
     assert dict(both.dtypes)["hiring_post"] == "bigint"
     assert read_posts_csv(spark, path).count() == len(TEXTS)
+    with pytest.raises(AnalysisException):
+        append_posts_csv(new, path, union_path)
+    assert read_posts_csv(spark, union_path, both.schema).count() == 2 * len(TEXTS)
 
 
 def test_append_core(spark, tmp_path):
@@ -127,3 +131,15 @@ def test_sink_appends(spark, tmp_path, format):
     assert sink.read(spark).count() == 2 * len(TEXTS)
     with pytest.raises(ValueError):
         PostSink("x", "orc")
+
+
+def test_new_column_of_a_parquet_sink(spark, tmp_path):
+    sink = PostSink(str(tmp_path / "t"))
+    sink.write(labelled(spark).drop("hiring_post"))
+    sink.write(labelled(spark, 100), batch_id=0, run_id="r")
+    assert sink.read(spark).where("hiring_post is null").count() == len(TEXTS)
+    assert sink.total(spark) == 2 * len(TEXTS)
+    in_csv = PostSink(str(tmp_path / "c"), "csv")
+    in_csv.write(labelled(spark).drop("hiring_post"))
+    with pytest.raises(ValueError):
+        in_csv.write(labelled(spark))

@@ -106,7 +106,7 @@ def test_limits(spark):
     assert [r.page_id for r in ops.limit_pages(copies, 3).collect()] == [1, 1, 3]
     posts = placed_posts(spark, [(n // 2, n % 2, "c", f"u{n}", "") for n in range(30)]).repartition(3)
     assert [r.url for r in ops.limit_posts(posts, 3).collect()] == ["u0", "u1", "u2"]
-    assert ops.limit_posts(posts).count() == 10
+    assert ops.limit_posts(posts).count() == 30
     assert ops.limit_posts(posts, None).count() == 30
 
 
@@ -125,3 +125,9 @@ def test_union_keeps_copies_and_fills_missing_columns(spark):
 def test_filter_relevant(spark):
     rows = [(1, 0, "Hiring, send your CV", "a", ""), (1, 1, "hello", "b", "")]
     assert [r.url for r in ops.filter_relevant(placed_posts(spark, rows)).collect()] == ["a"]
+
+
+def test_pages_without_an_id_come_last(spark):
+    pages = spark.createDataFrame([(None, "a"), (1, "b"), (2, "c")], "page_id long, html string")
+    for n, ids in ((0, []), (2, [1, 2]), (3, [1, 2, None]), (9, [1, 2, None])):
+        assert [r.page_id for r in ops.limit_pages(pages, n).collect()] == ids

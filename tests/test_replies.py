@@ -115,3 +115,13 @@ def test_label_spec():
     for name, prompt in (("", "p"), ("n", "")):
         with pytest.raises(ValueError):
             LabelSpec(name, prompt)
+
+
+def test_integers_of_any_length():
+    def read(number):
+        return read_reply(f'{{"classification": "{number}"}}')
+
+    assert read("0" * 4100 + "1") == (1, None)
+    assert read("-" + "0" * 4400 + "_7.0") == (-7, None)
+    assert read("9" * 5000)[1] == read(str(1 << 63))[1] == "out_of_range"
+    assert read(str(-(1 << 63))) == (-(1 << 63), None)

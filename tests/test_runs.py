@@ -1,5 +1,6 @@
 """Single and repeated runs."""
 
+import glob
 import os
 import sys
 from dataclasses import dataclass
@@ -15,9 +16,10 @@ from feedsieve.operators.classify import ERROR
 from feedsieve.plans import fixtures
 from feedsieve.plans.run import RunOptions, plan_posts, run_once
 from feedsieve.schema import LABELLED_POST, PAGE
+from feedsieve.session import shared_dir
 from feedsieve.sources.pages import read_pages
-from feedsieve.sources.post_tables import PostSink, path_exists
-from feedsieve.streaming.repeated_run import run_stream, run_until_stopped
+from feedsieve.sources.post_tables import PostSink, batch_path, path_exists
+from feedsieve.streaming.repeated_run import query_id, run_stream, run_until_stopped
 
 
 # The client below is sent to the tasks.
@@ -123,6 +125,7 @@ def test_quarantine_run(spark, tmp_path):
     with_error = StructType([*LABELLED_POST.fields, StructField(ERROR, StringType())])
     (failed,) = rest.read(spark, with_error).collect()
     assert (failed.content, failed.hiring_post, failed.error) == ("BAD reply", None, "bad_json")
+    assert not glob.glob(f"{shared_dir(spark)}/feedsieve/labelled-*")
 
 
 def stream(spark, arriving, tmp_path, client, **options):
@@ -180,10 +183,23 @@ def test_dead_letters_keep_the_pages(spark, arriving, tmp_path):
     assert run_until_stopped(query) is True
     assert labels(sink.read(spark)) == [("u:1", 1), ("u:2", 0), ("u:2", 0), ("u:5", 0)]
     assert [r.page_id for r in spark.read.parquet(dead).collect()] == [1]
-    run_once(read_pages(spark, f"{dead}/batch_id=1"), RuleClient(), sink, batch_id=1)
+    run = query_id(spark, str(tmp_path / "state"))
+    pages = read_pages(spark, batch_path(dead, run, 1))
+    run_once(pages, RuleClient(), sink, batch_id=1, run_id=run)
     assert len(labels(sink.read(spark))) == 6
 
 
+@pytest.mark.parametrize("format", ["csv", "parquet"])
+def test_runs_and_streams_share_a_sink(spark, arriving, tmp_path, format):
+    sink = PostSink(str(tmp_path / "out"), format)
+    run_once(read_pages(spark, arriving), RuleClient(), sink)
+    for state in ("a", "b", "b"):
+        checkpoint = str(tmp_path / state)
+        run_stream(spark, arriving, RuleClient(), sink, checkpoint, max_files=1).awaitTermination()
+    # The run keeps the first post per url over all pages, each stream per batch.
+    assert len(labels(sink.read(spark))) == 5 + 6 + 6
+
+
 def test_stop(spark, arriving, tmp_path):
     sink, query = stream(spark, arriving, tmp_path, RuleClient(), interval="1 second")
     query.processAllAvailable()
