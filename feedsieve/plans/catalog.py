@@ -258,10 +258,14 @@ def extract_posts(spark, sf_dir):
 
 
 def _html_text_sql(source):
-    """Text of a snippet without tags; ``&amp`` counts without its semicolon too."""
+    """Text of a snippet without tags; ``&amp`` counts without its semicolon too.
+
+    Text counts as it is shown: a run of blanks is one, and none stand at the ends.
+    """
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
         source = f"replace({source}, '{entity}', '{char}')"
-    return f"regexp_replace({source}, '&amp;?', '&', 'g')"
+    source = f"regexp_replace({source}, '&amp;?', '&', 'g')"
+    return f"trim(regexp_replace({source}, '[ \\t\\n\\f\\r]+', ' ', 'g'), ' ')"
 
 
 @query(

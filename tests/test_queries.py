@@ -1,4 +1,4 @@
-"""Every registered query against its SQL in DuckDB."""
+"""Every query of the catalog against its SQL in DuckDB."""
 
 import os
 
@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from feedsieve.plans.catalog import ORACLES, QUERIES
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+# Their right answer is no rows.
+EMPTY = {"run_without_posts"}
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +25,7 @@ def duck():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -36,7 +38,7 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     places = [relation.columns.index(column) for column in columns]
     expected = sorted(repr(tuple(row[p] for p in places)) for row in relation.fetchall())
     assert got == expected
-    assert got
+    assert bool(got) == (name not in EMPTY)
 
 
 def test_entry(spark):
