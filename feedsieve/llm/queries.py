@@ -3,7 +3,19 @@
 from pyspark.sql import functions as F
 
 from ..session import new_table_path
-from . import binary_codes, hnsw, mixing, packing, parity_join, quality, secrets, suffix_dedup, toxicity, warc
+from . import (
+    binary_codes,
+    hnsw,
+    mixing,
+    packing,
+    parity_join,
+    quality,
+    secrets,
+    sharding,
+    suffix_dedup,
+    toxicity,
+    warc,
+)
 from .labelled import is_held_out
 
 QUERIES = {}
@@ -11,6 +23,7 @@ ORACLES = {}
 
 QUALITY_LEAST = 0.3
 TOXIC_LEAST = 0.5
+SHARDS = 40
 
 
 def query(sql=None):
@@ -125,3 +138,8 @@ def op10_source_mixing(spark, sf_dir):
         F.col("_probability").alias("probability"),
         F.col("_drawn").alias("drawn"),
     )
+
+
+@query(sharding.oracle_sql(SHARDS))
+def op13_rendezvous_sharding(spark, sf_dir):
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), SHARDS)
