@@ -9,6 +9,7 @@ from . import (
     mixing,
     packing,
     parity_join,
+    prefix_trie,
     quality,
     secrets,
     sharding,
@@ -140,6 +141,11 @@ def op10_source_mixing(spark, sf_dir):
     )
 
 
+@query(prefix_trie.oracle_sql())
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
 @query(sharding.oracle_sql(SHARDS))
 def op13_rendezvous_sharding(spark, sf_dir):
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), SHARDS)

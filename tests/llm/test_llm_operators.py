@@ -22,7 +22,7 @@ def documents(spark, texts):
 def test_queries_equal_their_sql(spark, sf_dir, name):
     got = queries.QUERIES[name](spark, sf_dir)
     db = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         db.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     wanted = db.execute(queries.ORACLES[name]).fetchall()
     order = [c[0] for c in db.description]
