@@ -15,6 +15,7 @@ from . import (
     sharding,
     suffix_dedup,
     toxicity,
+    turn_repair,
     warc,
 )
 from .labelled import is_held_out
@@ -146,6 +147,11 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
 
 
+@query(turn_repair.oracle_sql())
+def op12_turn_repair(spark, sf_dir):
+    return turn_repair.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 @query(sharding.oracle_sql(SHARDS))
 def op13_rendezvous_sharding(spark, sf_dir):
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), SHARDS)
