@@ -42,6 +42,12 @@ _BLOCK = frozenset(
 _CLOSES_PARAGRAPH = _BLOCK - frozenset("body html tbody td tfoot th thead tr".split())
 _TABLE_PARTS = frozenset("caption table tbody td tfoot th thead tr".split())
 _SCOPE_EDGE = frozenset("caption html table td th".split())
+# What an end tag does not reach across: of parts of tables, of blocks, of all others.
+_EDGES = (frozenset("html table".split()), _SCOPE_EDGE, _BLOCK)
+_EDGE_OF = {
+    name: tuple(kind for kind, names in enumerate(_EDGES) if name in names)
+    for name in frozenset().union(*_EDGES)
+}
 _RAW_TEXT_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE | re.ASCII) for name in _RAW_TEXT}
 
 _SELECTOR_STEP = re.compile(
@@ -140,38 +146,98 @@ def _attributes(source):
     return found
 
 
-class _Text:
-    """Text of one element as it is shown: a run of blanks is one, none at line ends."""
+class _AsWritten(str):
+    """Text that keeps its blanks."""
 
-    __slots__ = ("pieces", "written")
 
-    def __init__(self):
-        self.pieces = []
-        self.written = False  # whether the last piece keeps its blanks
-
-    def add(self, run, as_written):
-        if not as_written:
-            run = _BLANKS.sub(" ", run)
-            if not self.pieces or (not self.written and self.pieces[-1][-1] in " \n"):
-                run = run.removeprefix(" ")
-        if run:
-            self.pieces.append(run)
-            self.written = as_written
+# Line breaks in the log of a page: one that is always made, one only behind other text.
+_END_LINE, _START_LINE = object(), object()
 
-    def end_line(self):
-        if self.pieces and not self.written and self.pieces[-1].endswith(" "):
-            self.pieces[-1] = self.pieces[-1][:-1]
-            if not self.pieces[-1]:
-                self.pieces.pop()
-        self.pieces.append("\n")
-        self.written = False
 
-    def start_line(self):
-        if self.pieces and not self.pieces[-1].endswith("\n"):
-            self.end_line()
+class _Text:
+    """Text of one element: a part of the page's log, so that nested elements share it."""
+
+    __slots__ = ("log", "start", "end", "shown")
+
+    def __init__(self, log):
+        self.log, self.start = log, len(log)
+        self.end = self.shown = None
 
     def value(self):
-        return "".join(self.pieces).strip(" \t\n\f\r")
+        if self.shown is None:
+            self.shown = _shown(self.log[self.start : self.end])
+        return self.shown
+
+
+def _shown(log):
+    """Text as it is shown: a run of blanks is one, none at line ends."""
+    pieces, runs = [], []
+    written = False  # whether the last piece keeps its blanks
+
+    def end_run():
+        run = _BLANKS.sub(" ", "".join(runs))
+        runs.clear()
+        if not pieces or (not written and pieces[-1][-1] in " \n"):
+            run = run.removeprefix(" ")
+        if run:
+            pieces.append(run)
+        return written and not run
+
+    for event in log:
+        if type(event) is str:
+            runs.append(event)
+            continue
+        if runs:
+            written = end_run()
+        if isinstance(event, _AsWritten):
+            pieces.append(event)
+            written = True
+        elif event is _END_LINE or (pieces and not pieces[-1].endswith("\n")):
+            if pieces and not written and pieces[-1].endswith(" "):
+                pieces[-1] = pieces[-1][:-1]
+                if not pieces[-1]:
+                    pieces.pop()
+            pieces.append("\n")
+            written = False
+    if runs:
+        end_run()
+    return "".join(pieces).strip(" \t\n\f\r")
+
+
+class _OpenElements:
+    """Stack of the open elements, with the depths that end tags ask for.
+
+    Names and edges have stacks of depths of their own, changed with each element, so no
+    question walks down the open elements.
+    """
+
+    __slots__ = ("names", "depths", "edges")
+
+    def __init__(self):
+        self.names = []
+        self.depths = {}
+        self.edges = ([], [], [])
+
+    def push(self, name):
+        depth = len(self.names)
+        self.names.append(name)
+        self.depths.setdefault(name, []).append(depth)
+        for kind in _EDGE_OF.get(name, ()):
+            self.edges[kind].append(depth)
+
+    def pop(self):
+        name = self.names.pop()
+        self.depths[name].pop()
+        for kind in _EDGE_OF.get(name, ()):
+            self.edges[kind].pop()
+
+    def closes(self, name):
+        """Depth an end tag closes to, or None where it closes nothing."""
+        depths = self.depths.get(name)
+        if not depths:
+            return None
+        edges = self.edges[_edge_kind(name)]
+        return None if edges and edges[-1] > depths[-1] else depths[-1]
 
 
 class _Post:
@@ -225,20 +291,20 @@ class PostFinder:
             html = html.replace("\r\n", "\n").replace("\r", "\n")
         self._posts = []
         self._best = len(self._containers)
-        self._stack = stack = []  # names of the open elements
-        self._open = opened = {}  # how many elements of a name are open
+        self._open = opened = _OpenElements()
         self._marked = []  # (depth, post or None, texts) of those that matched
-        self._open_posts = []
-        self._open_texts = open_texts = []
+        self._waiting = ([], [])  # open posts without content, without title
+        self._log = log = []  # text and line breaks while the text of a part is open
+        self._open_texts = 0
+        depths = opened.depths
         templates = 0
         at = 0
         while True:
             tag = _TAG.search(html, at)
-            if open_texts and not templates:
+            if self._open_texts and not templates:
                 run = unescape(html[at : tag.start() if tag else len(html)])
                 if run:
-                    for text in open_texts:
-                        text.add(run, bool(opened.get("pre")))
+                    log.append(_AsWritten(run) if depths.get("pre") else run)
             if tag is None:
                 break
             at = tag.end()
@@ -248,12 +314,12 @@ class PostFinder:
             name = (ended or started or "").lower()
 
             if name == "br":
-                for text in () if templates else open_texts:
-                    text.end_line()
+                if self._open_texts and not templates:
+                    log.append(_END_LINE)
             elif ended:
                 if name == "template" and templates:
                     templates -= 1
-                if opened.get(name) and name not in ("body", "html"):
+                if depths.get(name) and name not in ("body", "html"):
                     self._close(name, not templates)
             elif name in _RAW_TEXT:
                 end = _RAW_TEXT_END[name].search(html, at)
@@ -262,18 +328,18 @@ class PostFinder:
                 if name == "template":
                     templates += 1
                 if name in _BLOCK:
-                    if opened.get("p") and name in _CLOSES_PARAGRAPH:
+                    if depths.get("p") and name in _CLOSES_PARAGRAPH:
                         self._close("p", not templates)
-                    for text in () if templates else open_texts:
-                        text.start_line()
-                if name in _VOID and not self._may_match(name, source):
+                    if not templates:
+                        self._start_line()
+                matches = self._may_match(name, source)
+                if name in _VOID and not matches:
                     continue
-                stack.append(name)
-                opened[name] = opened.get(name, 0) + 1
-                if not templates and self._may_match(name, source):
+                opened.push(name)
+                if matches and not templates:
                     self._enter(*self._role(name, source))
                 if name in _VOID:
-                    self._close_to(len(stack) - 1)
+                    self._close_to(len(opened.names) - 1)
         return [post.row() for post in self._posts]
 
     def _may_match(self, name, source):
@@ -304,50 +370,56 @@ class PostFinder:
 
     def _enter(self, is_content, is_title, rank, urn):
         texts = []
-        for part, wanted in (("content", is_content), ("title", is_title)):
-            waiting = wanted and [p for p in self._open_posts if getattr(p, part) is None]
-            if waiting:
-                texts.append(_Text())
+        for part, waiting, wanted in zip(("content", "title"), self._waiting, (is_content, is_title)):
+            if wanted and waiting:
+                texts.append(_Text(self._log))
                 for post in waiting:
                     setattr(post, part, texts[-1])
-        self._open_texts.extend(texts)
+                waiting.clear()
+        self._open_texts += len(texts)
 
         post = None
         if rank is not None and rank <= self._best:
             if rank < self._best:
                 self._best = rank
                 self._posts.clear()
-                self._open_posts.clear()
+                for waiting in self._waiting:
+                    waiting.clear()
                 self._marked = [(depth, None, texts) for depth, _, texts in self._marked]
             post = _Post(urn)
             self._posts.append(post)
-            self._open_posts.append(post)
+            for waiting in self._waiting:
+                waiting.append(post)
         if post is not None or texts:
-            self._marked.append((len(self._stack) - 1, post, texts))
+            self._marked.append((len(self._open.names) - 1, post, texts))
+
+    def _start_line(self):
+        log = self._log
+        if self._open_texts and not (log and (log[-1] is _START_LINE or log[-1] is _END_LINE)):
+            log.append(_START_LINE)
 
     def _close(self, name, shown):
         """End the innermost open element of that name, if it can be ended here."""
-        stack = self._stack
-        depth = len(stack) - 1
-        if depth < 0 or stack[depth] != name:
-            depth = _matching_depth(stack, name)
-            if depth is None:
-                return
+        depth = self._open.closes(name)
+        if depth is None:
+            return
         self._close_to(depth)
         if shown and name in _BLOCK:
-            for text in self._open_texts:
-                text.start_line()
+            self._start_line()
 
     def _close_to(self, depth):
-        stack = self._stack
-        while len(stack) > depth:
-            self._open[stack.pop()] -= 1
+        opened = self._open
+        while len(opened.names) > depth:
+            opened.pop()
         while self._marked and self._marked[-1][0] >= depth:
             _, post, texts = self._marked.pop()
-            if post is not None:
-                self._open_posts.remove(post)
+            # The innermost post closes first, so it is the last one that waits.
+            for waiting in self._waiting:
+                if waiting and waiting[-1] is post:
+                    waiting.pop()
             for text in texts:
-                self._open_texts.remove(text)
+                text.end = len(self._log)
+            self._open_texts -= len(texts)
 
 
 def _selector_words(selectors):
@@ -363,18 +435,8 @@ def _spelled_pattern(words):
     return re.compile("&(?:" + "|".join(["#", *sorted(names)]) + ")")
 
 
-def _matching_depth(stack, name):
-    """Stack depth an end tag closes to, or None where it closes nothing."""
+def _edge_kind(name):
+    """Which edges an end tag of that name does not reach across."""
     if name in _TABLE_PARTS:
-        edges = ("html", "table")
-    elif name in _BLOCK:
-        edges = _SCOPE_EDGE
-    else:
-        edges = _BLOCK
-    for depth in range(len(stack) - 1, -1, -1):
-        open_name = stack[depth]
-        if open_name == name:
-            return depth
-        if open_name in edges:
-            return None
-    return None
+        return 0
+    return 1 if name in _BLOCK else 2

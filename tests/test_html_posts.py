@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from html import escape
 
 import pytest
@@ -182,6 +183,36 @@ def test_hostile_pages_take_linear_time(piece):
     assert find(post("u:1") + piece * 50_000) == [("text", "Jane", "u:1")]
 
 
+CONTAINER = '<div class="feed-shared-update-v2" data-urn="u">'
+CONTENT = '<span class="break-words">'
+TITLE = '<span class="update-components-actor__title">'
+
+
+@pytest.mark.parametrize(
+    "html, posts",
+    [
+        (CONTAINER * 50_000 + f"{CONTENT}x</span>" * 50_000, 50_000),
+        (CONTAINER * 50_000 + f"{TITLE}</span>" * 50_000, 50_000),
+        (f"<i><div>{CONTAINER}" + "<b>" * 50_000 + "</i>" * 50_000, 1),
+        (f"{CONTAINER}{CONTENT}" * 50_000 + "<div>" * 50_000, 50_000),
+        (f"{CONTAINER}<p>" + "<table>" * 50_000 + "<p>" * 50_000 + "</p>" * 50_000, 1),
+    ],
+)
+def test_open_elements_are_not_walked(html, posts):
+    start = time.perf_counter()
+    assert len(find(html)) == posts
+    assert time.perf_counter() - start < 4
+
+
+def test_text_of_nested_parts():
+    inner = f"{CONTAINER}{CONTENT} in <br> ner</span></div>"
+    assert find(f"{CONTAINER}{CONTENT}a <p> b{inner}</p>c  d</span>{TITLE}T</span></div>") == [
+        ("a\nb\nin\nner\nc d", "T", "u"),
+        ("in\nner", None, "u"),
+    ]
+    assert find(f"{CONTAINER}{CONTENT}x <pre> y\n z </pre> w</span></div>") == [("x\n y\n z \nw", None, "u")]
+
+
 def test_names_are_ascii():
     assert find("<\u017fcript></script>" + post()) == [("text", "Jane", "urn:li:activity:1")]
     assert find("<script></\u017fcript>" + post() + "</script>") == []
