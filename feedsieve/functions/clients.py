@@ -2,7 +2,8 @@
 
 A client factory is a picklable callable without arguments.  It is called once
 per task and returns the client: ``(list of messages, json schema) -> list of
-reply texts``.
+reply texts``.  An exception in the place of a reply counts for its request
+alone.  A client may be called from several threads at a time.
 """
 
 import json
@@ -27,6 +28,28 @@ def _user_text(messages):
     return messages[-1]["content"]
 
 
+def _or_exception(ask, messages, schema):
+    try:
+        return ask(messages, schema)
+    except Exception as problem:
+        return problem
+
+
+@dataclass(frozen=True)
+class ByPromptClient:
+    """Answers each prompt with a client of its own: pairs ``(prompt, client factory)``."""
+
+    factories: tuple
+
+    def __call__(self):
+        clients = {prompt: factory() for prompt, factory in self.factories}
+
+        def answer(requests, schema):
+            return [clients[messages[0]["content"]]([messages], schema)[0] for messages in requests]
+
+        return answer
+
+
 @dataclass(frozen=True)
 class TermsClient:
     """Answers 1 where one of the terms occurs, case ignored; needs no model."""
@@ -80,7 +103,7 @@ class ChatClient:
     """Asks a chat endpoint that takes a JSON schema as ``format``.
 
     One request per row, as the endpoint offers no batches; the number of tasks
-    decides how many run at a time.
+    and of calls in flight decide how many run at a time.
     """
 
     endpoint: str
@@ -98,4 +121,9 @@ class ChatClient:
             with urllib.request.urlopen(request, timeout=self.timeout_seconds) as response:
                 return json.load(response)["message"]["content"]
 
-        return lambda requests, schema: [ask(messages, schema) for messages in requests]
+        def ask_each(requests, schema):
+            if len(requests) == 1:
+                return [ask(requests[0], schema)]
+            return [_or_exception(ask, messages, schema) for messages in requests]
+
+        return ask_each

@@ -1,5 +1,6 @@
 """Requests to a language model and the strict reading of its replies."""
 
+import hashlib
 import json
 import math
 import re
@@ -21,6 +22,7 @@ MISSING_FIELD = "missing_field"
 NOT_AN_INTEGER = "not_an_integer"
 OUT_OF_RANGE = "out_of_range"
 CLIENT_ERROR = "client_error"
+NO_ANSWER = "no_answer"
 
 # A lax field skips leading zeros and takes what follows, even with a sign, as the number.
 _INTEGER_TEXT = re.compile(r"[+-]?[0-9]+(?:_[0-9]+)*(?:\.0+)?|\+?0+-_?[0-9]+(?:_[0-9]+)*")
@@ -50,6 +52,11 @@ class LabelSpec:
             "type": "object",
         }
 
+    def key(self):
+        """Digest of what is asked for: prompt and schema, not the name of the column."""
+        asked = json.dumps([self.prompt, self.json_schema()], sort_keys=True)
+        return hashlib.sha256(asked.encode("utf-8", "surrogatepass")).hexdigest()
+
 
 HIRING_POST = LabelSpec("hiring_post", HIRING_PROMPT, "HiringPost")
 

@@ -5,7 +5,8 @@ from dataclasses import dataclass
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from ..operators.classify import classify_jobs, split_quarantine
+from ..functions.replies import HIRING_POST
+from ..operators.classify import classify_labels, split_quarantine
 from ..operators.extract import extract_post_details, find_posts
 from ..operators.html_posts import SelectorSpec
 from ..operators.posts import (
@@ -15,7 +16,9 @@ from ..operators.posts import (
     limit_posts,
     search_posts,
 )
+from ..schema import labelled_post
 from ..session import drop_shared, write_shared
+from ..sources.answers import AnswerTable
 
 
 @dataclass(frozen=True)
@@ -23,7 +26,11 @@ class RunOptions:
     """What a run reads from the pages and how it labels the posts.
 
     The limits and filters are off by default: a plain run labels every post it
-    finds.
+    finds.  ``labels`` are pairs of a column and what is asked about it; all are asked
+    for in one pass.  ``answers_path`` names a table of answers that outlives the run:
+    a text is asked for once, also when a failed run is started again.
+    ``exact_counts`` writes the extracted posts once, so that each stage is counted where
+    Spark counts a task once, however often it runs.
     """
 
     selectors: SelectorSpec = SelectorSpec()
@@ -34,13 +41,21 @@ class RunOptions:
     on_error: str = "fail"
     partitions: int | None = None
     reuse_answers: bool = False
+    labels: tuple = (("content", HIRING_POST),)
+    in_flight: int = 1
+    answers_path: str | None = None
+    exact_counts: bool = False
+
+    def schema(self):
+        """Columns of the posts that a run with these labels stores."""
+        return labelled_post(*(spec.name for _, spec in self.labels))
 
 
 class StageCounts:
     """Rows that passed each stage, counted while the run itself executes.
 
-    The counts are for the log.  A stage that is run again after an executor is
-    lost counts its rows again; count the written table for an exact number.
+    Rows in front of a shuffle are counted again where their stage is run again after an
+    executor is lost, unless the run is asked for ``exact_counts``.
     """
 
     def __init__(self):
@@ -62,15 +77,19 @@ def _unwatched(stage, df):
     return df
 
 
-def plan_posts(pages, options=RunOptions(), watch=_unwatched):
+def plan_posts(pages, options=RunOptions(), watch=_unwatched, scratch=None):
     """Posts of the pages, first per url, with the filters the options ask for.
 
-    Everything that drops rows comes before the model is asked.
+    Everything that drops rows comes before the model is asked.  Tables written on the
+    way are added to the list ``scratch``; without one none is written.
     """
     if options.max_pages is not None:
         pages = limit_pages(pages, options.max_pages)
     raw_posts = watch("found", find_posts(pages, options.selectors))
     posts = watch("extracted", extract_post_details(raw_posts))
+    if options.exact_counts and scratch is not None:
+        posts = write_shared(posts, "extracted")
+        scratch.append(posts)
     if options.search_text:
         posts = search_posts(posts, options.search_text)
     posts = first_per_url(posts)
@@ -97,25 +116,30 @@ def run_once(
     """
     if options.on_error == "quarantine" and quarantine_sink is None:
         raise ValueError("a quarantining run needs a quarantine_sink")
-    counts = StageCounts()
-    posts = plan_posts(pages, options, counts.watch).drop("page_id", "pos")
-    labelled = classify_jobs(
-        posts,
-        client_factory,
-        on_error=options.on_error,
-        partitions=options.partitions,
-        reuse_answers=options.reuse_answers,
-    )
-    labelled = counts.watch("classified", labelled)
-    if options.on_error == "fail":
-        sink.write(counts.watch("appended", labelled), batch_id, run_id)
-    else:
-        answered = write_shared(labelled, "labelled")
-        try:
+    counts, scratch = StageCounts(), []
+    try:
+        posts = plan_posts(pages, options, counts.watch, scratch).drop("page_id", "pos")
+        labelled = classify_labels(
+            posts,
+            options.labels,
+            client_factory,
+            on_error=options.on_error,
+            partitions=options.partitions,
+            in_flight=options.in_flight,
+            reuse_answers=options.reuse_answers,
+            answers=AnswerTable(options.answers_path) if options.answers_path else None,
+            scratch=scratch,
+        )
+        labelled = counts.watch("classified", labelled)
+        if options.on_error == "fail":
+            sink.write(counts.watch("appended", labelled), batch_id, run_id)
+        else:
+            answered = write_shared(labelled, "labelled")
+            scratch.append(answered)
             good, failed = split_quarantine(answered)
             sink.write(counts.watch("appended", good), batch_id, run_id)
             quarantine_sink.write(failed, batch_id, run_id)
-        finally:
-            drop_shared(answered)
-    return counts.get()
-
+        return counts.get()
+    finally:
+        for table in scratch:
+            drop_shared(table)

@@ -37,4 +37,10 @@ PLACED_POST = T.StructType(
     ]
 )
 
-LABELLED_POST = T.StructType([*POST.fields, T.StructField("hiring_post", T.LongType())])
+
+def labelled_post(*labels):
+    """Schema of posts with a column per label."""
+    return T.StructType([*POST.fields, *(T.StructField(name, T.LongType()) for name in labels)])
+
+
+LABELLED_POST = labelled_post("hiring_post")

@@ -63,6 +63,19 @@ def write_shared(df, name):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark, path):
+    """The cluster's file system of a path, and the path as it takes it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(conf), hadoop_path
+
+
+def path_exists(spark, path):
+    """Whether the cluster's file system has the path."""
+    files, hadoop_path = file_system(spark, path)
+    return files.exists(hadoop_path)
+
+
 def drop_shared(df):
     """Remove the table that ``write_shared`` returned, once nothing reads it any more."""
     jvm = df.sparkSession.sparkContext._jvm

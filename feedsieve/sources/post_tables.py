@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..functions.fixed_values import CORE_COLUMNS
 from ..operators.posts import union_posts
 from ..schema import LABELLED_POST
+from ..session import path_exists
 
 # Keeps quotes, commas, line breaks of all kinds, backslashes and outer blanks.
 # Empty text and null are one and the same in CSV; Parquet keeps them apart.
@@ -57,13 +58,6 @@ def read_posts_csv(spark, path, schema=LABELLED_POST):
     return rows.select(*map(typed, schema))
 
 
-def path_exists(spark, path):
-    """Whether the cluster's file system has the path."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(conf).exists(hadoop_path)
-
-
 def csv_columns(spark, path):
     """Header of a CSV folder, None where there is no table yet."""
     if not path_exists(spark, path):

@@ -3,6 +3,8 @@
 import json
 import os
 import sys
+import threading
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -13,7 +15,18 @@ from pyspark.errors import PythonException
 from feedsieve.functions import clients, replies
 from feedsieve.functions.clients import ChatClient, RuleClient, TermsClient
 from feedsieve.functions.replies import LabelSpec
-from feedsieve.operators.classify import classify, classify_jobs, infer, split_quarantine
+from feedsieve.operators import classify as classify_module
+from feedsieve.operators.classify import (
+    LabelError,
+    classify,
+    classify_jobs,
+    classify_labels,
+    infer,
+    infer_labels,
+    split_quarantine,
+)
+from feedsieve.session import drop_shared
+from feedsieve.sources.answers import AnswerTable
 
 # The client below is sent to the tasks.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -171,3 +184,146 @@ def test_chat_client_request(monkeypatch):
         "format": SPEC.json_schema(),
         "stream": False,
     }
+
+
+OTHER = LabelSpec("other", "Answer with the number in the name.")
+
+
+def test_several_labels_in_one_map(spark):
+    rows = [(0, "1", "7"), (1, "x", "8"), (2, "2", ""), (3, "boom", None)]
+    df = spark.createDataFrame(rows, "n int, t string, name string")
+    out = infer_labels(df, [("t", SPEC), ("name", OTHER)], ScriptedClient(), "quarantine")
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert labels_of(out) == {
+        0: (1, 7, None),
+        1: (None, 8, f"label: {replies.BAD_JSON}"),
+        2: (2, None, f"other: {replies.EMPTY_INPUT}"),
+        3: (None, None, f"label: {replies.CLIENT_ERROR}: no answer; other: {replies.EMPTY_INPUT}"),
+    }
+    reused = classify_labels(df, [("t", SPEC), ("name", OTHER)], ScriptedClient(), "quarantine", reuse_answers=True)
+    assert labels_of(reused) == labels_of(out)
+    for bad in ([], [("t", SPEC), ("name", SPEC)]):
+        with pytest.raises(ValueError):
+            infer_labels(df, bad, ScriptedClient())
+
+
+def labels_of(df):
+    return {r.n: tuple(r[3:]) for r in df.collect()}
+
+
+def test_a_failure_counts_for_its_request_alone(spark, tmp_path):
+    texts = [str(n) for n in range(31)] + ["boom"]
+    df = infer(table(spark, texts, 1), "t", SPEC, ScriptedClient(str(tmp_path)), "quarantine")
+    assert sum(error is not None for _, error in labels(df).values()) == 1
+    assert sorted(sum(calls(tmp_path), [])) == sorted(texts)
+
+
+def test_a_restarted_run_asks_for_the_rest(spark, tmp_path):
+    log, store = tmp_path / "log", str(tmp_path / "answers")
+    log.mkdir()
+    texts = [str(n) for n in range(31)] * 3 + ["boom"]
+    client = ScriptedClient(str(log))
+
+    def run(texts):
+        scratch = []
+        found = classify(table(spark, texts), "t", SPEC, client, answers=AnswerTable(store), scratch=scratch)
+        out = labels(found)
+        for shared in scratch:
+            drop_shared(shared)
+        return out
+
+    with pytest.raises(LabelError):
+        run(texts)
+    with pytest.raises(LabelError):
+        run(texts)
+    asked = sum(calls(log), [])
+    assert all(asked.count(str(n)) == 1 for n in range(31)) and asked.count("boom") == 2
+    assert run(texts[:-1]) == {n: (int(t),) for n, t in enumerate(texts[:-1])}
+    assert len(sum(calls(log), [])) == len(asked)
+    # Another prompt is another question.
+    classify(table(spark, ["3"]), "t", OTHER, client, answers=AnswerTable(store)).collect()
+    assert sum(calls(log), []).count("3") == 2
+
+
+def test_failed_requests_are_told_and_asked_again(spark, tmp_path):
+    store = str(tmp_path / "answers")
+    for _ in range(2):
+        df = classify(
+            table(spark, ["1", "boom", "", None, "x"]), "t", SPEC, ScriptedClient(), "quarantine",
+            answers=AnswerTable(store),
+        )
+        assert labels(df) == {
+            0: (1, None),
+            1: (None, f"{replies.CLIENT_ERROR}: no answer"),
+            2: (None, replies.EMPTY_INPUT),
+            3: (None, replies.EMPTY_INPUT),
+            4: (None, replies.BAD_JSON),
+        }
+
+
+def test_input_is_computed_once_when_answers_are_reused(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = table(spark, ["1", "2", "1"]).mapInArrow(count, "n int, t string")
+    assert len(labels(classify(df, "t", SPEC, ScriptedClient(), reuse_answers=True))) == 3
+    assert seen.value == 3
+
+
+@dataclass(frozen=True)
+class SlowClient:
+    seconds: float = 0.1
+
+    def __call__(self):
+        lock, running = threading.Lock(), [0, 0]
+
+        def answer(requests, schema):
+            with lock:
+                running[0] += 1
+                running[1] = max(running)
+            time.sleep(self.seconds)
+            with lock:
+                running[0] -= 1
+            return [json.dumps({"classification": running[1]}) for _ in requests]
+
+        return answer
+
+
+def test_calls_in_flight_are_bounded_and_in_order():
+    specs, texts = [SPEC], [str(n) for n in range(32)]
+    start = time.perf_counter()
+    with classify_module._Asker(SlowClient()(), specs, 1, 8, True) as asker:
+        most = [label for label, _ in asker.answers([(SPEC, t) for t in texts])]
+    assert time.perf_counter() - start < 0.7
+    assert max(most) == 8
+    with classify_module._Asker(ScriptedClient()(), specs, 3, 4, True) as asker:
+        answers = list(asker.answers([(SPEC, t) for t in ["5", "", "boom", "6", "x"] * 9]))
+    assert answers[:5] == [
+        (5, None), (None, replies.EMPTY_INPUT), (None, f"{replies.CLIENT_ERROR}: no answer"),
+        (6, None), (None, replies.BAD_JSON),
+    ] and answers == answers[:5] * 9
+
+
+def test_calls_in_flight_give_the_same_rows(spark):
+    texts = [str(n % 5) for n in range(200)]
+    one = infer(table(spark, texts), "t", SPEC, ScriptedClient())
+    many = infer(table(spark, texts), "t", SPEC, ScriptedClient(), in_flight=6, batch_size=4)
+    assert labels(one) == labels(many)
+    with pytest.raises(PythonException):
+        infer(table(spark, [*texts, "boom"]), "t", SPEC, ScriptedClient(), in_flight=6).collect()
+
+
+def test_by_prompt_client():
+    answer = clients.ByPromptClient(((SPEC.prompt, TermsClient(("a",))), (OTHER.prompt, TermsClient(("b",)))))()
+    requests = [replies.request_messages(spec.prompt, "a") for spec in (SPEC, OTHER)]
+    assert answer(requests, {}) == ['{"classification": 1}', '{"classification": 0}']
+
+
+def test_label_schema_of_a_request():
+    schema = SPEC.json_schema()
+    assert schema["required"] == [replies.FIELD] and schema["properties"][replies.FIELD]["type"] == "integer"
+    assert SPEC.key() == LabelSpec("renamed", SPEC.prompt).key() != OTHER.key()

@@ -16,9 +16,9 @@ from feedsieve.operators.classify import ERROR
 from feedsieve.plans import fixtures
 from feedsieve.plans.run import RunOptions, plan_posts, run_once
 from feedsieve.schema import LABELLED_POST, PAGE
-from feedsieve.session import shared_dir
+from feedsieve.session import path_exists, shared_dir
 from feedsieve.sources.pages import read_pages
-from feedsieve.sources.post_tables import PostSink, batch_path, path_exists
+from feedsieve.sources.post_tables import PostSink, batch_path
 from feedsieve.streaming.repeated_run import query_id, run_stream, run_until_stopped
 
 
