@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.fixed_values import CORE_COLUMNS
 from ..operators.posts import union_posts
-from ..schema import LABELLED_POST
+from ..schema import LABELLED_POST, POST
 from ..session import path_exists
 
 # Keeps quotes, commas, line breaks of all kinds, backslashes and outer blanks.
@@ -28,22 +28,25 @@ MAX_RECORDS_PER_FILE = 10_000
 
 # Folders of a sink: one per run or query, and one per batch in it.
 RUN_COLUMN, BATCH_COLUMN = "run", "batch_id"
+BATCH_FIELDS = (T.StructField(RUN_COLUMN, T.StringType()), T.StructField(BATCH_COLUMN, T.LongType()))
 # Numbered batches that do not say whose they are.
 UNNAMED_RUN = "unnamed"
 # Files count at whatever depth they are, and folder names are no columns.
 ALL_FILES = {"recursiveFileLookup": True}
 
 
-def read_posts_csv(spark, path, schema=LABELLED_POST):
+def read_posts_csv(spark, path, schema=LABELLED_POST, folders=()):
     """Posts of a CSV folder; a value that does not fit its column is an error.
 
     Numbers are read as text first: a tool that met a missing label may have
-    written the others as ``1.0``.
+    written the others as ``1.0``.  ``folders`` are columns that the names of the folders
+    hold, last in the schema.
     """
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     rows = (
         spark.read.schema(as_text)
-        .options(**CSV_OPTIONS, **ALL_FILES)
+        .options(**CSV_OPTIONS)
+        .options(**({} if folders else ALL_FILES))
         .option("mode", "FAILFAST")
         .option("enforceSchema", False)
         .csv(path)
@@ -153,10 +156,23 @@ class PostSink:
             posts = posts.select(*header)
         write_posts_csv(posts, path, mode, self.max_records)
 
-    def read(self, spark, schema=LABELLED_POST):
+    def read(self, spark, schema=LABELLED_POST, batches=False):
+        """The posts; with ``batches`` also the run and the number of the batch they came in."""
+        folders = BATCH_FIELDS if batches else ()
+        schema = T.StructType([*schema.fields, *folders])
         if self.format == "csv":
-            return read_posts_csv(spark, self.path, schema)
-        return spark.read.schema(schema).options(**ALL_FILES).parquet(self.path)
+            return read_posts_csv(spark, self.path, schema, folders)
+        reader = spark.read.schema(schema).options(**({} if batches else ALL_FILES))
+        return reader.parquet(self.path)
+
+    def batch_total(self, spark, run_id, batch_id):
+        """Rows that one batch has stored, counted in its files."""
+        path = batch_path(self.path, run_id, batch_id)
+        if not path_exists(spark, path):
+            return 0
+        if self.format == "csv":
+            return spark.read.schema(POST).options(**CSV_OPTIONS).csv(path).count()
+        return spark.read.schema(POST).parquet(path).count()
 
     def total(self, spark):
         """Rows stored so far; a look at the footers for Parquet."""

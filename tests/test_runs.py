@@ -3,6 +3,7 @@
 import glob
 import os
 import sys
+import time
 from dataclasses import dataclass
 
 import pytest
@@ -10,8 +11,9 @@ from pyspark import cloudpickle
 from pyspark.errors import StreamingQueryException
 from pyspark.sql.types import StringType, StructField, StructType
 
-from feedsieve.functions.clients import RuleClient
+from feedsieve.functions.clients import ByPromptClient, RuleClient, TermsClient
 from feedsieve.functions.fixed_values import POST_BASE_URL
+from feedsieve.functions.replies import HIRING_POST, LabelSpec
 from feedsieve.operators.classify import ERROR
 from feedsieve.plans import fixtures
 from feedsieve.plans.run import RunOptions, plan_posts, run_once
@@ -19,7 +21,11 @@ from feedsieve.schema import LABELLED_POST, PAGE
 from feedsieve.session import path_exists, shared_dir
 from feedsieve.sources.pages import read_pages
 from feedsieve.sources.post_tables import PostSink, batch_path
-from feedsieve.streaming.repeated_run import query_id, run_stream, run_until_stopped
+from feedsieve.sources.answers import AnswerTable
+from feedsieve.streaming import repeated_run
+from feedsieve.streaming.dead_letters import pending_dead_letters, replay_dead_letters
+from feedsieve.streaming.progress import ProgressTable
+from feedsieve.streaming.repeated_run import query_id, run_stream, run_until_stopped, stop_after_batch
 
 
 # The client below is sent to the tasks.
@@ -208,7 +214,140 @@ def test_stop(spark, arriving, tmp_path):
     assert sink.read(spark).count() == 6
 
 
+ALL = [("u:1", 1), ("u:2", 0), ("u:2", 0), ("u:3", 0), ("u:4", 1), ("u:5", 0)]
+
+
+@dataclass(frozen=True)
+class SlowRule:
+    seconds: float = 2.0
+
+    def __call__(self):
+        answer = RuleClient()()
+
+        def slow(requests, schema):
+            time.sleep(self.seconds)
+            return answer(requests, schema)
+
+        return slow
+
+
+def test_stop_after_the_running_batch(spark, arriving, tmp_path):
+    """What runs is finished and committed, nothing starts behind it, nothing is lost."""
+    checkpoint, sink = str(tmp_path / "state"), PostSink(str(tmp_path / "out"))
+    query = run_stream(spark, arriving, SlowRule(), sink, checkpoint, interval="1 second", max_files=1)
+    while repeated_run._gates[str(query.runId)]._started < 0:
+        time.sleep(0.05)
+    assert stop_after_batch(query)
+    assert not query.isActive and not repeated_run._gates
+    done = {int(n) for n in os.listdir(f"{checkpoint}/commits") if n.isdigit()}
+    stored = {r.batch_id for r in sink.read(spark, batches=True).collect()}
+    assert done == stored and len(done) < 3
+    before = {r.url for r in sink.read(spark).collect()}
+    query = run_stream(spark, arriving, RuleClient(), sink, checkpoint, max_files=1)
+    assert run_until_stopped(query) is True
+    assert labels(sink.read(spark)) == ALL and before <= {r.url for r in sink.read(spark).collect()}
+
+
+def test_batch_given_up_is_replayed(spark, arriving, tmp_path):
+    checkpoint, sink = str(tmp_path / "state"), PostSink(str(tmp_path / "out"))
+    query = run_stream(spark, arriving, SlowRule(30), sink, checkpoint, max_files=1)
+    while repeated_run._gates[str(query.runId)]._started < 0:
+        time.sleep(0.05)
+    assert run_until_stopped(query, timeout=1, grace=0.1) is False
+    assert run_until_stopped(run_stream(spark, arriving, RuleClient(), sink, checkpoint, max_files=1))
+    assert labels(sink.read(spark)) == ALL
+
+
+@pytest.mark.parametrize("format", ["csv", "parquet"])
+def test_dead_letters_are_replayed_once(spark, arriving, tmp_path, format):
+    dead, marker = str(tmp_path / "dead"), tmp_path / "model_is_down"
+    marker.touch()
+    client, progress = MoodyClient(str(marker)), ProgressTable(str(tmp_path / "progress"))
+    sink = PostSink(str(tmp_path / "out"), format)
+    options = dict(on_batch_error="dead_letter", dead_letter_path=dead, progress=progress)
+    run_stream(spark, arriving, client, sink, str(tmp_path / "state"), max_files=1, **options).awaitTermination()
+
+    def rows():
+        found = progress.read(spark).select("batch_id", "outcome", "found", "scraped", "stored")
+        return sorted(map(tuple, found.collect()))
+
+    assert [d.batch_id for d in pending_dead_letters(spark, dead)] == [1]
+    assert rows() == [(0, "stored", 3, 2, 2), (1, "dead_letter", None, None, 0), (2, "stored", 2, 2, 2)]
+    assert replay_dead_letters(spark, dead, client, sink) == []
+    assert len(pending_dead_letters(spark, dead)) == 1
+    marker.rename(tmp_path / "model_is_up")
+    for _ in range(2):
+        replay_dead_letters(spark, dead, client, sink, progress=progress)
+        assert labels(sink.read(spark)) == ALL
+        assert pending_dead_letters(spark, dead) == []
+    assert rows()[1] == (1, "replayed", 2, 2, 2)
+    numbers = sink.read(spark, batches=True).select("url", "batch_id").collect()
+    assert sorted(r.batch_id for r in numbers) == [0, 0, 1, 1, 2, 2]
+
+
+def test_the_next_batch_replays(spark, arriving, tmp_path):
+    """As a failed iteration's posts come back with the next refresh."""
+    sink, dead = PostSink(str(tmp_path / "out")), str(tmp_path / "dead")
+
+    def fail_once(*args, **options):
+        if args[5] == 1 and not seen:
+            seen.append(args[5])
+            raise OSError("down")
+        return once(*args, **options)
+
+    seen, once = [], repeated_run.run_once
+    repeated_run.run_once = fail_once
+    try:
+        run_stream(
+            spark, arriving, RuleClient(), sink, str(tmp_path / "state"), max_files=1,
+            on_batch_error="dead_letter", dead_letter_path=dead, replay=True,
+        ).awaitTermination()
+    finally:
+        repeated_run.run_once = once
+    assert seen == [1] and labels(sink.read(spark)) == ALL
+    assert pending_dead_letters(spark, dead) == []
+
+
+def test_batches_are_bounded_by_bytes(spark, tmp_path):
+    path = str(tmp_path / "backlog")
+    for n in range(10):
+        spark.createDataFrame([page(n, (f"u:{n}", "text"))], PAGE).coalesce(1).write.mode("append").parquet(path)
+    largest = max(os.path.getsize(f) for f in glob.glob(f"{path}/*.parquet"))
+    sink = PostSink(str(tmp_path / "out"))
+    state = str(tmp_path / "state")
+    run_stream(spark, path, RuleClient(), sink, state, max_bytes=3 * largest).awaitTermination()
+    rows = sink.read(spark, batches=True).collect()
+    assert len({r.url for r in rows}) == len(rows) == 10
+    assert len({r.batch_id for r in rows}) > 1
+    with pytest.raises(ValueError):
+        run_stream(spark, path, RuleClient(), sink, state, max_files=1, max_bytes=1)
+
+
+def test_run_with_two_labels_and_kept_answers(spark, tmp_path):
+    other = LabelSpec("names_jane", "Answer 1 if the text names Jane.")
+    client = ByPromptClient(((HIRING_POST.prompt, RuleClient()), (other.prompt, TermsClient(("jane",)))))
+    options = RunOptions(
+        labels=(("content", HIRING_POST), ("profile_name", other)), in_flight=3, exact_counts=True,
+        answers_path=str(tmp_path / "answers"),
+    )
+    sink, pages = PostSink(str(tmp_path / "out")), spark.createDataFrame(PAGES, PAGE)
+    for runs in (1, 2):
+        counts = run_once(pages, client, sink, options)
+        assert counts == {"found": 7, "extracted": 7, "scraped": 5, "classified": 5, "appended": 5}
+        rows = sink.read(spark, options.schema()).collect()
+        assert len(rows) == 5 * runs and all(r.names_jane == 1 for r in rows)
+        assert sum(r.hiring_post for r in rows) == 2 * runs
+        # Five contents and one name.
+        assert AnswerTable(options.answers_path).known(spark).count() == 6
+    assert not glob.glob(f"{shared_dir(spark)}/feedsieve/*extracted-*")
+    assert not glob.glob(f"{shared_dir(spark)}/feedsieve/unlabelled-*")
+
+
 def test_stream_arguments(spark):
-    for options in ({"on_batch_error": "skip"}, {"on_batch_error": "dead_letter"}):
+    for options in (
+        {"on_batch_error": "skip"},
+        {"on_batch_error": "dead_letter"},
+        {"replay": True},
+    ):
         with pytest.raises(ValueError):
             run_stream(spark, "p", RuleClient(), PostSink("s"), "c", **options)
