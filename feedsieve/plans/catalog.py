@@ -6,15 +6,16 @@ A query takes ``(spark, sf_dir)`` and runs over the whole of its tables.
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.clients import RuleClient, TermsClient
+from ..functions.clients import ByPromptClient, RuleClient, TermsClient
 from ..functions.fixed_values import HIRING_PROMPT, POST_BASE_URL
-from ..functions.replies import LabelSpec, build_messages, parse_classification
+from ..functions.replies import HIRING_POST, LabelSpec, build_messages, parse_classification
 from ..operators import posts as ops
-from ..operators.classify import classify, classify_jobs
+from ..operators.classify import classify, classify_jobs, classify_labels
 from ..operators.extract import extract_post_details, find_posts
 from ..operators.html_posts import SelectorSpec
 from ..schema import LABELLED_POST, POST
 from ..session import new_table_path
+from ..sources.answers import AnswerTable
 from ..sources.pages import read_pages, stream_pages
 from ..sources.post_tables import (
     PostSink,
@@ -23,7 +24,9 @@ from ..sources.post_tables import (
     read_posts_csv,
     write_posts_csv,
 )
-from ..streaming.repeated_run import run_stream
+from ..streaming.dead_letters import replay_dead_letters
+from ..streaming.progress import ProgressTable
+from ..streaming.repeated_run import run_stream, stop_after_batch
 from . import fixtures
 from .run import RunOptions, run_once
 
@@ -591,3 +594,205 @@ def run_without_posts(spark, sf_dir):
     sink = PostSink(new_table_path(spark, "no_posts"))
     run_once(read_pages(spark, f"{sf_dir}/pages.parquet"), RuleClient(), sink)
     return sink.read(spark)
+
+
+# --- Several labels, answers that are kept -----------------------------------
+
+LABELS = (("content", HIRING_POST), ("profile_name", SOURCE_LABEL))
+LABELS_CLIENT = ByPromptClient(
+    ((HIRING_POST.prompt, RuleClient()), (SOURCE_LABEL.prompt, TermsClient(SOURCE_TERMS)))
+)
+
+
+def _two_labels_sql(posts):
+    return (
+        f"select content, url, profile_name, cast({_JOB_POST_SQL} as bigint) as hiring_post,"
+        f" cast({_SOURCE_SQL} as bigint) as source_label from ({posts}) l"
+    )
+
+
+@query(_two_labels_sql(_SCRAPED_SQL))
+def run_two_labels(spark, sf_dir):
+    """A run that asks for two labels in one pass over the posts."""
+    sink, options = PostSink(new_table_path(spark, "two_labels")), RunOptions(labels=LABELS, in_flight=4)
+    run_once(fixtures.pages(spark, sf_dir), LABELS_CLIENT, sink, options)
+    return sink.read(spark, options.schema())
+
+
+@query(_two_labels_sql(_POSTS_SQL) + " where doc_id % 2 = 0")
+def classify_kept_answers(spark, sf_dir):
+    """Labels of half the posts, from answers that were kept when all were asked for."""
+    answers = AnswerTable(new_table_path(spark, "answers"))
+    posts = _posts(spark, sf_dir).withColumn("doc_id", F.col("page_id") * fixtures.POSTS_PER_PAGE + F.col("pos"))
+    posts = posts.drop("page_id", "pos")
+    classify_labels(posts, LABELS, LABELS_CLIENT, answers=answers)
+    half = posts.where("doc_id % 2 = 0").drop("doc_id")
+    return classify_labels(half, LABELS, _Unasked(), answers=answers)
+
+
+class _Unasked:
+    """A client that must not be asked."""
+
+    def __call__(self):
+        def refuse(requests, schema):
+            raise RuntimeError("all answers should have been kept")
+
+        return refuse
+
+
+@query(
+    "select doc_id, 'Label' as title, 'object' as type, 'classification' as required, 'integer' as field_type"
+    " from documents"
+)
+def label_schema(spark, sf_dir):
+    """What a reply has to look like, per request."""
+    schema = LabelSpec("label", HIRING_PROMPT).json_schema()
+    (required,) = schema["required"]
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "doc_id",
+        F.lit(schema["title"]).alias("title"),
+        F.lit(schema["type"]).alias("type"),
+        F.lit(required).alias("required"),
+        F.lit(schema["properties"][required]["type"]).alias("field_type"),
+    )
+
+
+# --- Repeated runs that fail, stop and go on -----------------------------------
+
+STREAM_FILES = 3
+
+
+def _page_files(spark, sf_dir):
+    """The pages as one file per remainder of the page number, in that order."""
+    arriving = new_table_path(spark, "arriving_pages")
+    pages = fixtures.pages(spark, sf_dir)
+    for n in range(STREAM_FILES):
+        pages.where(F.col("page_id") % STREAM_FILES == n).coalesce(1).write.mode("append").parquet(arriving)
+    return arriving
+
+
+def _batches_sql(found, where="true"):
+    """First post per url within each batch."""
+    return f"""
+select * from (
+  select *, row_number() over (partition by page_id % {STREAM_FILES}, url order by page_id, pos) as n
+  from ({found}) p) q
+where n = 1 and {where}"""
+
+
+_BATCHES_SQL = _batches_sql(_parts_sql(fixtures.FOUND_SQL))
+
+
+class _FailsOn:
+    """The rule, but no answer to texts that hold a text."""
+
+    def __init__(self, word):
+        self.word = word
+
+    def __call__(self):
+        answer = RuleClient()()
+
+        def ask(requests, schema):
+            if any(self.word in request[-1]["content"] for request in requests):
+                raise OSError("no answer")
+            return answer(requests, schema)
+
+        return ask
+
+
+def _failing_stream(spark, sf_dir, replay):
+    """A stream whose second batch fails, and the replay of what it leaves."""
+    arriving, dead = _page_files(spark, sf_dir), new_table_path(spark, "dead_letters")
+    sink = PostSink(new_table_path(spark, "failing_stream"))
+    state = new_table_path(spark, "failing_stream_state")
+    # The first post of the second file is the one without an answer.
+    second = fixtures.pages(spark, sf_dir).where("page_id = 1")
+    first = extract_post_details(find_posts(second)).orderBy("pos").first()
+    client = _FailsOn(first.content)
+    run_stream(
+        spark, arriving, client, sink, state, max_files=1, on_batch_error="dead_letter", dead_letter_path=dead
+    ).awaitTermination()
+    if replay:
+        for _ in range(2):
+            replay_dead_letters(spark, dead, RuleClient(), sink)
+        return sink.read(spark)
+    return read_pages(spark, f"{dead}/*/*").select("page_id", "url")
+
+
+@query(
+    f"select distinct page_id, 'http://feed.example.com/' || page_id as url from {_RAW}"
+    f" where page_id % {STREAM_FILES} = 1"
+)
+def stream_dead_letters(spark, sf_dir):
+    """The pages that a failed batch leaves."""
+    return _failing_stream(spark, sf_dir, replay=False)
+
+
+@query(_labelled_sql(_BATCHES_SQL))
+def stream_replay(spark, sf_dir):
+    """A stream after its failed batch has been replayed, twice over: each post once."""
+    return _failing_stream(spark, sf_dir, replay=True)
+
+
+@query(_labelled_sql(_BATCHES_SQL))
+def stream_stopped(spark, sf_dir):
+    """A stream stopped after each batch and started again from its checkpoint."""
+    arriving, sink = _page_files(spark, sf_dir), PostSink(new_table_path(spark, "stopped_stream"))
+    state = new_table_path(spark, "stopped_stream_state")
+    for _ in range(STREAM_FILES):
+        query = run_stream(spark, arriving, RuleClient(), sink, state, max_files=1)
+        query.awaitTermination(1)
+        stop_after_batch(query)
+    run_stream(spark, arriving, RuleClient(), sink, state, max_files=1).awaitTermination()
+    return sink.read(spark)
+
+
+@query(
+    f"""select b as batch_id, 'stored' as outcome,
+  (select count(*) from ({fixtures.FOUND_SQL}) f where page_id % {STREAM_FILES} = b) as found,
+  (select count(*) from ({_parts_sql(fixtures.FOUND_SQL)}) p where page_id % {STREAM_FILES} = b) as extracted,
+  (select count(*) from ({_BATCHES_SQL}) s where page_id % {STREAM_FILES} = b) as scraped,
+  (select count(*) from ({_BATCHES_SQL}) s where page_id % {STREAM_FILES} = b) as stored
+from (select unnest(range({STREAM_FILES})) as b) r"""
+)
+def batch_progress(spark, sf_dir):
+    """Rows per stage and rows stored, by number of the batch."""
+    arriving, sink = _page_files(spark, sf_dir), PostSink(new_table_path(spark, "progress_stream"))
+    progress = ProgressTable(new_table_path(spark, "progress"))
+    run_stream(
+        spark, arriving, RuleClient(), sink, new_table_path(spark, "progress_state"), max_files=1,
+        options=RunOptions(exact_counts=True), progress=progress,
+    ).awaitTermination()
+    return progress.read(spark).select("batch_id", "outcome", "found", "extracted", "scraped", "stored")
+
+
+@query(f"select page_id % {STREAM_FILES} as batch_id, content, url, profile_name from ({_BATCHES_SQL}) b")
+def stream_batch_numbers(spark, sf_dir):
+    """The stored posts with the number of the batch they came in."""
+    arriving, sink = _page_files(spark, sf_dir), PostSink(new_table_path(spark, "numbered_stream"), "csv")
+    state = new_table_path(spark, "numbered_state")
+    run_stream(spark, arriving, RuleClient(), sink, state, max_files=1).awaitTermination()
+    return sink.read(spark, batches=True).select("batch_id", *POST.names)
+
+
+@query(_labelled_sql(_BATCHES_SQL))
+def stream_backlog(spark, sf_dir):
+    """A backlog taken in batches of bounded bytes: at least a file, here just one."""
+    arriving, sink = _page_files(spark, sf_dir), PostSink(new_table_path(spark, "backlog"))
+    state = new_table_path(spark, "backlog_state")
+    run_stream(spark, arriving, RuleClient(), sink, state, max_bytes=1).awaitTermination()
+    return sink.read(spark)
+
+
+@query(
+    f"select content, url, profile_name, null as hiring_post, null as source_label from ({_SCRAPED_SQL}) p"
+    f" union all select * from ({_two_labels_sql(_SCRAPED_SQL)}) q"
+)
+def append_new_column(spark, sf_dir):
+    """A run that adds labels to a CSV sink that has none."""
+    sink, options = PostSink(new_table_path(spark, "new_column"), "csv"), RunOptions(labels=LABELS)
+    pages = fixtures.pages(spark, sf_dir)
+    posts = ops.first_per_url(extract_post_details(find_posts(pages))).select(*POST.names)
+    sink.write(posts)
+    run_once(pages, LABELS_CLIENT, sink, options)
+    return sink.read(spark, options.schema())

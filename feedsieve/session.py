@@ -76,6 +76,15 @@ def path_exists(spark, path):
     return files.exists(hadoop_path)
 
 
+def child_folders(spark, path, column):
+    """Values of ``column`` in the names ``column=value`` of the folders in a folder."""
+    if not path_exists(spark, path):
+        return []
+    files, hadoop_path = file_system(spark, path)
+    names = [status.getPath().getName() for status in files.listStatus(hadoop_path)]
+    return sorted(name.partition("=")[2] for name in names if name.startswith(f"{column}="))
+
+
 def drop_shared(df):
     """Remove the table that ``write_shared`` returned, once nothing reads it any more."""
     jvm = df.sparkSession.sparkContext._jvm

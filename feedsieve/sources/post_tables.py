@@ -1,7 +1,10 @@
 """Tables of posts: CSV that survives any text, and Parquet."""
 
+import hashlib
+import json
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.fixed_values import CORE_COLUMNS
 from ..operators.posts import union_posts
 from ..schema import LABELLED_POST, POST
-from ..session import path_exists
+from ..session import child_folders, file_system, path_exists
 
 # Keeps quotes, commas, line breaks of all kinds, backslashes and outer blanks.
 # Empty text and null are one and the same in CSV; Parquet keeps them apart.
@@ -35,18 +38,18 @@ UNNAMED_RUN = "unnamed"
 ALL_FILES = {"recursiveFileLookup": True}
 
 
-def read_posts_csv(spark, path, schema=LABELLED_POST, folders=()):
+def read_posts_csv(spark, path, schema=LABELLED_POST, folders=(), base=None):
     """Posts of a CSV folder; a value that does not fit its column is an error.
 
     Numbers are read as text first: a tool that met a missing label may have
     written the others as ``1.0``.  ``folders`` are columns that the names of the folders
-    hold, last in the schema.
+    hold, last in the schema; the names count below the folder ``base``.
     """
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     rows = (
         spark.read.schema(as_text)
         .options(**CSV_OPTIONS)
-        .options(**({} if folders else ALL_FILES))
+        .options(**({"basePath": base} if folders else ALL_FILES))
         .option("mode", "FAILFAST")
         .option("enforceSchema", False)
         .csv(path)
@@ -63,17 +66,91 @@ def read_posts_csv(spark, path, schema=LABELLED_POST, folders=()):
 
 def csv_columns(spark, path):
     """Header of a CSV folder, None where there is no table yet."""
-    if not path_exists(spark, path):
-        return None
     try:
         found = spark.read.options(**CSV_OPTIONS, **ALL_FILES).csv(path).columns
     except AnalysisException as problem:
-        if problem.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+        if problem.getCondition() in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
             return None
         raise
     return found or None
 
 
+# Files of a CSV folder, and the folders of a sink, that have its first columns.
+OWN_FILES, OWN_RUNS = "*.csv*", "run=*"
+
+# Each set of columns of a CSV table has a folder of its own and a note of its header;
+# files with the columns the table began with lie beside these folders.
+SET_COLUMN, HEADER_NOTE = "columns", "_columns"
+
+
+def _noted_header(spark, folder):
+    files, note = file_system(spark, f"{folder}/{HEADER_NOTE}")
+    if not files.exists(note):
+        return None
+    source = files.open(note)
+    try:
+        scanner = spark.sparkContext._jvm.java.util.Scanner(source, "UTF-8")
+        return json.loads(scanner.useDelimiter("\\A").next())
+    finally:
+        source.close()
+
+
+def _note_header(spark, folder, columns):
+    files, note = file_system(spark, f"{folder}/{HEADER_NOTE}")
+    out = files.create(note, True)
+    try:
+        out.write(bytearray(json.dumps(list(columns)).encode()))
+    finally:
+        out.close()
+
+
+def column_sets(spark, path, own_files):
+    """``(folder, files, columns)`` of each set of columns of a CSV table.
+
+    ``own_files`` is the pattern of the files of the first set.  Headers are noted, so
+    no file is opened to tell them, but for a table that has no notes yet.
+    """
+    header = _noted_header(spark, path)
+    if header is None:
+        names = file_system(spark, f"{path}/{own_files}")
+        header = csv_columns(spark, f"{path}/{own_files}") if names[0].globStatus(names[1]) else None
+    found = [] if header is None else [(path, f"{path}/{own_files}", header)]
+    for digest in child_folders(spark, path, SET_COLUMN):
+        folder = f"{path}/{SET_COLUMN}={digest}"
+        columns = _noted_header(spark, folder) or csv_columns(spark, folder)
+        if columns:
+            found.append((folder, folder, columns))
+    return found
+
+
+def folder_for(posts, path, own_files):
+    """Folder of the table for the columns of the posts, and the posts in its order."""
+    spark = posts.sparkSession
+    sets = column_sets(spark, path, own_files)
+    for folder, _, columns in sets:
+        if sorted(columns) == sorted(posts.columns):
+            return folder, posts.select(*columns)
+    if not sets:
+        folder = path
+    else:
+        digest = hashlib.sha256(json.dumps(sorted(posts.columns)).encode()).hexdigest()
+        folder = f"{path}/{SET_COLUMN}={digest[:16]}"
+    _note_header(spark, folder, posts.columns)
+    return folder, posts
+
+
+def read_column_sets(spark, path, schema, own_files, folders=()):
+    """All rows of a CSV table: the sets of columns united by name, missing ones null."""
+    parts = []
+    for folder, files, columns in column_sets(spark, path, own_files):
+        known = {field.name: field for field in schema}
+        own = [known.get(name) or T.StructField(name, T.StringType()) for name in columns]
+        rows = read_posts_csv(spark, files, T.StructType([*own, *folders]), folders, folder)
+        parts.append(rows.select(*(c for c in rows.columns if c in known)))
+    empty = spark.createDataFrame([], schema)
+    return reduce(union_posts, parts, empty).select(*schema.names)
+
+
 def write_posts_csv(posts, path, mode="append", max_records=MAX_RECORDS_PER_FILE):
     """Write a CSV folder; ``max_records`` bounds what one task has to read of it."""
     writer = posts.write.mode(mode).options(**CSV_OPTIONS)
@@ -83,29 +160,23 @@ def write_posts_csv(posts, path, mode="append", max_records=MAX_RECORDS_PER_FILE
 def append_posts_csv(posts, path, union_path=None):
     """Append to a CSV folder, made if missing; returns the old and new rows.
 
-    Only new files are added.  CSV is read by column position, so where the
-    columns differ the union of both is written to ``union_path`` instead.  That
-    must be new, and is the table from then on: append to it, not to ``path``.
+    Only new files are added.  Where the columns differ they go to a folder of their
+    own in the table, and the table is read as the union of both, matched by name; or,
+    with a ``union_path``, the union is written to that new path, which is the table
+    from then on.
     """
-    spark, mode = posts.sparkSession, "append"
-    header = csv_columns(spark, path)
-    if header is not None and sorted(header) != sorted(posts.columns):
-        if union_path is None:
-            raise ValueError(f"columns differ from {header}: give a union_path")
-        types = {field.name: field for field in posts.schema}
-        labels = {field.name: field for field in LABELLED_POST}
-        old_schema = T.StructType(
-            [
-                types.get(name) or labels.get(name) or T.StructField(name, T.StringType())
-                for name in header
-            ]
-        )
-        posts = union_posts(read_posts_csv(spark, path, old_schema), posts)
-        path, mode = union_path, "errorifexists"
-    elif header is not None:
-        posts = posts.select(*header)
-    write_posts_csv(posts, path, mode)
-    return read_posts_csv(spark, path, posts.schema)
+    spark = posts.sparkSession
+    sets = column_sets(spark, path, OWN_FILES)
+    types = {field.name: field for field in (*LABELLED_POST, *posts.schema)}
+    names = list(dict.fromkeys([*(c for *_, columns in sets for c in columns), *posts.columns]))
+    schema = T.StructType([types.get(name) or T.StructField(name, T.StringType()) for name in names])
+    if union_path is not None and any(sorted(c) != sorted(posts.columns) for *_, c in sets):
+        rows = union_posts(read_column_sets(spark, path, schema, OWN_FILES), posts)
+        write_posts_csv(rows.select(*names), union_path, "errorifexists")
+        return read_posts_csv(spark, union_path, schema)
+    folder, posts = folder_for(posts, path, OWN_FILES)
+    write_posts_csv(posts, folder)
+    return read_column_sets(spark, path, schema, OWN_FILES)
 
 
 def append_core_csv(posts, path):
@@ -124,8 +195,8 @@ class PostSink:
 
     Every write has a folder of its own, ``run=<id>/batch_id=<n>``, so none can
     hide or replace the rows of another.  ``max_records`` bounds the CSV files.
-    A column that is new is null in the older rows of a Parquet sink, without a
-    rewrite; a CSV sink refuses other columns (see ``append_posts_csv``).
+    A column that is new is null in the older rows, without a rewrite: Parquet tells its
+    columns, and a CSV sink keeps a folder per set of columns.
     """
 
     path: str
@@ -149,30 +220,31 @@ class PostSink:
         if self.format == "parquet":
             posts.write.mode(mode).parquet(path)
             return
-        header = csv_columns(posts.sparkSession, self.path)
-        if header is not None:
-            if sorted(header) != sorted(posts.columns):
-                raise ValueError(f"columns differ from {header}")
-            posts = posts.select(*header)
-        write_posts_csv(posts, path, mode, self.max_records)
+        folder, posts = folder_for(posts, self.path, OWN_RUNS)
+        write_posts_csv(posts, batch_path(folder, run_id, batch_id), mode, self.max_records)
+        # An earlier attempt may have had other columns.
+        for other, *_ in column_sets(posts.sparkSession, self.path, OWN_RUNS) if mode == "overwrite" else ():
+            if other != folder:
+                files, old = file_system(posts.sparkSession, batch_path(other, run_id, batch_id))
+                files.delete(old, True)
 
     def read(self, spark, schema=LABELLED_POST, batches=False):
         """The posts; with ``batches`` also the run and the number of the batch they came in."""
         folders = BATCH_FIELDS if batches else ()
         schema = T.StructType([*schema.fields, *folders])
         if self.format == "csv":
-            return read_posts_csv(spark, self.path, schema, folders)
+            return read_column_sets(spark, self.path, schema, OWN_RUNS, folders)
         reader = spark.read.schema(schema).options(**({} if batches else ALL_FILES))
         return reader.parquet(self.path)
 
     def batch_total(self, spark, run_id, batch_id):
         """Rows that one batch has stored, counted in its files."""
-        path = batch_path(self.path, run_id, batch_id)
-        if not path_exists(spark, path):
-            return 0
+        reader, tables = spark.read.schema(POST), [self.path]
         if self.format == "csv":
-            return spark.read.schema(POST).options(**CSV_OPTIONS).csv(path).count()
-        return spark.read.schema(POST).parquet(path).count()
+            reader, tables = reader.options(**CSV_OPTIONS), [f for f, *_ in column_sets(spark, self.path, OWN_RUNS)]
+        paths = [batch_path(table, run_id, batch_id) for table in tables]
+        paths = [path for path in paths if path_exists(spark, path)]
+        return reader.format(self.format).load(paths).count() if paths else 0
 
     def total(self, spark):
         """Rows stored so far; a look at the footers for Parquet."""

@@ -9,7 +9,7 @@ import logging
 from dataclasses import dataclass
 
 from ..plans.run import RunOptions, run_once
-from ..session import file_system, path_exists
+from ..session import child_folders, file_system, path_exists
 from ..sources.pages import read_pages
 from ..sources.post_tables import BATCH_COLUMN, RUN_COLUMN, batch_path
 
@@ -32,13 +32,6 @@ def _mark(spark, path, marker):
     files.create(hadoop_path, True).close()
 
 
-def _folders(spark, path, column):
-    """Values of ``column`` in the names of the folders of ``path``."""
-    files, hadoop_path = file_system(spark, path)
-    names = [status.getPath().getName() for status in files.listStatus(hadoop_path)]
-    return [name.partition("=")[2] for name in names if name.startswith(f"{column}=")]
-
-
 def write_dead_letter(pages, path, run_id, batch_id):
     """Keep the pages of a failed batch, in place of what an earlier attempt left."""
     folder = batch_path(path, run_id, batch_id)
@@ -48,13 +41,11 @@ def write_dead_letter(pages, path, run_id, batch_id):
 
 def pending_dead_letters(spark, path, run_id=None):
     """Batches that have not been replayed, oldest number first; of one run if given."""
-    if not path_exists(spark, path):
-        return []
     found = []
-    for run in _folders(spark, path, RUN_COLUMN):
+    for run in child_folders(spark, path, RUN_COLUMN):
         if run_id not in (None, run):
             continue
-        for number in _folders(spark, f"{path}/{RUN_COLUMN}={run}", BATCH_COLUMN):
+        for number in child_folders(spark, f"{path}/{RUN_COLUMN}={run}", BATCH_COLUMN):
             folder = batch_path(path, run, number)
             if path_exists(spark, f"{folder}/{READY}") and not path_exists(spark, f"{folder}/{REPLAYED}"):
                 found.append(DeadLetter(run, int(number), folder))

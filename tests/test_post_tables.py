@@ -1,10 +1,12 @@
 """CSV and Parquet tables of posts."""
 
 import glob
+import os
 
 import pandas as pd
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from feedsieve.schema import LABELLED_POST, POST
 from feedsieve.sources.post_tables import (
@@ -91,8 +93,6 @@ def test_append_with_other_columns(spark, tmp_path):
     path, union_path = str(tmp_path / "t"), str(tmp_path / "u")
     append_posts_csv(labelled(spark), path)
     new = labelled(spark, 100).drop("hiring_post").withColumnRenamed("profile_name", "name")
-    with pytest.raises(ValueError):
-        append_posts_csv(new, path)
     both = append_posts_csv(new, path, union_path)
     assert both.columns == [*LABELLED_POST.names, "name"]
     assert both.where("name is null").count() == both.where("hiring_post is null").count() == len(TEXTS)
@@ -133,13 +133,50 @@ def test_sink_appends(spark, tmp_path, format):
         PostSink("x", "orc")
 
 
-def test_new_column_of_a_parquet_sink(spark, tmp_path):
+def test_parquet_sinks_take_new_columns(spark, tmp_path):
     sink = PostSink(str(tmp_path / "t"))
     sink.write(labelled(spark).drop("hiring_post"))
     sink.write(labelled(spark, 100), batch_id=0, run_id="r")
     assert sink.read(spark).where("hiring_post is null").count() == len(TEXTS)
     assert sink.total(spark) == 2 * len(TEXTS)
-    in_csv = PostSink(str(tmp_path / "c"), "csv")
-    in_csv.write(labelled(spark).drop("hiring_post"))
-    with pytest.raises(ValueError):
-        in_csv.write(labelled(spark))
+
+
+def files_of(path):
+    return {f: os.path.getmtime(f) for f in glob.glob(f"{path}/**/*.csv", recursive=True)}
+
+
+def test_csv_tables_take_new_columns(spark, tmp_path):
+    """New columns get a folder of their own; no file is written again."""
+    path = str(tmp_path / "t")
+    append_posts_csv(labelled(spark).drop("hiring_post"), path)
+    before = files_of(path)
+    both = append_posts_csv(labelled(spark, 100), path)
+    assert both.columns == LABELLED_POST.names
+    expected = labelled(spark).withColumn("hiring_post", F.lit(None).cast("long")).unionByName(labelled(spark, 100))
+    assert rows(both) == rows(expected)
+    assert before.items() <= files_of(path).items()
+    again = append_posts_csv(labelled(spark, 200).withColumn("more", F.lit(None).cast("string")), path)
+    assert again.columns == [*LABELLED_POST.names, "more"] and again.count() == 3 * len(TEXTS)
+    assert append_posts_csv(labelled(spark).drop("hiring_post"), path).count() == 4 * len(TEXTS)
+
+
+def test_csv_sinks_take_new_columns(spark, tmp_path):
+    sink = PostSink(str(tmp_path / "c"), "csv")
+    sink.write(labelled(spark).drop("hiring_post"), batch_id=0, run_id="r")
+    before = files_of(sink.path)
+    sink.write(labelled(spark, 100), batch_id=1, run_id="r")
+    assert before.items() <= files_of(sink.path).items()
+    assert sink.read(spark).where("hiring_post is null").count() == len(TEXTS)
+    assert sink.total(spark) == 2 * len(TEXTS)
+    assert [sink.batch_total(spark, "r", n) for n in (0, 1, 2)] == [len(TEXTS), len(TEXTS), 0]
+    batches = sink.read(spark, batches=True)
+    assert {tuple(r) for r in batches.select("run", "batch_id").collect()} == {("r", 0), ("r", 1)}
+    # A later attempt of a batch replaces the earlier one, also with other columns.
+    sink.write(labelled(spark), batch_id=0, run_id="r")
+    assert rows(sink.read(spark)) == rows(labelled(spark).unionByName(labelled(spark, 100)))
+
+
+def test_csv_table_without_notes(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_posts_csv(labelled(spark).drop("hiring_post"), path)
+    assert append_posts_csv(labelled(spark, 100), path).count() == 2 * len(TEXTS)
