@@ -16,8 +16,10 @@ more than ``CROWD`` documents name (passages that many share) are moved to its e
 and the documents that named one of them name their blocks anew, until no crowd is
 left or the rounds are over.  A part of the documents goes ahead to find most of
 those blocks; all documents then name theirs.  What still crowds in the end are
-families of near copies: their members are compared with one of them, and only
-members that are not connected after that with each other.
+families of near copies: their members are compared with one of them.  Crowds whose
+members are not all connected after that are gathered by the part their leader is in,
+since a family's many blocks hold much the same members, and the members that are still
+apart are compared with each other there: each with its nearest one first.
 
 Candidates must pass the Hamming distance of dense sketches, and are then verified
 on the whole sets; each document first with the smallest of its candidates, and
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..session import write_shared
+from ..session import drop_shared, write_shared
 from .components import connected_components
 from .text_blocks import batches_of, lower_ascii, mix, powers, to_bytes, word_bounds
 
@@ -43,8 +45,8 @@ SCOUT_PART = 8  # one document in so many goes ahead
 SCOUT_CROWD = 6
 SCOUT_ROUNDS = 3
 ROUNDS = 3
-CROWD_ROUNDS = 2
 TILE = 1024  # members of a crowd in each half of a comparison
+LOCAL_LINKS = 2_000_000  # 32 MB; the components of more links are found in rounds
 HOT_TOKENS = 2_000_000  # 16 MB; with more of them the last step comes at once
 BROADCAST_IDS = 1_000_000  # 8 MB; more ids are joined by a shuffle
 DENSE_BITS = (64, 1 << 14)
@@ -261,9 +263,9 @@ def name_blocks(docs, hots):
 class Groups:
     """Reads names sorted by token, size and node, and gathers what the groups give.
 
-    Small groups give all pairs that sizes allow.  Of a crowd, its members; in the
-    last round a star of pairs as well.  The rows of a group are
-    held back until it is over, or known to be a crowd.
+    Small groups give all pairs that sizes allow.  Of a crowd, its members; in the last
+    round each with the leader it is compared with, and a leader with the one before.
+    The rows of a group are held back until it is over, or known to be a crowd.
     """
 
     def __init__(self, last, crowd):
@@ -305,19 +307,21 @@ class Groups:
     def _crowd(self, token, node, n):
         if token != self.crowded:
             self.crowded, self.leader = token, None
-        for x, size in zip(node.tolist(), n.tolist()):
-            self.others.append((MEMBER, token, x, None, size))
-        self.waiting += len(node)
+        leaders = [None] * len(node)
         start = 0
         while self.last and start < len(node):
             # A member too large for the leader leads the next ones.
             if self.leader is None or 3 * int(n[start]) > 4 * self.leader[1]:
+                leaders[start] = None if self.leader is None else self.leader[0]
                 self.leader = (node[start], int(n[start]))
+                start += 1
+                continue
             stop = int(np.searchsorted(n, self.leader[1] * 4 // 3, "right"))
-            rest = node[start : max(stop, start + 1)]
-            rest = rest[rest != self.leader[0]]
-            self._pair(np.full(len(rest), self.leader[0]), rest)
-            start = max(stop, start + 1)
+            leaders[start:stop] = [self.leader[0]] * (stop - start)
+            start = stop
+        for x, leader, size in zip(node.tolist(), leaders, n.tolist()):
+            self.others.append((MEMBER, token, x, leader, size))
+        self.waiting += len(node)
 
     def take(self, least):
         """What has been gathered, once there is enough of it."""
@@ -435,27 +439,81 @@ def _apart(pairs, parts):
     return joined.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
 
 
-def linked(pairs, docs, nodes, before=None):
+def _smallest_reachable(u, v):
+    """Nodes of the links that reach a smaller one, and the smallest they reach."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    least = np.arange(len(nodes))
+    while (least[a] != least[b]).any():
+        low = np.minimum(least[a], least[b])
+        np.minimum.at(least, least[a], low)
+        np.minimum.at(least, least[b], low)
+        while (least[least] != least).any():
+            least = least[least]
+    apart = np.flatnonzero(least != np.arange(len(nodes)))
+    return nodes[apart], nodes[least[apart]]
+
+
+def parts_of(links):
+    """``node, component`` as ``connected_components`` gives them.
+
+    Links up to a bounded number are solved by one task, without rounds.
+    """
+    if links.limit(LOCAL_LINKS + 1).count() > LOCAL_LINKS:
+        return connected_components(links, "u", "v")
+
+    def run(batches):
+        found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if found:
+            columns = _smallest_reachable(*(np.concatenate(x) for x in zip(*found)))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "component"])
+
+    return links.select("u", "v").coalesce(1).mapInArrow(run, "node long, component long")
+
+
+def linked(pairs, docs, nodes, scratch, before=None):
     """Links among candidate pairs that decide the components, those of ``before`` included."""
-    near = write_shared(near_sketches(pairs, nodes), "near")
+    near = scratch.write(near_sketches(pairs, nodes), "near")
     wanted = near.select(F.col("u").alias("node")).union(near.select("v")).distinct()
-    texts = write_shared(_texts_of(docs, nodes, wanted), "texts")
+    texts = scratch.write(_texts_of(docs, nodes, wanted), "texts")
     first = near.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     links = verify(first, texts)
     if before is not None:
         links = links.union(before)
-    links = write_shared(links, "links")
-    rest = _apart(near, connected_components(links, "u", "v"))
-    return write_shared(links.union(verify(rest, texts)), "links")
+    links = scratch.write(links, "links")
+    rest = _apart(near, scratch.write(parts_of(links), "components"))
+    found = scratch.write(links.union(verify(rest, texts)), "links")
+    scratch.drop(near, texts)
+    return found
 
 
 def _hot_tokens(found, weight=1):
     """Tokens of the crowds and their sizes, None if they are too many to send round."""
     crowds = found.where(F.col("kind") == MEMBER).groupBy("token").count()
-    if crowds.limit(HOT_TOKENS + 1).count() > HOT_TOKENS:
+    rows = crowds.limit(HOT_TOKENS + 1).toArrow()
+    if rows.num_rows > HOT_TOKENS:
         return None
-    rows = sorted((r["token"] % (1 << 64), r["count"] * weight) for r in crowds.collect())
-    return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
+    tokens, sizes = (rows.column(c).to_numpy() for c in ("token", "count"))
+    order = np.argsort(tokens.view(np.uint64))
+    return tokens.view(np.uint64)[order], sizes[order] * weight
+
+
+class Scratch:
+    """Tables in the shared folder that go when they are no longer read."""
+
+    def __init__(self):
+        self._tables = []
+
+    def write(self, df, name):
+        self._tables.append(write_shared(df, name))
+        return self._tables[-1]
+
+    def drop(self, *tables):
+        """Remove the tables, all that are left if none is named."""
+        for table in tables or tuple(self._tables):
+            if any(table is kept for kept in self._tables):
+                drop_shared(table)
+                self._tables = [kept for kept in self._tables if kept is not table]
 
 
 def scout_tokens(docs):
@@ -464,8 +522,7 @@ def scout_tokens(docs):
     hots = [NO_TOKENS]
     for _ in range(SCOUT_ROUNDS):
         groups = gather_groups(name_blocks(part, hots), False, SCOUT_CROWD)
-        crowds = write_shared(groups.where(F.col("kind") == MEMBER), "scouts")
-        hot = _hot_tokens(crowds, SCOUT_PART)
+        hot = _hot_tokens(groups, SCOUT_PART)
         if hot is None or not len(hot[0]):
             break
         hots.append(with_more(hots[-1], hot))
@@ -482,10 +539,11 @@ def _of_nodes(docs, nodes, wanted):
 
 def similar_sets(docs, nodes):
     """``node, component`` of the sets that are linked to a smaller one."""
+    scratch = Scratch()
     hots, found, last, some = [scout_tokens(docs)], [], False, docs
     while True:
         last = last or len(hots) == ROUNDS
-        found.append(write_shared(gather_groups(name_blocks(some, hots), last), "groups"))
+        found.append(scratch.write(gather_groups(name_blocks(some, hots), last), "groups"))
         hot = NO_TOKENS if last else _hot_tokens(found[-1])
         if hot is None:
             # Too many to send round: all documents take part in the last round.
@@ -501,19 +559,38 @@ def similar_sets(docs, nodes):
     for more in found[1:]:
         pairs = pairs.union(more)
     pairs = pairs.where(F.col("kind") == PAIR).select("u", "v").distinct()
-    links = linked(pairs, docs, nodes)
-    parts = connected_components(links, "u", "v")
-    if not last:
-        return parts
-    members = found[-1].where(F.col("kind") == MEMBER)
-    return _join_crowds(members.select("token", F.col("u").alias("node"), "n"), links, parts, docs, nodes)
-
-
-def close_sketches(group):
+    if last:
+        members = found[-1].where(F.col("kind") == MEMBER).select("token", "u", "v")
+        stars = scratch.write(_in_order(members.where("v is not null")), "stars")
+        pairs = pairs.union(stars).distinct()
+        links = linked(pairs, docs, nodes, scratch)
+        links = _join_crowds(members, stars, links, docs, nodes, scratch)
+    else:
+        links = linked(pairs, docs, nodes, scratch)
+    parts = write_shared(parts_of(links), "components")
+    scratch.drop()
+    return parts
+
+
+def _in_order(pairs):
+    u, v = F.col("u"), F.col("v")
+    return pairs.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct()
+
+
+def nearest_only(u, v, far):
+    """Of the pairs, those that are the nearest of one of their ends; ties to the smaller ends."""
+    order = np.lexsort((v, u, far))
+    keep = np.zeros(len(u), bool)
+    for ends in (u, v):
+        keep[order[np.unique(ends[order], return_index=True)[1]]] = True
+    return keep
+
+
+def close_sketches(group, nearest):
     """Pairs of a tile of a crowd that sizes and sketches allow, of different parts.
 
     Each member is compared with the next larger ones by the width of its own sketch,
-    to which the wider ones are folded.
+    to which the wider ones are folded.  ``nearest``: only the nearest pairs of each.
     """
     group = group.sort_values(["n", "node"])
     node, n, part, tile = (group[c].to_numpy() for c in ("node", "n", "part", "tile"))
@@ -521,7 +598,7 @@ def close_sketches(group):
     sketches = [np.frombuffer(s, np.uint64) for s in group["sketch"]]
     widths = np.array([len(s) for s in sketches])
     last = np.searchsorted(n, n * 4 // 3, "right")
-    us, vs = [], []
+    us, vs, fars = [], [], []
     for width in np.unique(widths).tolist():
         own = np.flatnonzero(widths == width)
         base, stop = int(own[0]), int(last[own[-1]])
@@ -535,71 +612,94 @@ def close_sketches(group):
                 fits &= tile[ys] != tile[x]
             ys = ys[fits]
             far = np.bitwise_count(folded[ys - base] ^ folded[x - base]).sum(axis=1, dtype=np.int64)
-            ys = ys[7 * far <= n[x] + n[ys]]
-            us.append(np.full(len(ys), node[x]))
-            vs.append(node[ys])
-    return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
-
-
-def compare_crowds(members, nodes):
+            close = 7 * far <= n[x] + n[ys]
+            us.append(np.full(int(close.sum()), node[x]))
+            vs.append(node[ys[close]])
+            fars.append(far[close])
+    u, v, far = (np.concatenate(x) for x in (us, vs, fars))
+    if nearest:
+        keep = nearest_only(u, v, far)
+        u, v = u[keep], v[keep]
+    return pd.DataFrame({"u": u, "v": v})
+
+
+def compare_crowds(members, nodes, nearest=False):
     """Pairs of unconnected members of a crowd whose sketches are near enough.
 
-    A member stands in very many crowds with the same others, so pairs are compared
-    by their sketches in place and only near ones become rows.  A crowd is cut into
-    tiles by hash, and each two tiles are a group of their own: no task holds more
-    than two of them, however large the crowd.
+    ``members``: ``token, node, part``.  Pairs are compared by their sketches in place and
+    only near ones become rows.  A crowd is cut into tiles by hash, and each two tiles
+    are a group of their own: no task holds more than two of them, however large the
+    crowd.
     """
-    sketches = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(
-        F.min("sketch").alias("sketch")
+    known = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(
+        F.min("n").alias("n"), F.min("sketch").alias("sketch")
     )
+    sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("_members"))
     tiles = F.ceil(F.col("_members") / F.lit(TILE))
     tile = F.pmod(F.xxhash64("node", F.lit("tile")), tiles)
-    rows = members.select("token", "node", "n", "part", tile.alias("tile"), tiles.alias("tiles"))
+    rows = members.join(sizes, "token").select("token", "node", "part", tile.alias("tile"), tiles.alias("tiles"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.join(sketches, "node").select(
+    rows = rows.join(known, "node").select(
         "token",
         F.least("tile", "other").alias("i"),
         F.greatest("tile", "other").alias("j"),
-        "tile", "node", F.col("n").cast("long").alias("n"), "part", "sketch",
+        "tile", "node", "n", "part", "sketch",
     )
-    return rows.groupBy("token", "i", "j").applyInPandas(close_sketches, "u long, v long")
+
+    def compare(group):
+        return close_sketches(group, nearest)
+
+    return rows.groupBy("token", "i", "j").applyInPandas(compare, "u long, v long")
 
 
-def _join_crowds(members, links, parts, docs, nodes):
-    """Components after comparing those members of crowds that are not connected yet.
+def _with_parts(members, parts):
+    """Members with their part, of the crowds that have more than one."""
+    known = members.select("token", "node").join(parts, "node", "left")
+    known = known.select("token", "node", F.coalesce("component", "node").alias("part"))
+    several = known.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b"))
+    return known.join(several.where("a <> b").select("token"), "token", "left_semi")
 
-    In some rounds all members of a crowd are compared with one of its largest part.
-    Of what is still apart then, the sketches are compared with each other.
+
+def gathered_crowds(members, stars, links, scratch):
+    """``token, node`` of the crowds whose members are not all connected, as few as may be.
+
+    Crowds whose first leaders are of one part hold much the same members: they become
+    one crowd, unless that had more pairs to compare than they have by themselves.
     """
-    for turn in range(CROWD_ROUNDS + 1):
-        members = members.select("token", "node", "n").join(parts, "node", "left")
-        members = members.select("token", "node", "n", F.coalesce("component", "node").alias("part"))
-        sizes = members.groupBy("token", "part").agg(
-            F.count(F.lit(1)).alias("_k"),
-            F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("_lead"),
-        )
-        crowds = sizes.groupBy("token").agg(
-            F.count(F.lit(1)).alias("_parts"),
-            F.sum("_k").alias("_members"),
-            F.max_by(F.struct("_lead.*", "part"), F.struct("_k", "part")).alias("_lead"),
-        )
-        crowds = crowds.where("_parts > 1")
-        members = write_shared(members.join(crowds, "token"), "crowds")
-        if members.isEmpty():
-            return parts
-        alone = turn == CROWD_ROUNDS
-        if alone:
-            pairs = compare_crowds(members, nodes)
-        else:
-            fit = 3 * F.greatest("n", "_lead.n") <= 4 * F.least("n", "_lead.n")
-            pairs = members.where((F.col("part") != F.col("_lead.part")) & fit)
-            pairs = pairs.select(F.col("node").alias("u"), F.col("_lead.node").alias("v"))
-        u, v = F.col("u"), F.col("v")
-        pairs = pairs.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct()
-        links = linked(write_shared(pairs, "candidates"), docs, nodes, links)
-        parts = connected_components(links, "u", "v")
-        if alone:
-            return parts
+    parts = scratch.write(parts_of(links), "components")
+    apart = _apart(stars, parts).select(F.col("u").alias("_a"), F.col("v").alias("_b"))
+    same = (F.least("u", "v") == F.col("_a")) & (F.greatest("u", "v") == F.col("_b"))
+    torn = members.join(apart, same, "left_semi").select("token").distinct()
+    torn = scratch.write(members.join(torn, "token", "left_semi"), "torn")
+    leads = torn.where("v is null").select("token", F.col("u").alias("node")).join(parts, "node", "left")
+    leads = leads.select("token", F.coalesce("component", "node").alias("lead"))
+    sizes = torn.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
+    led = leads.join(sizes, "token")
+    rows = torn.select("token", F.col("u").alias("node")).join(leads, "token")
+    whole = rows.select("lead", "node").distinct()
+    pairs = F.col("k").cast("double") * F.col("k")
+    cost = led.groupBy("lead").agg(F.sum(pairs).alias("alone"))
+    cost = cost.join(whole.groupBy("lead").agg(F.count(F.lit(1)).alias("k")), "lead")
+    cost = scratch.write(cost.select("lead", (pairs <= F.col("alone")).alias("_one")), "leads")
+    one = whole.join(cost.where("_one"), "lead").select(F.xxhash64(F.lit("lead"), "lead").alias("token"), "node")
+    alone = rows.join(cost.where("not _one"), "lead").select("token", "node")
+    return scratch.write(one.union(alone), "crowds"), parts
+
+
+def _join_crowds(members, stars, links, docs, nodes, scratch):
+    """Links after comparing those members of crowds that are not connected yet.
+
+    First each with the nearest one of another part, then all that are still apart.
+    """
+    crowds, parts = gathered_crowds(members, stars, links, scratch)
+    for nearest in (True, False):
+        apart = scratch.write(_with_parts(crowds, parts), "apart")
+        if apart.isEmpty():
+            break
+        pairs = scratch.write(_in_order(compare_crowds(apart, nodes, nearest)), "candidates")
+        links = linked(pairs, docs, nodes, scratch, links)
+        parts = scratch.write(parts_of(links), "components")
+    return links
 
 
 def document_parts(docs):

@@ -74,8 +74,8 @@ def test_crowds_lose_no_near_pair(spark, monkeypatch):
         sets[node] = np.unique(np.concatenate([base[: rng.integers(30, 900)], own]))
     rows = [(k, len(v), bytearray(parity_join.dense_sketch(v))) for k, v in sets.items()]
     nodes = spark.createDataFrame(rows, "node long, n long, sketch binary")
-    crowd = [(t, k, len(v), k % 9, 60) for t in (1, 2) for k, v in sets.items()]
-    members = spark.createDataFrame(crowd, "token long, node long, n int, part long, _members long")
+    crowd = [(t, k, k % 9) for t in (1, 2) for k in sets]
+    members = spark.createDataFrame(crowd, "token long, node long, part long")
     got = parity_join.compare_crowds(members, nodes).distinct().collect()
     sketch = {k: parity_join.dense_sketch(v) for k, v in sets.items()}
     wanted = {
