@@ -17,9 +17,9 @@ and the documents that named one of them name their blocks anew, until no crowd
 left or the rounds are over.  A part of the documents goes ahead to find most of
 those blocks; all documents then name theirs.  What still crowds in the end are
 families of near copies: their members are compared with one of them.  Crowds whose
-members are not all connected after that are gathered by the part their leader is in,
-since a family's many blocks hold much the same members, and the members that are still
-apart are compared with each other there: each with its nearest one first.
+members are not all connected after that are gathered by their largest part, since a
+family's many blocks hold much the same members, and the members that are still apart
+are compared with each other there: each with its nearest one first.
 
 Candidates must pass the Hamming distance of dense sketches, and are then verified
 on the whole sets; each document first with the smallest of its candidates, and
@@ -663,19 +663,19 @@ def _with_parts(members, parts):
 def gathered_crowds(members, stars, links, scratch):
     """``token, node`` of the crowds whose members are not all connected, as few as may be.
 
-    Crowds whose first leaders are of one part hold much the same members: they become
-    one crowd, unless that had more pairs to compare than they have by themselves.
+    Crowds whose largest parts are the same hold much the same members: they become one
+    crowd, unless that had more pairs to compare than they have by themselves.
     """
     parts = scratch.write(parts_of(links), "components")
     apart = _apart(stars, parts).select(F.col("u").alias("_a"), F.col("v").alias("_b"))
     same = (F.least("u", "v") == F.col("_a")) & (F.greatest("u", "v") == F.col("_b"))
     torn = members.join(apart, same, "left_semi").select("token").distinct()
     torn = scratch.write(members.join(torn, "token", "left_semi"), "torn")
-    leads = torn.where("v is null").select("token", F.col("u").alias("node")).join(parts, "node", "left")
-    leads = leads.select("token", F.coalesce("component", "node").alias("lead"))
-    sizes = torn.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
-    led = leads.join(sizes, "token")
-    rows = torn.select("token", F.col("u").alias("node")).join(leads, "token")
+    known = torn.select("token", F.col("u").alias("node")).join(parts, "node", "left")
+    sizes = known.groupBy("token", F.coalesce("component", "node").alias("part")).count()
+    largest = F.max_by("part", F.struct("count", "part"))
+    led = scratch.write(sizes.groupBy("token").agg(largest.alias("lead"), F.sum("count").alias("k")), "led")
+    rows = torn.select("token", F.col("u").alias("node")).join(led.select("token", "lead"), "token")
     whole = rows.select("lead", "node").distinct()
     pairs = F.col("k").cast("double") * F.col("k")
     cost = led.groupBy("lead").agg(F.sum(pairs).alias("alone"))
