@@ -50,7 +50,9 @@ LOCAL_LINKS = 2_000_000  # 32 MB; the components of more links are found in roun
 HOT_TOKENS = 2_000_000  # 16 MB; with more of them the last step comes at once
 BROADCAST_IDS = 1_000_000  # 8 MB; more ids are joined by a shuffle
 DENSE_BITS = (64, 1 << 14)
-FLUSH_PAIRS = 200_000
+FLUSH_PAIRS = 100_000
+FLUSH_NAMES = 100_000
+HELD_TEXTS = 512
 BAND = 16
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -197,8 +199,9 @@ PAIR, MEMBER = 0, 1
 
 
 def _sets_of(column):
-    values = [to_bytes(value.as_py()) for value in column]
-    return shingle_sets(values)
+    """Shingle sets of a column of texts, few of which are held at a time."""
+    for start in range(0, len(column), HELD_TEXTS):
+        yield from shingle_sets([to_bytes(v.as_py()) for v in column.slice(start, HELD_TEXTS)])
 
 
 def document_nodes(docs):
@@ -232,34 +235,46 @@ def name_blocks(docs, hots):
     """
     hot = hots[-1]
 
+    def is_out(shingles, band):
+        return any(
+            not crowd_sizes(named_blocks(shingles, band, old), new).any()
+            for old, new in zip(hots[:-1], hots[1:])
+        )
+
     def run(batches):
-        seen = set()
+        seen, held, waiting = set(), [], 0
         for batch in batches:
-            tokens, nodes, sizes = [], [], []
             for shingles in _sets_of(batch.column(0)):
                 node = node_of(shingles)
                 if not len(shingles) or node in seen:
                     continue
                 seen.add(node)
                 for band in bands_of(len(shingles)):
-                    if any(
-                        not crowd_sizes(named_blocks(shingles, band, old), new).any()
-                        for old, new in zip(hots[:-1], hots[1:])
-                    ):
-                        continue
-                    named = named_blocks(shingles, band, hot)
-                    tokens.append(_signed(named))
-                    nodes.append(np.full(len(named), node, np.int64))
-                    sizes.append(np.full(len(named), len(shingles), np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in (tokens, nodes, sizes)],
-                    names=["token", "node", "n"],
-                )
+                    if not is_out(shingles, band):
+                        held.append((_signed(named_blocks(shingles, band, hot)), node, len(shingles)))
+                        waiting += len(held[-1][0])
+                if waiting >= FLUSH_NAMES:
+                    yield _names(held)
+                    held, waiting = [], 0
+        if held:
+            yield _names(held)
 
     return docs.select("text").mapInArrow(run, NAMES)
 
 
+def _names(held):
+    tokens, nodes, sizes = zip(*held)
+    lengths = [len(t) for t in tokens]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate(tokens)),
+            pa.array(np.repeat(np.array(nodes, np.int64), lengths)),
+            pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
+        ],
+        names=["token", "node", "n"],
+    )
+
+
 class Groups:
     """Reads names sorted by token, size and node, and gathers what the groups give.
 
