@@ -8,8 +8,10 @@ times packs well with either) turns it into a score.
 
 Texts are packed whole, in chunks, as a dictionary helps only the beginning of
 what is packed with it.  A null text is an empty one; an empty text gets the
-score that the calibration gives to sizes of nothing.  Without labelled rows of
-both classes every score is 0.5.
+score that the calibration gives to sizes of nothing.  Where not both classes are
+among the labels, every score is the one that they show, 0 without any.  Labelled texts
+are packed whole as well, in Spark; only their measures come to the driver.  Rows that
+repeat an id are scored one by one; a column that is named like the score is replaced.
 """
 
 import numpy as np
@@ -17,26 +19,24 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import functions as F
 
-from .labelled import labelled_sample
+from ..session import drop_shared, write_shared
+from .labelled import in_order, labelled_sample, only_class
 from .text_blocks import to_bytes
 
 PER_CLASS = 3000  # bound of the sample, see labelled_sample
 DICTIONARY_DOCS = 700
 DICTIONARY_BYTES = 200_000
 DOC_BYTES = 500
-SAMPLE_BYTES = 20_000
 CHUNK_BYTES = 1000
 LEVEL = 3
 
 
-def build_dictionary(texts, size=DICTIONARY_BYTES, doc_bytes=DOC_BYTES):
-    """Raw content of a dictionary: a middle part of each text."""
+def build_dictionary(middles, size=DICTIONARY_BYTES):
+    """Raw content of a dictionary: the middle parts of texts, up to a size."""
     parts, total = [], 0
-    for text in texts:
-        data = to_bytes(text)
-        start = max(0, (len(data) - doc_bytes) // 2)
-        parts.append(data[start : start + doc_bytes])
-        total += len(parts[-1])
+    for middle in middles:
+        parts.append(bytes(middle))
+        total += len(middle)
         if total >= size:
             break
     return b" ".join(parts)[:size]
@@ -116,30 +116,65 @@ class CompressionModel:
 
 
 def fit_quality(docs, labels, label="quality", per_class=PER_CLASS):
-    """Model of a bounded labelled sample, None without rows of both classes.
+    """Model of a bounded labelled sample; without rows of both classes a constant score.
 
     Dictionaries and calibration see different documents.  The calibration
     weighs the classes as they are among all labels.
     """
-    (bad, good), (n_bad, n_good) = labelled_sample(docs, labels, label, per_class, SAMPLE_BYTES)
-    if not bad or not good:
-        return None
-    cuts = [min(DICTIONARY_DOCS, (len(texts) + 1) // 2) for texts in (bad, good)]
-    model = CompressionModel(*(build_dictionary(t[:c]) for t, c in zip((bad, good), cuts)))
-    rest = [t[c:] or t for t, c in zip((bad, good), cuts)]
-    measures = [[model.measures(to_bytes(text)) for text in texts] for texts in rest]
-    weights = [np.full(len(m), n / len(m)) for m, n in zip(measures, (n_bad, n_good))]
-    weights = np.concatenate(weights)
-    labels = [0] * len(rest[0]) + [1] * len(rest[1])
-    model.calibrate(measures[0] + measures[1], labels, weights * len(weights) / weights.sum())
+    sample, rows = labelled_sample(docs, labels, label, per_class)
+    sample = write_shared(sample, "labelled")
+    try:
+        return _fitted(sample, rows)
+    finally:
+        drop_shared(sample)
+
+
+def _fitted(sample, rows):
+    ids = in_order(sample.select("doc_id", "label")).toArrow().to_pydict()
+    by_class = [[i for i, v in zip(ids["doc_id"], ids["label"]) if v == value] for value in (0, 1)]
+    if not all(by_class):
+        return only_class(rows)
+    cuts = [min(DICTIONARY_DOCS, (len(own) + 1) // 2) for own in by_class]
+    # As many ids as the dictionaries have documents.
+    lent = sample.join(F.broadcast(_ids(sample, by_class[0][: cuts[0]] + by_class[1][: cuts[1]])), "doc_id")
+    data = F.col("text").cast("binary")
+    start = F.greatest(F.floor((F.octet_length("text") - DOC_BYTES) / 2), F.lit(0)).cast("int")
+    middle = F.substring(data, start + 1, F.lit(DOC_BYTES)).alias("middle")
+    lent = in_order(lent).select("label", middle).toArrow().to_pydict()
+    model = CompressionModel(
+        *(build_dictionary([m for m, v in zip(lent["middle"], lent["label"]) if v == value]) for value in (0, 1))
+    )
+    learnt = [own[cut:] or own for own, cut in zip(by_class, cuts)]
+    rest = sample.join(F.broadcast(_ids(sample, learnt[0] + learnt[1])), "doc_id")
+
+    def measure(batches):
+        for batch in batches:
+            found = [model.measures(to_bytes(value.as_py())) for value in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("label"), pa.array(map(list, found), pa.list_(pa.float64()))],
+                names=["doc_id", "label", "measures"],
+            )
+
+    measured = rest.select("doc_id", "label", "text").mapInArrow(
+        measure, "doc_id long, label int, measures array<double>"
+    )
+    found = in_order(measured).toArrow().to_pydict()
+    values = np.array(found["label"])
+    share = np.array([rows[v] / max(1, (values == v).sum()) for v in (0, 1)])
+    weights = share[values]
+    model.calibrate(found["measures"], values, weights * len(weights) / weights.sum())
     return model
 
 
+def _ids(sample, ids):
+    return sample.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
+
+
 def score_quality(docs, model, text="text", score="score"):
     """Add the score of each whole text; a map without a shuffle."""
     schema = docs.drop(score).withColumn(score, F.lit(0.0)).schema
-    if model is None:
-        return docs.drop(score).withColumn(score, F.lit(0.5))
+    if isinstance(model, float):
+        return docs.drop(score).withColumn(score, F.lit(model))
 
     def run(batches):
         for batch in batches:

@@ -9,19 +9,22 @@ for, so it is understood without having been seen.
 The softmax is linear, so for scoring the table shrinks to one number per n-gram,
 and all texts of a block are scored by array operations at once.
 
-A null or empty text has the zero vector and gets the softmax of it.  Without
-labelled rows of both classes every score is 0.5.
+A null or empty text has the zero vector and gets the softmax of it.  Where not
+both classes are among the labels, every score is the one that they show, 0 without
+any.  Of a text that is longer than ``EXCERPT`` characters, parts from its whole length
+are learnt from; scores are those of whole texts.  Rows that repeat an id are scored one
+by one; a column that is named like the score is replaced.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .labelled import labelled_sample
+from .labelled import excerpt, in_order, labelled_sample, only_class
 from .text_blocks import MULTIPLIER, batches_of, mix, word_bounds
 
 PER_CLASS = 2000  # bound of the sample, see labelled_sample
-SAMPLE_BYTES = 8_000
+EXCERPT = (8, 1_000)  # parts of a long text to learn from, and their characters
 BUCKET_BITS = 17
 DIMENSIONS = 8
 NGRAMS = (3, 4, 5, 6)
@@ -191,22 +194,26 @@ class SubwordModel:
         return 1 / (1 + np.exp(-z))
 
 
-def fit_toxicity(docs, labels, label="toxic", per_class=PER_CLASS):
-    """Model of a bounded labelled sample, None without rows of both classes."""
-    (clean, toxic), _ = labelled_sample(docs, labels, label, per_class, SAMPLE_BYTES)
-    if not clean or not toxic:
-        return None
-    texts = [*clean, *toxic]
-    bags = [bag(np.frombuffer(plain(text), np.uint8), BUCKET_BITS) for text in texts]
-    classes = [0] * len(clean) + [1] * len(toxic)
+def fit_toxicity(docs, labels, label="toxic", per_class=PER_CLASS, parts=EXCERPT):
+    """Model of a bounded labelled sample; without rows of both classes a constant score."""
+    sample, rows = labelled_sample(docs, labels, label, per_class)
+    cut = excerpt(F.col("text"), *parts).alias("text")
+    found = in_order(sample).select("label", cut).toArrow()
+    classes = found.column("label").to_pylist()
+    if len(set(classes)) < 2:
+        return only_class(rows)
+    order = np.argsort(classes, kind="stable")
+    texts = found.column("text")
+    bags = [bag(np.frombuffer(plain(texts[i].as_py()), np.uint8), BUCKET_BITS) for i in order.tolist()]
+    classes = sorted(classes)
     return SubwordModel(*train(keep_telling(bags, classes), classes))
 
 
 def score_toxicity(docs, model, text="text", score="score"):
     """Add the score of each whole text; a map without a shuffle."""
     schema = docs.drop(score).withColumn(score, F.lit(0.0)).schema
-    if model is None:
-        return docs.drop(score).withColumn(score, F.lit(0.5))
+    if isinstance(model, float):
+        return docs.drop(score).withColumn(score, F.lit(model))
 
     def run(batches):
         for batch in batches:
@@ -229,7 +236,7 @@ def drop_toxic(docs, labels, threshold=0.5):
     while name in docs.columns:
         name = f"_{name}"
     model = fit_toxicity(docs, labels)
-    if model is None:
+    if isinstance(model, float):
         return docs
     scored = score_toxicity(docs, model, score=name)
     return scored.where(F.col(name) < threshold).select(*docs.columns)

@@ -184,14 +184,18 @@ def _packed_record(stream, at, head, wanted, payload):
     if not unpacker.eof and (needs_block or length is None or keep):
         # Without the note the end is known only after unpacking.
         http_ends = EOL + EOL in data[start:]
+        data = bytearray(data)
         while not unpacker.eof and (needs_block or length is None or not http_ends):
             more = stream.read(1 << 16)
             if not more:
                 raise ValueError("archive ends inside a record")
             piece = unpacker.decompress(more)
             if keep:
+                # Only what is new can hold the end, or complete it.
+                seen = max(start, len(data) - len(EOL + EOL) + 1)
                 data += piece
-                http_ends = http_ends or EOL + EOL in data[start:]
+                http_ends = http_ends or data.find(EOL + EOL, seen) >= 0
+        data = bytes(data)
     if length is None:
         length = stream.tell() - at - len(unpacker.unused_data)
     stream.seek(at + length)
