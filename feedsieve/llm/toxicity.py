@@ -104,17 +104,17 @@ def keep_telling(bags, labels, min_docs=MIN_DOCS, least=LEAST_T, bits=BUCKET_BIT
     By Welch's t of the shares.  What chance has left in the others would add up
     in the many words of a document, and outweigh the few that matter.
     """
-    labels = np.asarray(labels)
-    doc = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
-    at, weight = (np.concatenate([b[j] for b in bags]) for j in (0, 1))
-    seen = np.bincount(at, minlength=1 << bits)
-    means, spreads = [], []
-    for value in (0, 1):
-        n, own = max(1, (labels == value).sum()), labels[doc] == value
-        mean = np.bincount(at[own], weight[own], 1 << bits) / n
-        square = np.bincount(at[own], weight[own] ** 2, 1 << bits) / n
-        means.append(mean)
-        spreads.append(np.maximum(square - mean**2, 0) / n)
+    labels, size = np.asarray(labels), 1 << bits
+    seen = np.zeros(size, np.int64)
+    sums, squares = np.zeros((2, size)), np.zeros((2, size))
+    # The buckets of a document are distinct, and one document is added at a time.
+    for (at, weight), label in zip(bags, labels):
+        seen[at] += 1
+        sums[label][at] += weight
+        squares[label][at] += weight**2
+    n = np.maximum(1, [(labels == value).sum() for value in (0, 1)])[:, None]
+    means = sums / n
+    spreads = np.maximum(squares / n - means**2, 0) / n
     t = np.abs(means[1] - means[0]) / np.sqrt(spreads[0] + spreads[1] + 1e-30)
     keep = (seen >= min_docs) & (t >= least)
     return [(b[0][keep[b[0]]], b[1][keep[b[0]]]) for b in bags]
