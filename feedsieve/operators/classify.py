@@ -210,6 +210,8 @@ def classify_labels(
     if answers is None:
         answers = AnswerTable(new_table_path(df.sparkSession, "answers"))
     answered = ask_once(rows, labels, client_factory, answers, **options)
+    if scratch is not None:
+        scratch.append(answered)
     if on_error == "fail":
         failed = _failed(rows, labels, answered)
         if failed:
@@ -223,10 +225,11 @@ def _key(spec, text):
 
 
 def ask_once(rows, labels, client_factory, answers, **options):
-    """Ask for what ``answers`` does not hold; returns ``(key, label, error)`` of this run.
+    """Ask for what ``answers`` does not hold; returns ``(key, label, error)`` of the rows.
 
     The new requests are written before they are asked, so a retried task asks for
-    those of its own partition only.
+    those of its own partition only.  What is returned is written as well: a join with a
+    plain table can be split where a text has very many rows.
     """
     spark = rows.sparkSession
     specs = [spec for _, spec in labels]
@@ -234,15 +237,15 @@ def ask_once(rows, labels, client_factory, answers, **options):
         F.struct(F.lit(n).alias("spec"), _key(spec, F.col(column)).alias("key"), F.col(column).alias("text"))
         for n, (column, spec) in enumerate(labels)
     ]
-    wanted = rows.select(F.explode(F.array(*requests)).alias("r")).select("r.*").where("key is not null")
-    known = answers.known(spark)
-    wanted = wanted.dropDuplicates(["key"]).join(known, "key", "left_anti")
+    every = rows.select(F.explode(F.array(*requests)).alias("r")).select("r.*").where("key is not null")
+    wanted = every.dropDuplicates(["key"]).join(answers.known(spark), "key", "left_anti")
     wanted = write_shared(wanted, "requests")
     try:
         answers.add(_ask_rows(wanted, specs, client_factory, **options))
     finally:
         drop_shared(wanted)
-    return answers.latest(spark)
+    keys = every.select("key").distinct()
+    return write_shared(answers.latest(spark).join(keys, "key", "left_semi"), "answered")
 
 
 def _ask_rows(requests, specs, client_factory, batch_size, partitions, in_flight):
@@ -269,11 +272,11 @@ def _ask_rows(requests, specs, client_factory, batch_size, partitions, in_flight
 def _joined(rows, labels, answered):
     """Rows with a struct ``(label, error)`` per label."""
     for n, (column, spec) in enumerate(labels):
-        key = F.coalesce(_key(spec, F.col(column)), F.lit("")).alias("_key")
+        key = F.coalesce(_key(spec, F.col(column)), F.lit("")).alias("_digest")
         mine = answered.select(
-            F.col("key").alias("_key"), F.struct("label", "error").alias(f"_answer{n}")
+            F.col("key").alias("_digest"), F.struct("label", "error").alias(f"_answer{n}")
         )
-        rows = rows.select("*", key).join(mine, "_key", "left").drop("_key")
+        rows = rows.select("*", key).join(mine, "_digest", "left").drop("_digest")
     return rows
 
 
