@@ -1,13 +1,16 @@
 """Nearest neighbours by hierarchical navigable small-world graphs, one per shard.
 
-Vectors are dealt to shards of bounded size by the hash of their id.  A shard's
-graph is built in one task and kept as flat neighbour arrays, one row of the index
-table per shard.  Queries come in blocks; a task walks one shard's graph for a
+Equal vectors are one node of a graph, which keeps their smallest ids: as ties go
+to the smaller id, no others of them can be among the nearest.  Nodes are dealt to
+shards of bounded size by the hash of their vector.  A shard's graph is built in one
+task and kept as flat neighbour arrays, one row of the index table per shard.  Queries come in blocks; a task walks one shard's graph for a
 whole block at once, and the shards' results are merged per query.
 
 The graph is built as by inserting one vector after another, each linked to
 diverse ones of its nearest predecessors and these back to it; as a shard is
-small, the predecessors are found exactly, a batch at a time.
+small, the predecessors are found exactly, a batch at a time.  Nodes that no link
+leads to get one from a neighbour, and the lowest layer is entered at nodes far from
+each other too, so that no dense part of a shard hides the rest.
 """
 
 import numpy as np
@@ -24,15 +27,17 @@ LINKS = 16
 CANDIDATES = 48
 BEAM = 128
 SPARE = 10  # candidates per shard beyond k that are measured in double precision
+PIVOTS = 16  # nodes far from each other where the lowest layer is entered
+SINGLE = 1e15  # parts beyond it, or all below its inverse, take double precision in walks
 SEED = 5
 INDEX = (
-    "_dim int, shard int, ids binary, vectors binary, entry int,"
+    "_dim int, shard int, ids binary, starts binary, vectors binary, entries binary,"
     " levels array<struct<nodes:binary,links:binary,width:int>>"
 )
 
 
 def distances(x, y):
-    """Squared Euclidean distances of all pairs, single precision."""
+    """Squared Euclidean distances of all pairs, in the precision of the vectors."""
     d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T)
     return np.maximum(d, 0)
 
@@ -104,23 +109,68 @@ def build_layer(dist, nodes, width):
         lists = np.concatenate([links[touched], back[touched]], axis=1)
         links[touched] = choose_diverse(dist, touched, _nearest(dist, touched, lists), width)
         done *= 2
-    return links
+    return np.concatenate([links, _links_to_orphans(links, nodes)], axis=1)
+
+
+def _links_to_orphans(links, nodes):
+    """Links to the nodes that have no incoming one, from the nodes that they link to."""
+    linked = np.zeros(len(links), bool)
+    linked[links[links >= 0]] = True
+    waiting = nodes[1:][~linked[nodes[1:]]]
+    found = [np.empty((len(links), 0), np.int32)]
+    for c in range(links.shape[1]):
+        waiting = waiting[links[waiting, c] >= 0]
+        if not len(waiting):
+            break
+        extra = _incoming(links[waiting, c : c + 1], waiting, len(links), LINKS // 4)
+        extra = extra[:, (extra >= 0).any(axis=0)]
+        found.append(extra)
+        linked[extra[extra >= 0]] = True
+        waiting = waiting[~linked[waiting]]
+    return np.concatenate(found, axis=1)
+
+
+def far_apart(dist, first, many):
+    """Up to ``many`` nodes, each the farthest from those before it."""
+    chosen, away = [first], dist[first].copy()
+    while len(chosen) < many and away.max() > 0:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, dist[chosen[-1]])
+    return np.array(chosen, np.int64)
+
+
+def scale_of(*arrays):
+    """Power of two that brings the largest part into the range of squares, mostly 1."""
+    big = max((np.abs(a).max(initial=0) for a in arrays), default=0)
+    return 1.0 if big == 0 or 1e-150 < big < 1e150 else 2.0 ** np.floor(np.log2(big))
+
+
+def walking(*arrays):
+    """The arrays as walks take them: single precision unless parts are too large or small."""
+    scale = scale_of(*arrays)
+    arrays = [a / scale for a in arrays]
+    big = [np.abs(a).max(initial=0) for a in arrays]
+    single = max(big) < SINGLE and max(big) > 1 / SINGLE
+    return [a.astype(np.float32) if single else a for a in arrays]
 
 
 def build_graph(vectors, seed=SEED):
-    """``(entry, layers)``: per layer, lowest first, its nodes and their links."""
+    """``(entries, layers)``: per layer, lowest first, its nodes and their links.
+
+    The first entry is the one of the top layer, the others lie far from each other.
+    """
     n = len(vectors)
     rng = np.random.default_rng(seed)
     order = rng.permutation(n)
     height = np.floor(rng.exponential(1 / np.log(LINKS), n)).astype(int)
-    single = vectors.astype(np.float32)
-    dist = distances(single, single)
+    (walked,) = walking(vectors)
+    dist = distances(walked, walked)
     layers = []
     for level in range(height.max(initial=0) + 1):
         nodes = order[height[order] >= level]
         width = 2 * LINKS if level == 0 else LINKS
         layers.append((nodes.astype(np.int32), build_layer(dist, nodes, width)[nodes]))
-    return int(layers[-1][0][0]), layers
+    return far_apart(dist, int(layers[-1][0][0]), PIVOTS), layers
 
 
 def search_layer(vectors, links, queries, entries, beam):
@@ -129,7 +179,7 @@ def search_layer(vectors, links, queries, entries, beam):
     rows = np.arange(q)
     seen = np.zeros((q, n + 1), bool)  # the last column stands for "no node"
     ids = np.full((q, beam), -1, np.int64)
-    away = np.full((q, beam), np.inf, np.float32)
+    away = np.full((q, beam), np.inf, vectors.dtype)
     fresh = np.zeros((q, beam), bool)
     width = min(entries.shape[1], beam)
     ids[:, :width] = entries[:, :width]
@@ -154,7 +204,7 @@ def search_layer(vectors, links, queries, entries, beam):
         new = ~seen[active[:, None], around]
         seen[active[:, None], around] = True
         d = ((vectors[around] - queries[active][:, None, :]) ** 2).sum(2)
-        d = np.where(new, d, np.inf).astype(np.float32)
+        d = np.where(new, d, np.inf).astype(vectors.dtype)
         all_d = np.concatenate([away[active], d], axis=1)
         all_ids = np.concatenate([ids[active], np.where(new, around, -1)], axis=1)
         all_fresh = np.concatenate([fresh[active], new], axis=1)
@@ -164,16 +214,18 @@ def search_layer(vectors, links, queries, entries, beam):
         fresh[active] = np.take_along_axis(all_fresh, keep, axis=1) & np.isfinite(away[active])
 
 
-def search_graph(vectors, entry, layers, queries, beam=BEAM):
+def search_graph(vectors, starts, layers, queries, beam=BEAM):
     """Nodes near each query, by walking down the layers (-1 for none)."""
-    single = vectors.astype(np.float32)
-    wanted = queries.astype(np.float32)
-    entries = np.full((len(queries), 1), entry, np.int64)
+    single, wanted = walking(vectors, queries)
+    entries = np.full((len(queries), 1), starts[0], np.int64)
     for level in range(len(layers) - 1, -1, -1):
         nodes, own = layers[level]
         links = np.full((len(vectors), own.shape[1]), -1, np.int32)
         links[nodes] = own
         width = beam if level == 0 else max(8, beam // 8)
+        if level == 0:
+            far = np.broadcast_to(starts[1:], (len(queries), len(starts) - 1))
+            entries = np.concatenate([entries, far], axis=1)
         entries, away = search_layer(single, links, wanted, entries, width)
         order = np.argsort(away, axis=1)
         entries = np.take_along_axis(entries, order, axis=1)
@@ -182,9 +234,10 @@ def search_graph(vectors, entry, layers, queries, beam=BEAM):
 
 def _build_row(table):
     ids = numbers(table["vec_id"])
-    order = np.argsort(ids, kind="stable")
-    vectors = matrix(table["_vector"])[order]
-    entry, layers = build_graph(vectors)
+    vectors, node = np.unique(matrix(table["_vector"]), axis=0, return_inverse=True)
+    node = node.reshape(-1)
+    order = np.lexsort((ids, node))
+    entries, layers = build_graph(vectors)
     levels = [
         {"nodes": n.astype("<i4").tobytes(), "links": x.astype("<i4").tobytes(), "width": x.shape[1]}
         for n, x in layers
@@ -193,22 +246,32 @@ def _build_row(table):
         "_dim": vectors.shape[1],
         "shard": int(numbers(table["shard"])[0]),
         "ids": ids[order].astype("<i8").tobytes(),
+        "starts": np.searchsorted(node[order], np.arange(len(vectors) + 1)).astype("<i8").tobytes(),
         "vectors": vectors.astype("<f8").tobytes(),
-        "entry": entry,
+        "entries": entries.astype("<i8").tobytes(),
         "levels": levels,
     }
     level = pa.struct([("nodes", pa.binary()), ("links", pa.binary()), ("width", pa.int32())])
-    types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.list_(level)]
+    types = [pa.int32()] * 2 + [pa.binary()] * 4 + [pa.list_(level)]
     return pa.table({k: pa.array([v], t) for (k, v), t in zip(row.items(), types)})
 
 
-def build_index(rows, shard_rows=SHARD_ROWS):
-    """Index table of ``comparable`` rows: one row per shard, and shards per length."""
-    shards = rows.groupBy("_dim").agg(
+def build_index(rows, ties, shard_rows=SHARD_ROWS):
+    """Index table of ``comparable`` rows: one row per shard, and shards per length.
+
+    Of equal vectors the ``ties`` smallest ids are kept, which is enough for searches
+    of ``k < ties``.  Each shard is built in a task of its own.
+    """
+    different = rows.select("_dim", F.xxhash64("_vector").alias("_hash")).distinct()
+    shards = different.groupBy("_dim").agg(
         F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("_shards")
     )
-    shard = F.pmod(F.xxhash64("vec_id"), F.col("_shards")).cast("int")
-    dealt = rows.join(shards, "_dim").select("_dim", shard.alias("shard"), "vec_id", "_vector")
+    tasks = shards.agg(F.sum("_shards")).first()[0] or 1
+    equal = Window.partitionBy("_dim", "_vector").orderBy("vec_id")
+    nodes = rows.withColumn("_place", F.row_number().over(equal)).where(F.col("_place") <= ties)
+    shard = F.pmod(F.xxhash64("_vector"), F.col("_shards")).cast("int")
+    dealt = nodes.join(shards, "_dim").select("_dim", shard.alias("shard"), "vec_id", "_vector")
+    dealt = dealt.repartition(int(tasks), "_dim", "shard")
     return write_shared(dealt.groupBy("_dim", "shard").applyInArrow(_build_row, INDEX), "hnsw")
 
 
@@ -248,7 +311,7 @@ def search(index, queries, k=10, beam=BEAM, query_rows=QUERY_ROWS):
             for row in range(batch.num_rows):
                 yield _search_row(batch.slice(row, 1).to_pylist()[0], k, beam)
 
-    columns = ["_dim", "query_ids", "queries", "ids", "vectors", "entry", "levels"]
+    columns = ["_dim", "query_ids", "queries", "ids", "starts", "vectors", "entries", "levels"]
     found = tasks.select(*columns).mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
@@ -261,6 +324,7 @@ def search(index, queries, k=10, beam=BEAM, query_rows=QUERY_ROWS):
 def _search_row(row, k, beam):
     dim = row["_dim"]
     ids = np.frombuffer(row["ids"], "<i8")
+    starts = np.frombuffer(row["starts"], "<i8")
     vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, dim)
     query_ids = np.frombuffer(row["query_ids"], "<i8")
     queries = np.frombuffer(row["queries"], "<f8").reshape(-1, dim)
@@ -271,17 +335,20 @@ def _search_row(row, k, beam):
         )
         for level in row["levels"]
     ]
-    near = search_graph(vectors, row["entry"], layers, queries, max(beam, k + 1 + SPARE))
+    entries = np.frombuffer(row["entries"], "<i8")
+    near = search_graph(vectors, entries, layers, queries, max(beam, k + 1 + SPARE))
     near = near[:, : k + 1 + SPARE]
-    known = (near >= 0) & (ids[near] != query_ids[:, None])
-    away = np.sqrt(((vectors[near] - queries[:, None, :]) ** 2).sum(2))
-    away = np.where(known, away, np.inf)
+    scale = scale_of(vectors, queries)
+    apart = vectors[near] / scale - queries[:, None, :] / scale
+    away = np.sqrt((apart**2).sum(2)) * scale
     out = []
-    for i in range(len(query_ids)):
-        order = np.lexsort((ids[near[i]], away[i]))[:k]
-        out += [
-            (query_ids[i], ids[near[i, j]], away[i, j]) for j in order if np.isfinite(away[i, j])
-        ]
+    for i, query_id in enumerate(query_ids):
+        nodes = np.flatnonzero(near[i] >= 0)
+        held = [ids[starts[j] : starts[j + 1]] for j in near[i, nodes]]
+        place = np.repeat(nodes, [len(h) for h in held])
+        held = np.concatenate(held)
+        order = [o for o in np.lexsort((held, away[i, place])) if held[o] != query_id]
+        out += [(query_id, held[o], away[i, place[o]]) for o in order[:k]]
     columns = list(zip(*out)) or [(), (), ()]
     types = (pa.int64(), pa.int64(), pa.float64())
     return pa.RecordBatch.from_arrays(
@@ -294,7 +361,8 @@ def nearest_neighbours(embeddings, every=100, k=10):
 
     Vectors that are null, empty, zero or hold null or non-finite components take
     no part; vectors are compared with those of their own length.  Rows that repeat
-    an id are one vector.  No vectors, or no queries, give no rows.
+    an id are one vector.  Equal vectors are ties, of which the smaller ids come
+    first.  No vectors, or no queries, give no rows.
     """
     rows = comparable(embeddings)
-    return search(build_index(rows), rows.where(F.col("vec_id") % every == 0), k)
+    return search(build_index(rows, k + 1), rows.where(F.col("vec_id") % every == 0), k)

@@ -162,6 +162,64 @@ def test_nearest_vectors_are_found(spark):
     assert hits >= 36
 
 
+def recall(spark, x, shard_rows=hnsw.SHARD_ROWS, extra=()):
+    """Share of the ten nearest by distance that a search finds, and all its rows."""
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + list(extra)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    rows = hnsw.comparable(table)
+    index = hnsw.build_index(rows, 11, shard_rows)
+    got = {}
+    for r in hnsw.search(index, rows.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = wanted = 0
+    for q in range(0, len(x), 100):
+        apart = x.astype(float) - x[q].astype(float)
+        dist = np.abs(apart).max(1, keepdims=True)
+        dist = (dist * np.sqrt(((apart / np.where(dist > 0, dist, 1)) ** 2).sum(1, keepdims=True)))[:, 0]
+        dist[q] = np.inf
+        best = np.sort(dist)[: min(10, len(x) - 1)]
+        found = sorted(got[q])
+        assert [r for r, _, _ in found] == list(range(1, len(best) + 1))
+        assert all(np.isclose(s, dist[v], rtol=1e-12) for _, v, s in found)
+        assert [(s, v) for _, v, s in found] == sorted((s, v) for _, v, s in found)
+        hits += sum(s <= b * (1 + 1e-12) for (_, _, s), b in zip(found, best))
+        wanted += len(best)
+    return hits / wanted, got
+
+
+def test_equal_vectors_hide_no_neighbours(spark):
+    x = np.random.default_rng(6).normal(size=(3500, 16)).astype(np.float32)
+    x[250:3250] = x[250]
+    x[3300:] = x[3300]  # a second group
+    share, got = recall(spark, x)
+    assert share >= 0.9
+    assert [v for _, v, _ in sorted(got[300])] == list(range(250, 260))
+    assert [v for _, v, _ in sorted(got[3300])] == list(range(3301, 3311))
+
+
+def test_near_copies_hide_no_neighbours(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3500, 16))
+    x[500:] = x[500] + 1e-3 * rng.normal(size=(3000, 16))
+    assert recall(spark, x)[0] >= 0.9
+
+
+@pytest.mark.parametrize("size", [1e22, 1e-30, 1e200, 1e-200])
+def test_neighbours_of_any_size(spark, size):
+    x = np.random.default_rng(8).normal(size=(130, 8)) * size
+    assert recall(spark, x)[0] == 1
+
+
+def test_neighbours_over_several_shards(spark):
+    x = np.random.default_rng(9).normal(size=(3000, 16)).astype(np.float32)
+    x[100] *= 1e20
+    awkward = [(3000, None, 0), (3100, [0.0] * 16, 0), (3200, [float("inf")] * 16, 0), (7, None, 1)]
+    share, got = recall(spark, x, 700, awkward)
+    assert share >= 0.9
+    assert sorted(got) == list(range(0, 3000, 100))
+    assert hnsw.nearest_neighbours(vectors(spark, []).limit(0)).collect() == []
+
+
 def test_packing_loses_nothing(spark):
     texts = [(0, None), (1, ""), (2, "a b c"), (2, "a b c"), (3, "long words " * 3000)]
     rows = packing.pack_documents(documents(spark, texts)).collect()
