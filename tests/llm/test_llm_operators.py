@@ -1,6 +1,8 @@
 """The training-data operators against brute force, SQL and awkward rows."""
 
 import hashlib
+import re
+import time
 import zlib
 
 import duckdb
@@ -8,6 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from feedsieve.llm import binary_codes, hnsw, mixing, packing, parity_join, queries, secrets, suffix_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -247,6 +250,77 @@ def test_secrets_are_masked(spark):
     assert [masked[i] for i in (0, 1, 3, 4)] == [t for i, t in texts if i != 2]
 
 
+def brute_spans(text):
+    """All spans of the rules, by Python's own matching."""
+    found = []
+    for number, rule in enumerate(secrets.ALL_RULES):
+        for m in re.finditer(rule.pattern, text, re.ASCII):
+            if len(m[rule.group]) >= rule.min_length:
+                found.append((m.start(), number, m.end()))
+    return sorted(found)
+
+
+def brute_mask(text):
+    out, at = [], 0
+    for start, _, end in brute_spans(text):
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def secret_texts():
+    rng = np.random.default_rng(10)
+    parts = [
+        "password=", "api_key: ", "Token='", "AKIA", "ABCDEFGH01234567", "deadbeef" * 3, "0123456789",
+        " ", "\n", "é", "😀", "eyJ", "eyJhbGciOi.eyJzdWIiOiIx.", "abcdefghijklmnopqrstuv_-", ".", "'",
+        "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 18, "x" * 1500,
+    ]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 60))) for _ in range(300)]
+    # More matches than a block holds, and ends at the borders of pages.
+    texts.append("password=hunter22 " * 1000)
+    texts += ["y" * (n - 17) + "password=hunter22" + "z" * m for n in (1023, 1024, 1025) for m in (0, 1, 1024)]
+    return texts + ["", None, "deadbeef" * 400, "password=" + "deadbeef" * 300 + "AKIA" + "Z" * 30]
+
+
+def test_secrets_equal_brute_force(spark):
+    names = [rule.kind for rule in secrets.ALL_RULES]
+    texts = secret_texts()
+    table = documents(spark, list(enumerate(texts)))
+    # Repeated rows, a null id, and columns named like those inside.
+    table = table.union(table.where("doc_id < 5")).union(
+        documents(spark, [(None, "secret=abcdef12")])
+    )
+    for name in ("_key", "_doc", "spans", "_spans", "gram", "start"):
+        table = table.withColumn(name, F.lit(7))
+    got = {}
+    for r in secrets.scan_secrets(table).collect():
+        got.setdefault(r.doc_id, []).append(r.spans)
+    assert got.pop(None) == ["assign:0:15"]
+    for i, text in enumerate(texts):
+        wanted = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in brute_spans(text or ""))
+        assert got[i] == [wanted] * (2 if i < 5 else 1)
+    masked = secrets.mask_secrets(table)
+    assert masked.columns == table.columns
+    for r in masked.where("doc_id is not null").collect():
+        text = texts[r.doc_id]
+        assert r.text == (None if text is None else brute_mask(text))
+        assert r["_key"] == 7 and r["start"] == 7
+    assert secrets.scan_secrets(table.limit(0)).collect() == []
+
+
+def test_long_texts_full_of_secrets_take_linear_time(spark):
+    texts = ["eyJ" * 350_000, "eyJ-" * 250_000, "password=hunter22, " * 100_000, "eyJa.eyJ" * 120_000]
+    table = documents(spark, list(enumerate(texts)))
+    start = time.monotonic()
+    got = {r.doc_id: r.n_assign for r in secrets.scan_secrets(table).collect()}
+    assert got == {0: 0, 1: 0, 2: 100_000, 3: 0}
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(table).collect()}
+    assert masked[0] == texts[0]
+    assert masked[2] == "[SECRET], " * 100_000
+    assert time.monotonic() - start < 40
+
+
 def test_raking_meets_the_marginals():
     tokens = np.random.default_rng(1).integers(10, 1000, (3, 2, 2)).astype(float)
     shares = [np.array([0.5, 0.3, 0.2]), np.array([0.6, 0.4]), np.array([0.5, 0.5])]
