@@ -1,0 +1,127 @@
+"""Near-duplicate vectors against brute force: codes, bounds and awkward rows."""
+
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from feedsieve.llm import binary_codes
+from feedsieve.session import shared_dir
+
+SCHEMA = "vec_id long, embedding array<double>, label string"
+
+
+def brute_links(rows, threshold=0.93):
+    """Links and smallest reachable id by comparing all pairs."""
+    ids = [r[0] for r in rows]
+    x = np.array([r[1] for r in rows])
+    x = x / np.abs(x).max(1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (x @ x.T >= threshold) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    part = list(ids)
+    for i, j in zip(*np.nonzero(near)):
+        old, new = max(part[i], part[j]), min(part[i], part[j])
+        part = [new if p == old else p for p in part]
+    return {i: (int(n), p, i == p) for i, n, p in zip(ids, near.sum(1), part)}
+
+
+def families(rng, families=40, dim=24):
+    """Vectors around few centres, from equal ones to such just beyond the threshold."""
+    rows, ids = [], rng.permutation(10_000)
+    for k in range(families):
+        centre = rng.normal(size=dim)
+        for _ in range(int(rng.integers(1, 20))):
+            vector = centre + rng.choice([0, 0.1, 0.3, 0.5]) * rng.normal(size=dim)
+            rows.append((int(ids[len(rows)]), vector.tolist(), f"l{k % 3 % 2}"))
+    return rows
+
+
+def results(df):
+    return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in df.collect()}
+
+
+@pytest.mark.parametrize("block_rows", [20, 1024])
+def test_blocks_of_any_size_give_all_links(spark, block_rows):
+    rows = families(np.random.default_rng(21))
+    table = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = results(binary_codes.near_duplicates(table, block_rows=block_rows))
+    assert got == brute_links(rows)
+    assert sum(n for n, _, _ in got.values()) > 100
+
+
+def test_an_empty_block_counts_no_link_twice(spark):
+    rows = families(np.random.default_rng(25), 1, 8)
+    table = spark.createDataFrame(rows, SCHEMA)
+    assert results(binary_codes.near_duplicates(table, block_rows=1)) == brute_links(rows)
+
+
+@pytest.mark.parametrize("dim, threshold", [(1, 0.93), (2, 0.93), (16, 0.93), (64, 0.93), (256, 0.8)])
+def test_no_link_is_screened_out(dim, threshold):
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(400, dim))
+    y = binary_codes.unit_vectors(x) + rng.uniform(0, 0.6, (400, 1)) * binary_codes.unit_vectors(
+        rng.normal(size=(400, dim))
+    )
+    codes, others = (binary_codes.encode(v, binary_codes.rotation(dim)) for v in (x, y))
+    signs = [np.unpackbits(c[0], axis=1, count=dim).astype(np.int8) * 2 - 1 for c in (codes, others)]
+    maybe = binary_codes.may_link([signs[0], *codes[1:]], [signs[1], *others[1:]], threshold)
+    exact = binary_codes.unit_vectors(x) @ binary_codes.unit_vectors(y).T
+    assert not (~maybe & (exact >= threshold)).any()
+    if dim >= 64:
+        # Of pairs that are no links, hardly any are computed.
+        assert (maybe & (exact < threshold - 0.4)).sum() == 0
+        found = binary_codes.estimates(signs[0], codes[3], others[1], others[2])
+        assert abs((found - exact).mean()) < 0.01
+
+
+def test_few_vectors_are_fetched(spark):
+    """Only those with a near one: not the random ones, that no link has."""
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(1500, 64))
+    x[:50] = x[50:100] + 0.1 * rng.normal(size=(50, 64))
+    table = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], SCHEMA)
+    codes = binary_codes.stored_codes(table)
+    sizes = codes.select(F.octet_length("_signs"), F.octet_length("_steps")).distinct().collect()
+    assert [tuple(r) for r in sizes] == [(8, 64)]
+    found = binary_codes.candidates(codes, block_rows=200)
+    assert {r.vec_id for r in found.collect()} >= set(range(100))
+    assert found.count() <= 130
+
+
+def test_tiles_hold_codes_only(spark):
+    codes = binary_codes.stored_codes(spark.createDataFrame([(1, [1.0], "a")], SCHEMA))
+    found = binary_codes.candidates(codes)
+    scans = [line for line in found._jdf.queryExecution().toString().splitlines() if "ReadSchema" in line]
+    assert scans and not any("_vector" in line for line in scans)
+
+
+def test_awkward_vectors(spark):
+    rows = families(np.random.default_rng(22), 6, 8)
+    big = [(20_000 + k, (np.array(v) * s).tolist(), label) for k, (_, v, label) in enumerate(rows[:9])
+           for s in ([1e200, 1e-200][k % 2],)]
+    wanted = brute_links(rows + big)
+    inf, nan = float("inf"), float("nan")
+    v = rows[0][1]
+    none = [(30_000, None, "a"), (30_001, [], "a"), (30_002, [0.0] * 8, "a"), (30_003, [inf] + v[1:], "l0"),
+            (30_004, [nan] + v[1:], "l0"), (30_005, [None] + v[1:], "l0"), (30_006, v, None),
+            (30_007, v[:7], "l0")]
+    wanted |= {i: (0, i, True) for i, _, _ in none}
+    table = spark.createDataFrame(rows + big + none + rows[:5], SCHEMA)  # repeated rows are one vector
+    table = table.union(spark.createDataFrame([(None, v, "l0")], SCHEMA))
+    for name in ("_vector", "_dim", "_at", "_first", "links", "root", "component"):
+        table = table.withColumn(name, F.lit("x"))
+    got = results(binary_codes.near_duplicates(table))
+    assert got.pop(None) == (0, None, False)
+    assert got == wanted
+    assert binary_codes.near_duplicates(table.limit(0)).collect() == []
+
+
+def test_codes_are_dropped(spark):
+    folder = f"{shared_dir(spark)}/feedsieve"
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    rows = families(np.random.default_rng(24), 3, 8)
+    binary_codes.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert not [n for n in set(os.listdir(folder)) - before if n.startswith("codes")]
