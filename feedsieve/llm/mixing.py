@@ -8,7 +8,7 @@ scale of a cell is the probability with which its documents are sampled.
 A marginal names its categories, and all others together are ``REST``: the number
 of cells follows from the targets, not from the data.  The share of categories
 that the corpus does not hold goes to the others in proportion; targets that the
-corpus cannot meet are met as far as full cells allow.
+corpus cannot meet are met as far as full cells allow; ``shares_reached`` tells which.
 
 A null source or language is of the rest, a null or empty text has no words and
 counts as one, so that it can be drawn.  A document is drawn by the hash of its
@@ -24,12 +24,15 @@ REST = "*"
 MARGINALS = ("source", "lang", "topic")
 SWEEPS = 500
 TOLERANCE = 1e-9
+SHARE_TOLERANCE = 1e-3
+SHARES = (
+    "marginal string, category string, target double, corpus double, expected double, "
+    "drawn double, met boolean"
+)
 
 TOPICS = (
     ("licence", r"(?i)licen[cs]e|copyright"),
     ("contact", r"[\w.]+@[\w.]+"),
-    ("table", r"\w \| \w"),
-    ("list", r"(?m)^\s*[-*] "),
 )
 
 
@@ -44,7 +47,10 @@ class Targets:
 
 
 def topic_of(text, topics=TOPICS):
-    """The first topic whose pattern the text matches, else ``REST``."""
+    """The first topic whose pattern the text matches, else ``REST``.
+
+    A topic that no target names would be of the rest as well: leave its pattern out.
+    """
     out = F.lit(None).cast("string")
     for name, pattern in topics:
         out = F.coalesce(out, F.when(text.rlike(pattern), F.lit(name)))
@@ -131,6 +137,36 @@ def mix_documents(docs, targets=Targets(), topics=TOPICS):
     )
 
 
+def shares_reached(mixed, targets=Targets()):
+    """What became of the targets, from the rows of ``mix_documents``: a row per category.
+
+    ``target`` share, ``corpus`` share, share ``expected`` from the probabilities and
+    share ``drawn``, all of tokens; ``met`` where the expected share is the target.  It is
+    not where full cells hold too little.  Categories without a target are ``REST``;
+    without tokens, shares are 0.
+    """
+    keys = [f"_{m}" for m in MARGINALS]
+    cells = mixed.groupBy(*keys).agg(
+        F.sum("_tokens").alias("_corpus"),
+        F.sum(F.col("_tokens") * F.col("_probability")).alias("_expected"),
+        F.sum(F.when(F.col("_drawn"), F.col("_tokens")).otherwise(0)).alias("_kept"),
+    )
+    # As many rows as the targets have cells.
+    counted = [tuple(r) for r in cells.collect()]
+    sums = [sum(row[k] for row in counted) for k in (3, 4, 5)]
+    out = []
+    for axis, marginal in enumerate(MARGINALS):
+        shares = getattr(targets, marginal)
+        for category in dict.fromkeys([*shares, REST]):
+            own = [row for row in counted if row[axis] == category]
+            have = [sum(row[k] for row in own) for k in (3, 4, 5)]
+            corpus, expected, drawn = (float(a / b) if b else 0.0 for a, b in zip(have, sums))
+            target = float(shares.get(category, 0.0))
+            met = abs(expected - target) <= SHARE_TOLERANCE
+            out.append((marginal, category, target, corpus, expected, drawn, met))
+    return mixed.sparkSession.createDataFrame(out, SHARES)
+
+
 def sample_mix(docs, targets=Targets(), topics=TOPICS):
     """The documents that are drawn, with their own columns."""
     drawn = mix_documents(docs, targets, topics).where("_drawn")
