@@ -33,8 +33,6 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
-    EqualTo,
-    In,
     InputPartition,
     WriterCommitMessage,
 )
@@ -61,7 +59,7 @@ ARROW = pa.schema(
         ("payload", pa.binary()),
     ]
 )
-# Header of each column that a pushed predicate can be decided by.
+# Header of each column that the reader can decide a predicate by.
 HEADERS = {
     "record_type": "warc-type",
     "record_id": "warc-record-id",
@@ -70,7 +68,6 @@ HEADERS = {
     "payload_digest": "warc-payload-digest",
 }
 DATE = "1970-01-01T00:00:00Z"
-PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 EOL = b"\r\n"
 HEAD_BYTES = 4096
 SKIP_FIELD = b"sl"  # subfield of the gzip header: length of the member
@@ -263,17 +260,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payload = str(options.get("payload", "true")).lower() != "false"
         self.partition_bytes = int(options.get("partition_bytes", 64 << 20))
-        self.tests = []
-
-    def pushFilters(self, filters):
-        for item in filters:
-            column = item.attribute[0] if len(getattr(item, "attribute", ())) == 1 else None
-            if column in HEADERS and isinstance(item, EqualTo):
-                self.tests.append((column, {item.value}))
-            elif column in HEADERS and isinstance(item, In):
-                self.tests.append((column, set(item.value)))
-            else:
-                yield item
+        self.tests = [(c, set(v)) for c, v in json.loads(options.get("headers", "{}")).items()]
 
     def partitions(self):
         system, root = file_system(self.path)
@@ -384,16 +371,30 @@ class WarcSource(DataSource):
 
 
 def register(spark):
-    """Make the format known to the session and let it take predicates."""
+    """Make the format known to the session."""
     spark.dataSource.register(WarcSource)
-    spark.conf.set(PUSHDOWN, "true")
 
 
-def read_warc(spark, path, payload=True, **options):
-    """Records of all archives below ``path``; filters on header columns are pushed down."""
+def read_warc(spark, path, payload=True, where=None, **options):
+    """Records of all archives below ``path``.
+
+    ``where`` names the values wanted of header columns, a value (null: no such header)
+    or a list of them per column: ``{"record_type": "response", "target_uri": [a, b]}``.
+    The reader decides them by the headers alone and skips what follows them.  They are
+    options of one reader, not filters that the planner hands down: Spark keeps those
+    with the relation, and a frame that is read with a filter and then without one, or
+    both in one plan, would lose rows.
+    """
     register(spark)
+    wanted = {
+        column: list(values) if isinstance(values, (list, tuple, set)) else [values]
+        for column, values in (where or {}).items()
+    }
+    unknown = sorted(set(wanted) - set(HEADERS))
+    if unknown:
+        raise ValueError(f"no header decides {', '.join(unknown)}; filter the records instead")
     reader = spark.read.format("warc").option("payload", str(payload).lower())
-    return reader.options(**options).load(path)
+    return reader.option("headers", json.dumps(wanted)).options(**options).load(path)
 
 
 def write_warc(records, path, **options):

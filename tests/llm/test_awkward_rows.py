@@ -81,16 +81,27 @@ def test_unwanted_payloads_are_not_read(spark, tmp_path):
                 data[at + 6000 : at + length - 8] = bytes(length - 6008)
             at += length
         open(name, "wb").write(data)
-    records = warc.read_warc(spark, path)
-    revisits = records.where("record_type = 'revisit'")
-    # The source takes the filter: it is not applied again behind the scan.
-    assert "= revisit" not in revisits._jdf.queryExecution().executedPlan().toString()
+    revisits = warc.read_warc(spark, path, where={"record_type": "revisit"})
     assert sorted(r.refers_to for r in revisits.collect()) == sorted(f"<urn:page:{k}>" for k in range(0, 20, 2))
-    one = records.where("target_uri in ('u:3', 'u:5') and record_type = 'revisit'")
-    assert {r.target_uri for r in one.collect()} == {"u:3", "u:5"}
+    both = {"target_uri": ["u:3", "u:4", "u:5"], "record_type": ["revisit"]}
+    assert {r.target_uri for r in warc.read_warc(spark, path, where=both).collect()} == {"u:3", "u:5"}
+    assert warc.read_warc(spark, path, where={"refers_to": None}, payload=False).count() == 10
     assert warc.read_warc(spark, path, payload=False).count() == 20
-    with pytest.raises(Exception):
-        records.collect()
+    with pytest.raises(Exception, match="record"):
+        warc.read_warc(spark, path).collect()
+    with pytest.raises(ValueError):
+        warc.read_warc(spark, path, where={"payload_bytes": 3})
+
+
+def test_filtered_frames_can_be_read_whole(spark, tmp_path):
+    rows = [(k, f"u:{k}", "n" * 300 + f"{k // 2}") for k in range(20)]
+    warc.write_warc(warc.page_records(spark.createDataFrame(rows, PAGES)), str(tmp_path / "w"))
+    records = warc.read_warc(spark, str(tmp_path / "w"))
+    revisits, others = (records.where(F.col("record_type") == t) for t in ("revisit", "response"))
+    assert [x.count() for x in (records, revisits, records, others, records)] == [20, 10, 20, 10, 20]
+    assert revisits.union(records).count() == 30 and records.union(others).count() == 30
+    named = revisits.alias("a").join(records.alias("b"), F.expr("a.refers_to = b.record_id"))
+    assert named.count() == 10
 
 
 def test_archives_of_other_tools(spark, tmp_path):
