@@ -14,7 +14,7 @@ from ..operators.classify import classify, classify_jobs, classify_labels
 from ..operators.extract import extract_post_details, find_posts
 from ..operators.html_posts import SelectorSpec
 from ..schema import LABELLED_POST, POST
-from ..session import new_table_path
+from ..session import file_system, new_table_path
 from ..sources.answers import AnswerTable
 from ..sources.pages import read_pages, stream_pages
 from ..sources.post_tables import (
@@ -489,6 +489,27 @@ def classify_quarantine(spark, sf_dir):
 
 # --- Tables, runs, streams ---------------------------------------------------
 
+# Bytes of posts in an arriving file, and what a post has around its text.
+FILE_BYTES = 32 << 20
+POST_MARKUP = 256
+
+
+def _files_per_batch(spark, sf_dir, batches, number=None):
+    """Files that the pages of the largest batch need; without a ``number`` all are alike."""
+    posts = fixtures.raw_posts(spark, sf_dir, ("page_id", "content"))
+    size = F.coalesce(F.octet_length("content"), F.lit(0)) + POST_MARKUP
+    sizes = posts.groupBy((F.lit(0) if number is None else number).alias("number")).agg(F.sum(size).alias("bytes"))
+    most = sizes.agg(F.max("bytes")).first()[0] or 0
+    return max(1, -(-most // (FILE_BYTES * (batches if number is None else 1))))
+
+
+def _page_ranges(spark, sf_dir, batches):
+    """The pages as files that hold a range of them, and the files in a batch."""
+    arriving = new_table_path(spark, "arriving_pages")
+    n_files = _files_per_batch(spark, sf_dir, batches)
+    fixtures.pages(spark, sf_dir).repartitionByRange(batches * n_files, "page_id").write.parquet(arriving)
+    return arriving, n_files
+
 
 @query(_labelled_sql(_POSTS_SQL))
 def csv_roundtrip(spark, sf_dir):
@@ -544,22 +565,20 @@ def run_relevant_only(spark, sf_dir):
 @query(_labelled_sql(_SCRAPED_SQL), name="run_stream")
 def run_pages_stream(spark, sf_dir):
     """The pages as files of a stream; copies of a url share a page, so a batch."""
-    arriving = new_table_path(spark, "arriving_pages")
-    fixtures.pages(spark, sf_dir).repartitionByRange(3, "page_id").write.parquet(arriving)
+    arriving, n_files = _page_ranges(spark, sf_dir, 3)
     sink = PostSink(new_table_path(spark, "run_stream"))
     state = new_table_path(spark, "run_stream_state")
-    run_stream(spark, arriving, RuleClient(), sink, state, max_files=1).awaitTermination()
+    run_stream(spark, arriving, RuleClient(), sink, state, max_files=n_files).awaitTermination()
     return sink.read(spark, LABELLED_POST)
 
 
 def _backfill_then_stream(spark, sf_dir, format):
     """One run over the pages, then a stream of the same pages into the same sink."""
-    arriving = new_table_path(spark, "arriving_pages")
-    fixtures.pages(spark, sf_dir).repartitionByRange(2, "page_id").write.parquet(arriving)
+    arriving, n_files = _page_ranges(spark, sf_dir, 2)
     sink = PostSink(new_table_path(spark, "backfill"), format)
     run_once(read_pages(spark, arriving), RuleClient(), sink)
     state = new_table_path(spark, "backfill_state")
-    run_stream(spark, arriving, RuleClient(), sink, state, max_files=1).awaitTermination()
+    run_stream(spark, arriving, RuleClient(), sink, state, max_files=n_files).awaitTermination()
     return sink.read(spark)
 
 
@@ -579,12 +598,11 @@ def run_backfill_then_stream_csv(spark, sf_dir):
 @query(_TWICE_SQL)
 def run_two_streams(spark, sf_dir):
     """Two streams, each with its own checkpoint, into one sink."""
-    arriving = new_table_path(spark, "arriving_pages")
-    fixtures.pages(spark, sf_dir).repartitionByRange(2, "page_id").write.parquet(arriving)
+    arriving, n_files = _page_ranges(spark, sf_dir, 2)
     sink = PostSink(new_table_path(spark, "two_streams"))
     for _ in range(2):
         state = new_table_path(spark, "two_streams_state")
-        run_stream(spark, arriving, RuleClient(), sink, state, max_files=1).awaitTermination()
+        run_stream(spark, arriving, RuleClient(), sink, state, max_files=n_files).awaitTermination()
     return sink.read(spark)
 
 
