@@ -680,13 +680,28 @@ def label_schema(spark, sf_dir):
 STREAM_FILES = 3
 
 
+def _arrived(spark, path):
+    """Files in a folder of pages, in the order in which they came."""
+    files, folder = file_system(spark, path)
+    found = [s for s in files.listStatus(folder) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+    return sorted(found, key=lambda status: status.getModificationTime())
+
+
 def _page_files(spark, sf_dir):
-    """The pages as one file per remainder of the page number, in that order."""
+    """The pages as equally many files per remainder of the page number, in that order.
+
+    Returns the folder and the files per remainder, which are a batch of the stream.
+    """
     arriving = new_table_path(spark, "arriving_pages")
-    pages = fixtures.pages(spark, sf_dir)
+    pages, remainder = fixtures.pages(spark, sf_dir), F.col("page_id") % STREAM_FILES
+    n_files = _files_per_batch(spark, sf_dir, STREAM_FILES, remainder)
     for n in range(STREAM_FILES):
-        pages.where(F.col("page_id") % STREAM_FILES == n).coalesce(1).write.mode("append").parquet(arriving)
-    return arriving
+        part = pages.where(remainder == n)
+        part.repartition(n_files, "page_id").write.mode("append").parquet(arriving)
+        # A partition without pages writes no file; one without pages stands in for it.
+        for _ in range((n + 1) * n_files - len(_arrived(spark, arriving))):
+            part.limit(0).coalesce(1).write.mode("append").parquet(arriving)
+    return arriving, n_files
 
 
 def _batches_sql(found, where="true"):
@@ -720,15 +735,15 @@ class _FailsOn:
 
 def _failing_stream(spark, sf_dir, replay):
     """A stream whose second batch fails, and the replay of what it leaves."""
-    arriving, dead = _page_files(spark, sf_dir), new_table_path(spark, "dead_letters")
+    (arriving, n_files), dead = _page_files(spark, sf_dir), new_table_path(spark, "dead_letters")
     sink = PostSink(new_table_path(spark, "failing_stream"))
     state = new_table_path(spark, "failing_stream_state")
-    # The first post of the second file is the one without an answer.
+    # The first post of the second batch is the one without an answer.
     second = fixtures.pages(spark, sf_dir).where("page_id = 1")
     first = extract_post_details(find_posts(second)).orderBy("pos").first()
     client = _FailsOn(first.content)
     run_stream(
-        spark, arriving, client, sink, state, max_files=1, on_batch_error="dead_letter", dead_letter_path=dead
+        spark, arriving, client, sink, state, max_files=n_files, on_batch_error="dead_letter", dead_letter_path=dead
     ).awaitTermination()
     if replay:
         for _ in range(2):
@@ -755,13 +770,13 @@ def stream_replay(spark, sf_dir):
 @query(_labelled_sql(_BATCHES_SQL))
 def stream_stopped(spark, sf_dir):
     """A stream stopped after each batch and started again from its checkpoint."""
-    arriving, sink = _page_files(spark, sf_dir), PostSink(new_table_path(spark, "stopped_stream"))
+    (arriving, n_files), sink = _page_files(spark, sf_dir), PostSink(new_table_path(spark, "stopped_stream"))
     state = new_table_path(spark, "stopped_stream_state")
     for _ in range(STREAM_FILES):
-        query = run_stream(spark, arriving, RuleClient(), sink, state, max_files=1)
+        query = run_stream(spark, arriving, RuleClient(), sink, state, max_files=n_files)
         query.awaitTermination(1)
         stop_after_batch(query)
-    run_stream(spark, arriving, RuleClient(), sink, state, max_files=1).awaitTermination()
+    run_stream(spark, arriving, RuleClient(), sink, state, max_files=n_files).awaitTermination()
     return sink.read(spark)
 
 
@@ -775,10 +790,10 @@ from (select unnest(range({STREAM_FILES})) as b) r"""
 )
 def batch_progress(spark, sf_dir):
     """Rows per stage and rows stored, by number of the batch."""
-    arriving, sink = _page_files(spark, sf_dir), PostSink(new_table_path(spark, "progress_stream"))
+    (arriving, n_files), sink = _page_files(spark, sf_dir), PostSink(new_table_path(spark, "progress_stream"))
     progress = ProgressTable(new_table_path(spark, "progress"))
     run_stream(
-        spark, arriving, RuleClient(), sink, new_table_path(spark, "progress_state"), max_files=1,
+        spark, arriving, RuleClient(), sink, new_table_path(spark, "progress_state"), max_files=n_files,
         options=RunOptions(exact_counts=True), progress=progress,
     ).awaitTermination()
     return progress.read(spark).select("batch_id", "outcome", "found", "extracted", "scraped", "stored")
@@ -787,18 +802,23 @@ def batch_progress(spark, sf_dir):
 @query(f"select page_id % {STREAM_FILES} as batch_id, content, url, profile_name from ({_BATCHES_SQL}) b")
 def stream_batch_numbers(spark, sf_dir):
     """The stored posts with the number of the batch they came in."""
-    arriving, sink = _page_files(spark, sf_dir), PostSink(new_table_path(spark, "numbered_stream"), "csv")
+    (arriving, n_files), sink = _page_files(spark, sf_dir), PostSink(new_table_path(spark, "numbered_stream"), "csv")
     state = new_table_path(spark, "numbered_state")
-    run_stream(spark, arriving, RuleClient(), sink, state, max_files=1).awaitTermination()
+    run_stream(spark, arriving, RuleClient(), sink, state, max_files=n_files).awaitTermination()
     return sink.read(spark, batches=True).select("batch_id", *POST.names)
 
 
 @query(_labelled_sql(_BATCHES_SQL))
 def stream_backlog(spark, sf_dir):
-    """A backlog taken in batches of bounded bytes: at least a file, here just one."""
-    arriving, sink = _page_files(spark, sf_dir), PostSink(new_table_path(spark, "backlog"))
+    """A backlog taken in batches of bounded bytes: those of the largest remainder.
+
+    Copies of a url share a page, so a batch, also where remainders differ in size.
+    """
+    (arriving, n_files), sink = _page_files(spark, sf_dir), PostSink(new_table_path(spark, "backlog"))
     state = new_table_path(spark, "backlog_state")
-    run_stream(spark, arriving, RuleClient(), sink, state, max_bytes=1).awaitTermination()
+    sizes = [status.getLen() for status in _arrived(spark, arriving)]
+    most = max(sum(sizes[n : n + n_files]) for n in range(0, len(sizes), n_files))
+    run_stream(spark, arriving, RuleClient(), sink, state, max_bytes=most).awaitTermination()
     return sink.read(spark)
 
 
