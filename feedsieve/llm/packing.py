@@ -40,20 +40,30 @@ def tokenizer_files(name=TOKENIZER):
     return public_tokenizers.path(f"{name}.json"), public_tokenizers.path(f"{name}.tiktoken")
 
 
-def load_encoder(json_path, ranks_path):
-    """Function from a text to its ids.
+def special_tokens(json_path):
+    """Texts that the tokenizer takes for a token of their own."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(json_path)
+    return [token.content for token in whole.get_added_tokens_decoder().values()]
+
+
+def load_encoder(json_path, ranks_path, special=None):
+    """Function from a text to its ids; ``special`` are the special tokens, where known.
 
     Both libraries give the same ids; the ranks are read four times as fast.
-    They know no special tokens, so texts that spell one take the other.
+    They know no special tokens, so texts that spell one take the other.  That one is
+    large, and not loaded before such a text comes.
     """
     import base64
+    from functools import cache
 
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(json_path)
-    special = [token.content for token in whole.get_added_tokens_decoder().values()]
+    whole = cache(lambda: Tokenizer.from_file(json_path))
+    special = special_tokens(json_path) if special is None else special
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding(
@@ -62,7 +72,7 @@ def load_encoder(json_path, ranks_path):
 
     def encode(text):
         if any(token in text for token in special):
-            return whole.encode(text, add_special_tokens=False).ids
+            return whole().encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
@@ -78,9 +88,10 @@ def cut_points(n, seq_len):
 def token_pieces(docs, seq_len=SEQ_LEN, end_id=END_ID, files=None):
     """One row per piece of each document, with the checksum of its ids."""
     json_path, ranks_path = files or tokenizer_files()
+    special = special_tokens(json_path)
 
     def run(batches):
-        encode = load_encoder(json_path, ranks_path)
+        encode = load_encoder(json_path, ranks_path, special)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
