@@ -52,6 +52,9 @@ BROADCAST_IDS = 1_000_000  # 8 MB; more ids are joined by a shuffle
 DENSE_BITS = (64, 1 << 14)
 FLUSH_PAIRS = 100_000
 FLUSH_NAMES = 100_000
+LONG_SET = 500  # shingles; larger sets count as several documents
+DOCS_PER_FILE = 20_000  # of a table of ids
+DOCS_PER_WORK_FILE = 4_000  # of one that texts, sketches or names are read for
 HELD_TEXTS = 512
 BAND = 16
 
@@ -488,16 +491,16 @@ def parts_of(links):
 
 def linked(pairs, docs, nodes, scratch, before=None):
     """Links among candidate pairs that decide the components, those of ``before`` included."""
-    near = scratch.write(near_sketches(pairs, nodes), "near")
+    near = scratch.write(near_sketches(pairs, nodes), "near", DOCS_PER_WORK_FILE)
     wanted = near.select(F.col("u").alias("node")).union(near.select("v")).distinct()
-    texts = scratch.write(_texts_of(docs, nodes, wanted), "texts")
+    texts = scratch.write(_texts_of(docs, nodes, wanted), "texts", DOCS_PER_WORK_FILE)
     first = near.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     links = verify(first, texts)
     if before is not None:
         links = links.union(before)
-    links = scratch.write(links, "links")
+    links = scratch.write(links, "links", DOCS_PER_WORK_FILE)
     rest = _apart(near, scratch.write(parts_of(links), "components"))
-    found = scratch.write(links.union(verify(rest, texts)), "links")
+    found = scratch.write(links.union(verify(rest, texts)), "links", DOCS_PER_WORK_FILE)
     scratch.drop(near, texts)
     return found
 
@@ -513,14 +516,31 @@ def _hot_tokens(found, weight=1):
     return tokens.view(np.uint64)[order], sizes[order] * weight
 
 
+def documents_in(nodes):
+    """Number of documents, long ones counted by their shingles."""
+    size = F.greatest(F.lit(1.0), F.col("n") / F.lit(float(LONG_SET)))
+    return int(nodes.agg(F.coalesce(F.sum(size), F.lit(0.0))).first()[0])
+
+
+def few_files(df, n_docs, docs_per_file):
+    """``df`` in as many partitions as the documents ask for, one for each core at any rate.
+
+    They grow with the documents and never exceed those of the shuffle.  A file of a few
+    rows costs a task and, on a local disk, the processes that set its permissions.
+    """
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(least, -(-n_docs // docs_per_file)))
+
+
 class Scratch:
-    """Tables in the shared folder that go when they are no longer read."""
+    """Tables in the shared folder that go when they are no longer read; ``n_docs`` bounds their files."""
 
-    def __init__(self):
+    def __init__(self, n_docs):
+        self._n_docs = n_docs
         self._tables = []
 
-    def write(self, df, name):
-        self._tables.append(write_shared(df, name))
+    def write(self, df, name, docs_per_file=DOCS_PER_FILE):
+        self._tables.append(write_shared(few_files(df, self._n_docs, docs_per_file), name))
         return self._tables[-1]
 
     def drop(self, *tables):
@@ -554,11 +574,12 @@ def _of_nodes(docs, nodes, wanted):
 
 def similar_sets(docs, nodes):
     """``node, component`` of the sets that are linked to a smaller one."""
-    scratch = Scratch()
+    scratch = Scratch(documents_in(nodes))
     hots, found, last, some = [scout_tokens(docs)], [], False, docs
     while True:
         last = last or len(hots) == ROUNDS
-        found.append(scratch.write(gather_groups(name_blocks(some, hots), last), "groups"))
+        groups = gather_groups(name_blocks(some, hots), last)
+        found.append(scratch.write(groups, "groups", DOCS_PER_WORK_FILE))
         hot = NO_TOKENS if last else _hot_tokens(found[-1])
         if hot is None:
             # Too many to send round: all documents take part in the last round.
@@ -711,7 +732,8 @@ def _join_crowds(members, stars, links, docs, nodes, scratch):
         apart = scratch.write(_with_parts(crowds, parts), "apart")
         if apart.isEmpty():
             break
-        pairs = scratch.write(_in_order(compare_crowds(apart, nodes, nearest)), "candidates")
+        pairs = _in_order(compare_crowds(apart, nodes, nearest))
+        pairs = scratch.write(pairs, "candidates", DOCS_PER_WORK_FILE)
         links = linked(pairs, docs, nodes, scratch, links)
         parts = scratch.write(parts_of(links), "components")
     return links
@@ -771,4 +793,5 @@ def keep_one_of_each(docs):
     order = Window.partitionBy("_id", "_copy").orderBy(F.xxhash64("_doc"))
     ones = boxed.where("_one").withColumn("_row", F.row_number().over(order)).where("_row = 1")
     every = ones.select("_doc").union(boxed.where(~F.col("_one")).select("_doc"))
-    return every.select(*(F.col(f"_doc.{c}") for c in docs.columns))
+    every = every.select(*(F.col(f"_doc.{c}") for c in docs.columns))
+    return few_files(every, documents_in(rows), DOCS_PER_WORK_FILE)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import tokenizers
 
-from feedsieve.llm import packing, toxicity
+from feedsieve.llm import packing, parity_join, toxicity
 from feedsieve.llm.text_blocks import BLOCK_BYTES
 
 
@@ -49,3 +49,46 @@ def test_the_tokenizer_is_loaded_for_special_texts_only(monkeypatch):
     for _ in range(2):
         assert list(encode(spelt)) == whole.encode(spelt, add_special_tokens=False).ids
     assert len(loaded) == 1
+
+
+def test_tables_of_the_join_have_as_many_files_as_the_documents_ask_for(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[: 59 - i % 7] + [f"x{i % 40}"])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    files, write = {}, parity_join.write_shared
+
+    def counted(df, name):
+        table = write(df, name)
+        files[name] = max(files.get(name, 0), len(table.inputFiles()))
+        return table
+
+    held = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in held}
+    monkeypatch.setattr(parity_join, "write_shared", counted)
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        found = {r["doc_id"]: r["component_id"] for r in parity_join.join_documents(docs).collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert set(found.values()) == {0} and len(found) == 120
+    least = spark.sparkContext.defaultParallelism
+    assert {"groups", "near", "links"} <= set(files)
+    assert max(files.values()) <= least
+
+
+def test_files_grow_with_the_documents(spark):
+    scratch = parity_join.Scratch(10 * parity_join.DOCS_PER_FILE)
+    rows = spark.range(0, 1000, 1, 70)
+    assert len(scratch.write(rows, "some").inputFiles()) == 10
+    assert len(scratch.write(rows, "texts", parity_join.DOCS_PER_WORK_FILE).inputFiles()) == 50
+    scratch.drop()
+    assert parity_join.few_files(rows, 10**9, parity_join.DOCS_PER_FILE).rdd.getNumPartitions() == 70
+
+
+def test_long_documents_count_as_several(spark):
+    sizes = [0, 3, parity_join.LONG_SET, 10 * parity_join.LONG_SET]
+    nodes = spark.createDataFrame([(n,) for n in sizes], "n long")
+    assert parity_join.documents_in(nodes) == 13
+    assert parity_join.documents_in(nodes.where("false")) == 0
